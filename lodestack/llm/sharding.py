@@ -3,9 +3,8 @@
 Documents with equal texts are linked. A group's documents are dealt to cells by a hash, so that no
 group, however large, is handled in one piece. Each round joins the cells with how their group is
 spread over shards now and moves cells to the shard where most of their neighbours are, as far as
-that shard's quota has room; at last the documents stand in line by label and the line is cut at
-equal shares of bytes, with small unlinked documents at the ends of each label's stretch, so that it
-is they that level the sizes out.
+that shard's quota has room. Documents without links then fill what room is left: the larger ones in
+proportion to it, the smaller ones exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from .common import numbered, written
 #: Cells that a group can be split into.
 CELLS = 256
 #: Buckets in which moves are accepted and the line is summed.
-BUCKETS = 256
+BUCKETS = 1024
 
 
 def _bucket(*cols: Column) -> Column:
@@ -52,6 +51,26 @@ def propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFra
     return cells.select("grp", "sub", "bytes", "shard")
 
 
+def fill(df: DataFrame, rooms: list[int], id_col: str) -> DataFrame:
+    """(id, size, text_crc32, shard): df(id, size, text_crc32, grp, b) stands in line by b and is cut in proportion to rooms.
+
+    A row goes where its middle byte lies, so each shard is within one row's size of its share.
+    """
+    sums = df.groupBy("b").agg(F.sum("size").alias("sum"))
+    total = F.sum("sum").over(Window.partitionBy())
+    start = sums.select("b", (F.sum("sum").over(Window.orderBy("b")) - F.col("sum")).alias("start"), total.alias("total"))  # a row a bucket
+    local = F.sum("size").over(Window.partitionBy("b").orderBy("grp", id_col, "text_crc32").rowsBetween(Window.unboundedPreceding, 0))
+    share = (F.col("start") + local - F.col("size") / 2) / F.greatest(F.col("total"), F.lit(1))
+    span, at, to = max(1, sum(rooms)), 0, F.lit(len(rooms) - 1)
+    if len(rooms) > 1:
+        to = F
+        for k, room in enumerate(rooms[:-1]):
+            at += room
+            to = to.when(F.col("share") < at / span, F.lit(k))
+        to = to.otherwise(F.lit(len(rooms) - 1))
+    return df.join(start, "b").withColumn("share", share).select(id_col, "size", "text_crc32", to.cast("int").alias("shard"))
+
+
 def shard(docs: DataFrame, shards: int = 16, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for every row; the law is `bytes`.
 
@@ -74,30 +93,20 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 4, id_col: str = "doc
     linked = cells.groupBy("grp").agg(F.sum("n").alias("rows"), F.sum("bytes").alias("all")).where("rows > 1")
     cells = written(cells.join(linked, "grp").select("grp", "sub", "bytes", F.pmod("sub", F.lit(shards)).alias("shard")), "cells")
     done = propagate(cells, shards, quota, rounds)
+    dealt = base.join(done.select("grp", "sub", "shard"), ["grp", "sub"], "left").select(id_col, "size", "text_crc32", "grp", "shard")
+    dealt = written(dealt, "dealt")
     loads = {r["shard"]: r["load"] for r in done.groupBy("shard").agg(F.sum("bytes").alias("load")).collect()}  # a row a shard
-    rooms = [max(quota - loads.get(k, 0), 0) for k in range(shards)]
-    span, at, alone = max(1, sum(rooms)), 0, F
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit("alone")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    for k in range(shards - 1):
-        at += rooms[k]
-        alone = alone.when(u < at / span, F.lit(k))
-    alone = alone.otherwise(F.lit(shards - 1)) if shards > 1 else F.lit(0)
-    big = linked.where(F.col("all") * 64 > F.lit(quota)).select("grp", F.lit(True).alias("big"))  # under 64 x shards rows
-    line = base.join(done.select("grp", "sub", "shard"), ["grp", "sub"], "left").join(F.broadcast(big), "grp", "left")
-    free = F.col("shard").isNull()
-    line = line.select(
-        id_col, "size", "text_crc32", "grp",
-        F.when(free, alone).otherwise(F.col("shard")).alias("label"),
-        F.when(free & (F.col("size") <= F.lit(mean)), F.pmod(F.xxhash64(F.col(id_col), F.lit("end")), F.lit(2)) * 2 - 1).otherwise(F.lit(0)).cast("int").alias("kind"),
-        F.when(free | F.col("big"), _bucket(F.col("grp"), F.col(id_col))).otherwise(_bucket(F.col("grp"))).alias("b"),
-    )
-    line = written(line, "line")
-    stretch = ["label", "kind", "b"]
-    sums = line.groupBy(*stretch).agg(F.sum("size").alias("sum"))
-    start = sums.select(*stretch, (F.sum("sum").over(Window.orderBy(*stretch)) - F.col("sum")).alias("start"))  # at most shards x 3 x BUCKETS rows
-    local = F.sum("size").over(Window.partitionBy(*stretch).orderBy("grp", id_col, "text_crc32").rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.col("start") + F.col("local") - F.col("size") / 2
-    cut = line.withColumn("local", local).join(start, stretch).withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(1, total))).cast("int"), F.lit(shards - 1)))
-    cut = written(cut.select(id_col, "size", "text_crc32", "shard"), "shards")
+    rooms = [quota - loads.get(k, 0) for k in range(shards)]
+    if min(rooms) < 0:  # the links alone overfill a shard: all of it stands in line, ordered by label
+        order = F.coalesce(F.col("shard"), F.lit(shards)) * BUCKETS + _bucket(F.col("grp"))
+        cut = fill(dealt.withColumn("b", order), [1] * shards, id_col)
+    else:
+        free = dealt.where("shard is null").withColumn("b", _bucket(F.col("grp"), F.col(id_col)))
+        large = written(fill(free.where(F.col("size") > F.lit(mean)), rooms, id_col), "large")
+        for r in large.groupBy("shard").agg(F.sum("size").alias("load")).collect():  # a row a shard
+            rooms[r["shard"]] -= r["load"]
+        small = fill(free.where(F.col("size") <= F.lit(mean)), [max(x, 0) for x in rooms], id_col)
+        cut = dealt.where("shard is not null").drop("grp").unionByName(large).unionByName(small)
+    cut = written(cut, "shards")
     out = numbered(cut, ["shard"], [id_col, "text_crc32"], "slot")
     return out.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
