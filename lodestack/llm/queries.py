@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, rules, sharding, simhash, warc
+from . import bpe, packing, quality, rules, sharding, simhash, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,10 +36,26 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), shards=16)
 
 
+def fold_of(parts: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(4) == 2
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_bpe(), capacity=4096, end_id=2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(5) == 0
+    model = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return quality.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op9_quality": op9_quality,
     "op10_rules": op10_rules,
 }
 
