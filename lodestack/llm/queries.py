@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, rules, sharding, simhash, toxicity, warc
+from . import ann, bpe, packing, quality, rules, sharding, simhash, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), word_bpe(), capacity=4096, end_id=2)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(5) == 0
     model = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_ann": op7_ann,
     "op9_quality": op9_quality,
     "op10_rules": op10_rules,
 }
