@@ -19,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Recent
-
 #: Most labelled rows of each class that a model is fitted on.
 FIT_ROWS = 4_000
 #: Features a document may have in more than this many rows are kept; rarer ones tell nothing.
@@ -55,6 +53,26 @@ def features(token: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in names]
 
 
+class Recent(dict):
+    """What make(key) gives, of recently used keys: a full table becomes the old one, whose entries move up when used."""
+
+    def __init__(self, make, entries: int = 200_000):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key: str):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > 64:
+                return got
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 @dataclass
 class Model:
     weights: dict[int, float]
