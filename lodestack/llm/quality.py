@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +170,16 @@ def _styles_of_samples(picked: DataFrame) -> DataFrame:
     return picked.select("text", "p", "u").mapInArrow(run, "style array<double>, p boolean, u boolean")
 
 
+def scorer(model: Model):
+    """An Arrow-batched function of a text column that gives its score, for filtering rows where they stand."""
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([style(t) for t in text]).reshape(-1, len(STYLE))))
+
+    return scored
+
+
 def predict(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every row of docs; null and empty texts are scored like any other.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, quality, rules, sharding, simhash, toxicity, warc
+from . import ann, bpe, crossentropy, packing, quality, rules, sharding, simhash, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossentropy.score(read(spark, sf_dir, "documents"), F.col("lang") == "en")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(5) == 0
     model = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out)
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_ann": op7_ann,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality": op9_quality,
     "op10_rules": op10_rules,
 }

@@ -43,7 +43,9 @@ def words(text: Column) -> Column:
 
 def repeated_words(w: Column) -> Column:
     """How many words lie in a window of three that the list holds twice or more, the first included."""
-    hashes = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    def hashes(v: Column) -> Column:
+        return F.transform(F.slice(v, 1, F.greatest(F.size(v) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(v, i + 1), F.get(v, i + 2)))
 
     def covered(h: Column) -> Column:
         placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -56,7 +58,7 @@ def repeated_words(w: Column) -> Column:
         step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
         return F.aggregate(let(placed, starts), first, step, lambda acc: acc["n"])
 
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
+    return let(let(w, hashes), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
 
 
 def line_counts(text: Column) -> Column:
@@ -139,6 +141,12 @@ def cascade(df: DataFrame, rules: list[Rule], order: list[str], name: str = "fai
     return df.withColumn(name, verdict.otherwise(F.lit(None).cast("string")) if order else F.lit(None).cast("string"))
 
 
+def keep_rows(df: DataFrame, kept: str, columns: list[str]) -> DataFrame:
+    """The rows where `kept` is true, by a generator: a filter would be moved below the counts and compute them again."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    return df.select(F.explode(F.when(F.col(kept), F.array(row))).alias("__kept")).select("__kept.*")
+
+
 def apply_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the counts, base_failed, failed_rule and kept.
 
