@@ -1,10 +1,425 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries over the test tables, and the same in SQL for DuckDB.
+
+Every query runs over its whole tables. Queries without SQL (folds, parsers) are held against brute
+force in the tests.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import llm_json, text
+from ..operators import chunking, incremental, layout, scoring, search
+from ..sources import files, spreadsheet
+
+BM25_QUERY = "the thing and license token 2024 nicht"
+CASE_CONTEXT_ROLE = "assistant"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(col: Column) -> Column:
+    return F.round(col, 6)
+
+
+def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+
+
+def normalize_code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", text.normalize_code(F.col("html")).alias("normalized"))
+
+
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = text.keywords(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.token_count(F.col("text")).cast("long").alias("n_tokens"), F.size(k).cast("long").alias("n_keywords"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"))
+
+
+def identifier_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.identifiers(F.col("text")), ",").alias("identifiers"))
+
+
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("ix", "sentence")).withColumn("ix", F.col("ix").cast("long"))
+
+
+def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.paragraphs(F.col("text"))).alias("ix", "paragraph")).withColumn("ix", F.col("ix").cast("long"))
+
+
+def hard_split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.hard_split(F.col("text"), 100)).alias("ix", "chunk")).withColumn("ix", F.col("ix").cast("long"))
+
+
+def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_text(read(spark, sf_dir, "documents"), "doc_id", "text", 200, 50)
+
+
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_lines(read(spark, sf_dir, "documents"), "doc_id", "text", 200)
+
+
+def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("line"))
+    return chunking.chunk_rows(rows, ["conv_id"], "turn", "line", 300, 4)
+
+
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("path", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")))
+    chunks = docs.select("doc_id", "path", "lang", F.posexplode(chunking.hard_split(F.col("text"), 100)).alias("ix", "chunk"))
+    key = text.locator_key({"lang": F.col("lang"), "doc": F.col("doc_id")})
+    return chunks.select("doc_id", F.col("ix").cast("long").alias("ix"), text.chunk_id(F.col("path"), key, F.col("ix"), F.col("chunk")).alias("chunk_id"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> search.KeywordIndex:
+    return search.KeywordIndex.build(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).search(BM25_QUERY, 10).select(F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"))
+
+
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = read(spark, sf_dir, "documents").where(text_filter(F.col("lang"))).select(F.col("doc_id").alias("id"))
+    return _index(spark, sf_dir).search(BM25_QUERY, 10, allowed).select(F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"))
+
+
+def text_filter(lang: Column) -> Column:
+    return search.metadata_filter(lang, ["de", "fr"], exclude="de")
+
+
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).stats.select("term", F.col("df").cast("long").alias("df"), r6(F.col("idf")).alias("idf"))
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int, where: Column | None = None) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings")
+    return search.dense_topk(v if where is None else v.where(where), v.where("vec_id = 0"), k, "vec_id", "embedding")
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, 10).select(F.col("id").alias("vec_id"), r6(F.col("similarity")).alias("similarity"))
+
+
+def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = search.metadata_filter(F.col("label").cast("string"), None, exclude="3")
+    return _dense(spark, sf_dir, 10, keep).select(F.col("id").alias("vec_id"), r6(F.col("similarity")).alias("similarity"))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and texts of one id are taken for one chunk: a pairing of the test tables."""
+    return search.fuse(_dense(spark, sf_dir, 30), _index(spark, sf_dir).search(BM25_QUERY, 30), 8)
+
+
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select(F.col("rank").cast("long").alias("rank"), F.col("id").alias("chunk"), r6(F.col("score")).alias("score"), F.array_join("matched_by", ",").alias("matched_by"))
+
+
+def multi_pass_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A general pass without one type, then one of that type alone; what both find stays twice."""
+    docs, index = read(spark, sf_dir, "documents"), _index(spark, sf_dir)
+    lang = F.col("lang")
+    general = index.search(BM25_QUERY, 8, docs.where(search.metadata_filter(lang, None, "de")).select(F.col("doc_id").alias("id")))
+    track = index.search(BM25_QUERY, 4, docs.where(search.metadata_filter(lang, ["de"])).select(F.col("doc_id").alias("id")))
+    both = search.passes([search.ranked(x, "score", "rank") for x in (general, track)])
+    return both.select(F.col("position").cast("long").alias("position"), F.col("pass_ix").cast("long").alias("pass_ix"), F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"))
+
+
+def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.ranked(_index(spark, sf_dir).search(BM25_QUERY, 8), "score", "position")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("doc_type"), text.source_label(F.col("source"), F.col("doc_id"), F.lit(None), F.lit(None), F.lit(""), F.lit(None), F.col("lang")).alias("label"), "text")
+    made = search.assemble_context(docs.join(hits, "id"), 7000)
+    return made.select(F.sha2("context", 256).alias("context_sha256"), F.length("context").cast("long").alias("chars"), F.col("blocks").cast("long").alias("blocks"))
+
+
+def dense_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of hits by arm, after fusion."""
+    f = _fused(spark, sf_dir)
+    return f.agg(F.count_if(F.array_contains("matched_by", "dense")).alias("dense_hits"), F.count_if(F.array_contains("matched_by", "keyword")).alias("keyword_hits"), F.count(F.lit(1)).alias("chunks"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where(text.strip(F.col("text")) != "")
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source as a document and its rows as pages: lines on two hundredths of the pages or more."""
+    return layout.repeats(_lines(spark, sf_dir), share=0.02, least_pages=3).select("doc", "signature", F.col("n_pages").cast("long").alias("n_pages"))
+
+
+def row_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("Description"), F.col("p_brand").alias("Requirement"), F.col("p_size").cast("string").alias("Steps"))
+    return spreadsheet.serialize(part, ["id", "Description", "Requirement", "Steps"]).select("id", "text", "unit_requirement_id", "unit_test_case_id", "unit_steps")
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").where(F.col("role") == CASE_CONTEXT_ROLE).select("conv_id", "turn", "text")
+
+
+def grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = scoring.grounded(_cases(spark, sf_dir), ["conv_id", "turn"], "text", read(spark, sf_dir, "benchmark"), "text")
+    return g.select("conv_id", "turn", r6(F.col("grounding")).alias("grounding"))
+
+
+def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of label 0 are cases and of label 1 existing records."""
+    v = read(spark, sf_dir, "embeddings")
+    return scoring.closest(v.where("label = 0"), v.where("label = 1"), "vec_id", "embedding", "vec_id", "embedding")
+
+
+def existing_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _existing(spark, sf_dir).select("vec_id", "closest", r6(F.col("similarity")).alias("similarity"))
+
+
+def confidence_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grounding of assistant turns with one retrieval score; the similarity axis only where a vector of the number exists."""
+    best = _dense(spark, sf_dir, 30).agg(scoring.retrieval(F.collect_list("similarity")).alias("retrieval"))  # 30 rows
+    g = scoring.grounded(_cases(spark, sf_dir), ["conv_id", "turn"], "text", read(spark, sf_dir, "benchmark"), "text")
+    s = _existing(spark, sf_dir).select(F.col("vec_id").alias("conv_id"), "similarity")
+    scored = scoring.confidence(g.join(s, "conv_id", "left").join(F.broadcast(best)))
+    light = text.traffic_light(F.col("overall"))
+    return scored.select("conv_id", "turn", "retrieval", "grounding", "similarity", "overall", "needs_review", light.alias("light"))
+
+
+def traffic_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy(text.traffic_light(F.col("value") / 100).alias("light")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_path"), F.sha2("text", 256).alias("file_hash"), "doc_id")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table written earlier would hold: every third file missing, every fifth of another hash, some of files since gone."""
+    files = _files(spark, sf_dir).where("doc_id % 3 <> 0")
+    now = files.select("source_path", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("file_hash")).alias("file_hash"), F.lit("p1").alias("pipeline_fingerprint"))
+    gone = files.select(F.concat(F.lit("gone/"), F.col("source_path")).alias("source_path"), "file_hash", F.lit("p1").alias("pipeline_fingerprint"))
+    return now.unionByName(gone)
+
+
+def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.changed(_files(spark, sf_dir), _state(spark, sf_dir), "p1").select("source_path", "file_hash")
+
+
+def prune_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.vanished(_state(spark, sf_dir), _files(spark, sf_dir))
+
+
+def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, files = _state(spark, sf_dir), _files(spark, sf_dir)
+    key = lambda df: df.withColumn("chunk_id", F.sha2(F.concat_ws("|", "source_path", "file_hash"), 256))
+    fresh = incremental.changed(files, state, "p1").select("source_path", "file_hash", "pipeline_fingerprint")
+    return incremental.upserted(key(state), key(fresh), incremental.vanished(state, files)).select("source_path", "file_hash", "chunk_id")
+
+
+def ingestion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, files = _state(spark, sf_dir), _files(spark, sf_dir)
+    fresh = incremental.changed(files, state, "p1")
+    return incremental.stats(files, incremental.unchanged(files, state, "p1"), files.where("file_hash is null"), fresh, incremental.vanished(state, files))
+
+
+def _words(spark: SparkSession) -> DataFrame:
+    rows = [("d", 1, w, float(10 * k), float(10 * k + 8), top, top + 10, size, bold) for k, (w, top, size, bold) in enumerate([
+        ("1", 10.0, 14.0, True), ("Scope", 11.5, 14.0, True), ("of", 30.0, 10.0, False), ("work", 31.9, 10.0, False), ("here", 33.8, 10.0, False),
+        ("1.1", 50.0, 12.0, True), ("Limits", 50.5, 12.0, True), ("body", 70.0, 10.0, False), ("text", 70.0, 10.0, False), ("2", 90.0, 14.0, True), ("Next", 90.0, 14.0, True), ("end", 110.0, 10.0, False),
+    ])]
+    return spark.createDataFrame(rows, "doc string, page int, text string, x0 double, x1 double, top double, bottom double, size double, bold boolean")
+
+
+def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.group_lines(_words(spark)).select("doc", F.col("line").cast("long").alias("line"), "text")
+
+
+def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.classify_headings(layout.group_lines(_words(spark)))
+    return layout.section_paths(lines, ["page", "line"]).select("doc", F.col("line").cast("long").alias("line"), F.coalesce(F.col("level").cast("long"), F.lit(0)).alias("level"), "section_path")
+
+
+def section_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.classify_headings(layout.group_lines(_words(spark)))
+    tables = spark.createDataFrame([("d", 1, 80.0, "a | b\nc | d")], "doc string, page int, top double, text string")
+    return layout.section_units(lines, tables).select("doc", "unit", "unit_type", "text", "section_path", "table_title")
+
+
+def heading_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commonest line length of each source, the first seen of equals: the mode that body sizes use."""
+    lines = _lines(spark, sf_dir).select("doc", "page", "line", F.length("text").cast("double").alias("size"))
+    return layout.body_size(lines).select("doc", "body_size")
+
+
+def requirement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("L2R"), F.col("doc_id").cast("string"), F.lit(" "))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("15.1 Speed Limits\n2. L2R"), F.col("doc_id").cast("string"), F.lit("\n"))).otherwise(F.lit("15 Speed Enforcement\n")), F.col("text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return docs.select("doc_id", text.requirement_id(F.col("raw")).alias("requirement_id"), text.functional_area(F.col("raw")).alias("area"), F.length(text.requirement_query(F.col("raw"))).cast("long").alias("query_chars"))
+
+
+def parse_llm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one-case outputs, whole, fenced, or cut off behind the case."""
+    case = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("description"), F.lit("negative").alias("test_type"), F.lit("boundary value").alias("test_technique"))).alias("test_cases")))
+    kind = F.col("doc_id") % 3
+    raw = F.when(kind == 0, case).when(kind == 1, F.concat(F.lit("Here it is:\n```json\n"), case, F.lit("\n```"))).otherwise(F.concat(case.substr(F.lit(1), F.length(case) - 2), F.lit(', {"description": "cut')))
+    docs = read(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    out = llm_json.parse_cases(docs, "raw", F.concat(F.lit("R"), F.col("doc_id").cast("string")), F.lit("Folder"))
+    return out.select("doc_id", F.col("s_no").cast("long").alias("s_no"), "requirement", "description", "folder", "optimization_technique", "test_type", "test_technique", "retired", "scorable")
+
+
+def example_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as examples under a budget of 6,000 characters that all share equally."""
+    items = read(spark, sf_dir, "benchmark")
+    share = F.greatest(F.lit(200), F.floor(F.lit(6000) / F.col("n"))).cast("int")
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    return items.join(F.broadcast(n)).select("item_id", text.budgeted(F.col("text"), share).alias("rendered"))
+
+
+def example_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three kinds of example parts keyed alike, united by full outer joins; the last path of a key wins."""
+    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("L"), (F.col("doc_id") % 97).cast("string")).alias("key"), F.col("doc_id").alias("path"), "lang")
+    def kind(lang: str, name: str) -> DataFrame:
+        return docs.where(F.col("lang") == lang).groupBy("key").agg(F.max("path").alias(name))
+
+    joined = kind("en", "requirement").join(kind("de", "cases"), "key", "full").join(kind("fr", "script"), "key", "full")
+    return joined.select("key", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("requirement", "cases", "script")))
+
+
+def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.mean_confidence(read(spark, sf_dir, "events").withColumn("overall", F.col("value") / 100))
+
+
+def chunk_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 600).alias("excerpt"), text.stable_key(F.col("doc_id"), F.col("lang")).alias("cache_key"))
+
+
+def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages wrapped as report sections: a page's text becomes a table's cell."""
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?s)<[^>]*>", " "), r"[<>&]", " ")
+    wrapped = F.concat(F.lit('<title>x.08880.1</title><a name="Blocks"></a><table><tr><td>Name</td><td>Text</td></tr><tr><td>'), F.col("page_id").cast("string"), F.lit("</td><td>"), plain, F.lit("</td></tr></table>"))
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("source_path"), F.lit(".html").alias("suffix"), wrapped.cast("binary").alias("content"))
+    return files.extract(pages).select("source_path", "unit_ix", "text", "unit_type")
+
+
+def python_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.lit('"""doc"""\nclass A:\n    """of a"""\n    x = 1\n    def m(self):\n        return '), F.col("c_custkey").cast("string"), F.lit('\n\ndef f():\n    return "'), F.col("c_name"), F.lit('"\n'))
+    rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("c/"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("source_path"), F.lit(".py").alias("suffix"), code.cast("binary").alias("content"))
+    return files.extract(rows).select("source_path", "unit_ix", "text", "unit_type", F.col("locator")["name"].alias("name"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    bm25_topk, bm25_filtered, term_statistics, dense_topk, dense_filtered, rrf_fuse, multi_pass_retrieve, context_assembly, dense_statistics,
+    normalize_documents, normalize_code_pages, token_stats, identifier_extract, sentence_split, paragraph_split, hard_split_chunks, pack_chunks, line_chunks, chunk_rows, chunk_ids,
+    repeated_lines, heading_documents, line_groups, section_paths, section_units, row_serialize, grounding_score, existing_similarity, confidence_overall, mean_confidence, traffic_light,
+    incremental_skip, prune_paths, upsert_table, ingestion_stats, requirement_parse, parse_llm_json, example_render, example_join, chunk_display, distinct_sources, html_sections, python_units,
+)}
+
+_STRIP = r"regexp_replace(regexp_replace({}, '^[\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{3000}}]+', ''), '[\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{3000}}]+$', '')"
+
+
+def _strip(x: str) -> str:
+    return _STRIP.format(x)
+
+
+def _normalized(x: str) -> str:
+    x = rf"regexp_replace({x}, '[\x00-\x08\x0B-\x1F]', '', 'g')"
+    x = rf"regexp_replace({x}, '([\w\p{{L}}\p{{N}}])-\n([\w\p{{L}}\p{{N}}])', '\1\2', 'g')"
+    x = rf"regexp_replace({x}, '[ \t]+\n', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '[ \t]{{2,}}', ' ', 'g')"
+    x = rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')"
+    return _strip(x)
+
+
+_KEYWORDS = r"list_transform(regexp_extract_all({}, '[A-Za-z]+(?:\d+[A-Za-z]*)*|\d+'), lambda t: lower(t))"
+_TOKENS = rf"""
+tok AS (SELECT doc_id, unnest({_KEYWORDS.format('text')}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+dl AS (SELECT d.doc_id, len({_KEYWORDS.format('d.text')}) AS len FROM documents d),
+whole AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, whole),
+stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+asked AS (SELECT term, count(*) AS times FROM (SELECT unnest({_KEYWORDS.format(f"'{BM25_QUERY}'")}) AS term) GROUP BY 1),
+scored AS (SELECT doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+  FROM tf JOIN asked USING (term) JOIN stats USING (term) JOIN dl USING (doc_id), whole GROUP BY 1 HAVING score > 0)"""
+_DENSE = """
+dense AS (SELECT e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q{where})"""
+_FUSED = f"""WITH {_TOKENS}, {_DENSE.format(where='')},
+d AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS dr FROM (SELECT * FROM dense WHERE similarity >= 0 ORDER BY similarity DESC, id LIMIT 30)),
+k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS kr FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 30)),
+f AS (SELECT coalesce(d.id, k.id) AS chunk, coalesce(1.0 / (60 + dr), 0) + coalesce(0.6 / (60 + kr), 0) AS s, dr, kr FROM d FULL JOIN k ON d.id = k.id),
+top AS (SELECT row_number() OVER (ORDER BY s DESC, dr ASC NULLS LAST, kr ASC NULLS LAST) AS rank, * FROM f QUALIFY rank <= 8)"""
+_SENTENCES = rf"list_filter(string_split(regexp_replace({_strip('text')}, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+_PARAGRAPHS = rf"list_filter(string_split(regexp_replace({_strip('text')}, '\n[\s\x0b]*\n', chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10)) <> '')"
+_WORDS = r"list_filter(string_split_regex({}, '[\s\x0b]+'), lambda w: w <> '')"
+_HARD = f"SELECT doc_id, source, lang, g AS ix, array_to_string(ws[g * 100 + 1 : g * 100 + 100], ' ') AS chunk FROM (SELECT doc_id, source, lang, ws, unnest(range(0, (greatest(len(ws), 1) - 1) // 100 + 1)) AS g FROM (SELECT doc_id, source, lang, {_WORDS.format('text')} AS ws FROM documents)) WHERE len(ws) > 0"
+_STATE = """
+files AS (SELECT source || '/' || doc_id AS source_path, sha256(text) AS file_hash, doc_id FROM documents),
+state AS (SELECT source_path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE file_hash END AS file_hash FROM files WHERE doc_id % 3 <> 0
+  UNION ALL SELECT 'gone/' || source_path, file_hash FROM files WHERE doc_id % 3 <> 0),
+changed AS (SELECT f.* FROM files f WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.source_path = f.source_path AND s.file_hash = f.file_hash)),
+gone AS (SELECT DISTINCT source_path FROM state WHERE source_path NOT IN (SELECT source_path FROM files))"""
+_CLOSEST = """SELECT c.vec_id, e.vec_id AS closest, greatest(least(list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 1), 0) AS similarity
+  FROM embeddings c, embeddings e WHERE c.label = 0 AND e.label = 1 QUALIFY row_number() OVER (PARTITION BY c.vec_id ORDER BY similarity DESC, e.vec_id) = 1"""
+_STOP = "[" + ", ".join(f"'{w}'" for w in scoring.STOP_WORDS) + "]"
+_IDENT = r"list_distinct(list_transform(regexp_extract_all({}, '\b(?:[A-Za-z]{{2,6}}\d{{2,}}|\d{{3,}}|[a-z_]+_[a-z_]+)\b'), lambda t: lower(t)))"
+_GROUND = rf"""
+known AS (SELECT list(DISTINCT t) AS t FROM (SELECT unnest({_KEYWORDS.format('text')}) AS t FROM benchmark)),
+ids AS (SELECT coalesce(list(DISTINCT t), []) AS i FROM (SELECT unnest({_IDENT.format('text')}) AS t FROM benchmark)),
+own AS (SELECT conv_id, turn, list_filter(list_distinct({_KEYWORDS.format('text')}), lambda t: NOT list_contains({_STOP}, t)) AS t, {_IDENT.format('text')} AS i FROM conversations WHERE role = 'assistant'),
+parts AS (SELECT conv_id, turn, len(own.t) AS nt, len(list_intersect(own.t, known.t)) AS mt, len(own.i) AS ni, len(list_intersect(own.i, ids.i)) AS mi FROM own, known, ids),
+grounded AS (SELECT conv_id, turn, CASE WHEN nt = 0 THEN 0 WHEN ni > 0 THEN greatest(least(0.35 * mt / nt + 0.65 * mi / ni, 1), 0) ELSE 0.8 * mt / nt END AS grounding FROM parts)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "bm25_topk": f"WITH {_TOKENS} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 10)",
+    "bm25_filtered": f"WITH {_TOKENS} SELECT doc_id, round(score, 6) AS score FROM (SELECT s.* FROM scored s JOIN documents USING (doc_id) WHERE lang IN ('de', 'fr') ORDER BY score DESC, doc_id LIMIT 10)",
+    "term_statistics": f"WITH {_TOKENS} SELECT term, df, round(idf, 6) AS idf FROM stats",
+    "dense_topk": f"WITH {_DENSE.format(where='')} SELECT id AS vec_id, round(similarity, 6) AS similarity FROM (SELECT * FROM dense WHERE similarity >= 0 ORDER BY similarity DESC, id LIMIT 10)",
+    "dense_filtered": f"WITH {_DENSE.format(where=' WHERE e.label IS DISTINCT FROM 3')} SELECT id AS vec_id, round(similarity, 6) AS similarity FROM (SELECT * FROM dense WHERE similarity >= 0 ORDER BY similarity DESC, id LIMIT 10)",
+    "rrf_fuse": f"{_FUSED} SELECT rank, chunk, round(s, 6) AS score, concat_ws(',', CASE WHEN dr IS NOT NULL THEN 'dense' END, CASE WHEN kr IS NOT NULL THEN 'keyword' END) AS matched_by FROM top",
+    "dense_statistics": f"{_FUSED} SELECT count(dr) AS dense_hits, count(kr) AS keyword_hits, count(*) AS chunks FROM top",
+    "multi_pass_retrieve": f"""WITH {_TOKENS}, l AS (SELECT s.*, lang FROM scored s JOIN documents USING (doc_id)),
+p AS (SELECT * FROM (SELECT 0 AS pass_ix, doc_id, score FROM l WHERE lang IS DISTINCT FROM 'de' ORDER BY score DESC, doc_id LIMIT 8) UNION ALL SELECT * FROM (SELECT 1, doc_id, score FROM l WHERE lang = 'de' ORDER BY score DESC, doc_id LIMIT 4))
+SELECT row_number() OVER (ORDER BY pass_ix, score DESC, doc_id) AS position, pass_ix::BIGINT AS pass_ix, doc_id, round(score, 6) AS score FROM p""",
+    "context_assembly": f"""WITH {_TOKENS}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM scored QUALIFY pos <= 8),
+b AS (SELECT pos, '[' || pos || '] ' || lang || ' | ' || concat_ws(' > ', source, CASE WHEN doc_id <> 0 THEN 'p.' || doc_id END, lang) || chr(10) || text AS block FROM top JOIN documents USING (doc_id)),
+c AS (SELECT *, sum(length(block)) OVER (ORDER BY pos) AS cum FROM b)
+SELECT sha256(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)) AS context_sha256, length(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos)) AS chars, count(*) AS blocks FROM c WHERE pos = 1 OR cum <= 7000""",
+    "normalize_documents": f"SELECT doc_id, {_normalized('text')} AS normalized FROM documents",
+    "token_stats": f"SELECT doc_id, len({_WORDS.format('text')}) AS n_tokens, len({_KEYWORDS.format('text')}) AS n_keywords, len(list_distinct({_KEYWORDS.format('text')})) AS n_distinct FROM documents",
+    "sentence_split": f"SELECT doc_id, unnest(range(0, len(s))) AS ix, unnest(s) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)",
+    "paragraph_split": f"SELECT doc_id, unnest(range(0, len(s))) AS ix, unnest(s) AS paragraph FROM (SELECT doc_id, {_PARAGRAPHS} AS s FROM documents)",
+    "hard_split_chunks": f"SELECT doc_id, ix, chunk FROM ({_HARD})",
+    "chunk_ids": f"SELECT doc_id, ix, sha256(source || '/' || doc_id || '::doc=' || doc_id || '|lang=' || lang || '::' || ix || '::' || sha256(chunk)[1:16])[1:32] AS chunk_id FROM ({_HARD})",
+    "repeated_lines": rf"""WITH l AS (SELECT source AS doc, doc_id AS page, regexp_replace({_strip('t')}, '\d+', '#', 'g') AS signature FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE {_strip('t')} <> ''),
+p AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY 1)
+SELECT doc, signature, count(DISTINCT page) AS n_pages FROM l JOIN p USING (doc) WHERE pages >= 3 GROUP BY doc, signature, pages HAVING n_pages >= greatest(2, round_even(pages * 0.02, 0))""",
+    "heading_documents": rf"""WITH l AS (SELECT source AS doc, doc_id AS page, generate_subscripts(s, 1) - 1 AS line, unnest(s) AS t FROM (SELECT source, doc_id, string_split(text, chr(10)) AS s FROM documents)),
+n AS (SELECT doc, length(t)::DOUBLE AS body_size, count(*) AS n, min({{'page': page, 'line': line}}) AS f FROM l WHERE {_strip('t')} <> '' GROUP BY 1, 2)
+SELECT doc, body_size FROM n QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) = 1""",
+    "row_serialize": "SELECT p_partkey AS id, concat_ws(' | ', 'id: ' || p_partkey, 'Description: ' || nullif(trim(p_name), ''), 'Requirement: ' || nullif(trim(p_brand), ''), 'Steps: ' || p_size) AS text, p_brand AS unit_requirement_id, p_brand || '_' || p_partkey AS unit_test_case_id, p_size::VARCHAR AS unit_steps FROM part",
+    "grounding_score": f"WITH {_GROUND} SELECT conv_id, turn, round(grounding, 6) AS grounding FROM grounded",
+    "existing_similarity": f"SELECT vec_id, closest, round(similarity, 6) AS similarity FROM ({_CLOSEST})",
+    "confidence_overall": f"""WITH {_GROUND}, {_DENSE.format(where='')}, best AS (SELECT greatest(least(avg(similarity), 1), 0) AS r FROM (SELECT similarity FROM dense ORDER BY similarity DESC, id LIMIT 3)),
+j AS (SELECT g.conv_id, turn, r, grounding, s.similarity AS s FROM grounded g LEFT JOIN ({_CLOSEST}) s ON s.vec_id = g.conv_id, best),
+o AS (SELECT *, (0.3 * r + 0.3 * grounding + coalesce(0.4 * s, 0)) / (0.6 + CASE WHEN s IS NULL THEN 0 ELSE 0.4 END) AS overall FROM j)
+SELECT conv_id, turn, round_even(r, 3) AS retrieval, round_even(grounding, 3) AS grounding, round_even(coalesce(s, 0), 3) AS similarity, round_even(overall, 3) AS overall, overall < 0.55 AS needs_review,
+CASE WHEN round_even(overall, 3) >= 0.75 THEN 'clear' WHEN round_even(overall, 3) >= 0.5 THEN 'approach' ELSE 'stop' END AS light FROM o""",
+    "mean_confidence": "SELECT round_even(avg(value / 100), 3) AS mean_confidence FROM events",
+    "traffic_light": "SELECT CASE WHEN value / 100 >= 0.75 THEN 'clear' WHEN value / 100 >= 0.5 THEN 'approach' ELSE 'stop' END AS light, count(*) AS n FROM events GROUP BY 1",
+    "incremental_skip": f"WITH {_STATE} SELECT source_path, file_hash FROM changed",
+    "prune_paths": f"WITH {_STATE} SELECT source_path FROM gone",
+    "upsert_table": f"WITH {_STATE}, t AS (SELECT source_path, file_hash FROM state WHERE source_path NOT IN (SELECT source_path FROM changed) AND source_path NOT IN (SELECT source_path FROM gone) UNION ALL SELECT source_path, file_hash FROM changed) SELECT source_path, file_hash, sha256(source_path || '|' || file_hash) AS chunk_id FROM t",
+    "ingestion_stats": f"WITH {_STATE} SELECT (SELECT count(*) FROM files) AS files_discovered, (SELECT count(*) FROM files) - (SELECT count(*) FROM changed) AS files_skipped, 0::BIGINT AS files_failed, (SELECT count(DISTINCT source_path) FROM changed) AS files_processed, (SELECT count(*) FROM changed) AS chunks_written, (SELECT count(*) FROM gone) AS files_pruned",
+    "line_groups": "SELECT * FROM (VALUES ('d', 0::BIGINT, '1 Scope'), ('d', 1, 'of work here'), ('d', 2, '1.1 Limits'), ('d', 3, 'body text'), ('d', 4, '2 Next'), ('d', 5, 'end')) v(doc, line, text)",
+    "section_paths": "SELECT * FROM (VALUES ('d', 0::BIGINT, 1::BIGINT, '1 Scope'), ('d', 1, 0, '1 Scope'), ('d', 2, 2, '1 Scope > 1.1 Limits'), ('d', 3, 0, '1 Scope > 1.1 Limits'), ('d', 4, 1, '2 Next'), ('d', 5, 0, '2 Next')) v(doc, line, level, section_path)",
+    "example_join": "WITH d AS (SELECT 'L' || doc_id % 97 AS key, doc_id, lang FROM documents), r AS (SELECT key, max(doc_id) AS requirement FROM d WHERE lang = 'en' GROUP BY 1), c AS (SELECT key, max(doc_id) AS cases FROM d WHERE lang = 'de' GROUP BY 1), s AS (SELECT key, max(doc_id) AS script FROM d WHERE lang = 'fr' GROUP BY 1) SELECT key, coalesce(requirement, -1) AS requirement, coalesce(cases, -1) AS cases, coalesce(script, -1) AS script FROM r FULL JOIN c USING (key) FULL JOIN s USING (key)",
+    "distinct_sources": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY 1",
+    "parse_llm_json": r"SELECT doc_id, 1::BIGINT AS s_no, 'R' || doc_id AS requirement, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS description, 'Folder' AS folder, 'Default' AS optimization_technique, 'Negative' AS test_type, 'Boundary Value Analysis' AS test_technique, 'False' AS retired, 'Yes' AS scorable FROM documents WHERE trim(text) <> ''",
+}
