@@ -14,8 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries a worker keeps of each table; a full table is emptied, so memory is bounded.
-TABLE_ENTRIES = 200_000
+#: The table of arcs has 2 to this power entries.
+ARC_BITS = 21
+#: Characters whose chunks are looked up together.
+GROUP_CHARS = 2_000_000
+#: Symbols up to which words are encoded side by side.
+TOGETHER = 64
+#: Entries a worker keeps of each table, twice where old ones are kept too; so memory is bounded.
+TABLE_ENTRIES = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -44,18 +50,12 @@ class MergeAutomaton:
         for label, i in vocab.items():
             self.labels[i] = label
         self.rule: dict[int, int] = {}
-        self.table: dict[int, bool] = {}
         self.states = 1
         for k, (a, b) in enumerate(merges):
             left, right, joint = vocab[a], vocab[b], vocab[a + b]
             if max(self.rank[left], self.rank[right]) >= k or self.rank[joint] >= 0:
                 raise ValueError(f"merge {k} uses a token before it is made, or makes one twice")
             self._gadget(k, left, right, joint)
-        self.table.clear()
-        suffixes = set()
-        for label in vocab:
-            suffixes.update(label[i:] for i in range(len(label)))
-        self.suffixes = suffixes
 
     def _gadget(self, k: int, left: int, right: int, joint: int) -> None:
         if self._arc(left, right, k):
@@ -78,39 +78,146 @@ class MergeAutomaton:
             else:  # the arc was put where its left part had one
                 token, until = parts[token][0], t
 
-    def allowed(self, last: int, token: int) -> bool:
-        key = last << 32 | token
-        got = self.table.get(key)
-        if got is None:
-            if len(self.table) >= TABLE_ENTRIES:
-                self.table.clear()
-            got = self.table[key] = self._arc(last, token, 1 << 60)
-        return got
-
-    def encode_word(self, symbols: list[str]) -> list[int]:
-        """The accepted path over `symbols`: for each place, the one token that may end there."""
-        ids, suffixes, allowed = self.ids, self.suffixes, self.allowed
-        last, came = [-1], [0]
-        for end in range(1, len(symbols) + 1):
-            piece, found, at = "", -1, end
-            while at:
-                at -= 1
-                piece = symbols[at] + piece
-                if piece not in suffixes:
-                    break
-                token = ids.get(piece)
-                if token is not None and (at == 0 or last[at] >= 0 and allowed(last[at], token)):
-                    found = token
+    def index(self, spell) -> None:
+        """Lay the tokens out by their symbols as a hashed table of steps (node, symbol) -> node.
+
+        spell(label) gives a label's symbols as numbers under 1024.
+        """
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for label, token in self.ids.items():
+            node = 0
+            for symbol in spell(label):
+                node = steps.setdefault(node << 10 | symbol, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = token
+        self.steps, self.ends = steps, np.array(ends, np.int32)
+        self.bits = (4 * len(steps)).bit_length()
+        self.step_keys, self.step_nodes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        for key, node in steps.items():
+            at = int(self._slot(np.array([key]), self.bits)[0])
+            while self.step_keys[at] >= 0:
+                at = (at + 1) & (1 << self.bits) - 1
+            self.step_keys[at], self.step_nodes[at] = key, node
+        self.arc_keys, self.arc_open = np.full(1 << ARC_BITS, -1, np.int64), np.zeros(1 << ARC_BITS, bool)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _step(self, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where the symbols lead from the nodes; -1: nowhere. A symbol of -1 leads nowhere."""
+        keys = nodes.astype(np.int64) << 10 | np.maximum(symbols, 0)
+        at, out = self._slot(keys, self.bits), np.full(len(keys), -1, np.int32)
+        left = np.flatnonzero(symbols >= 0)
+        while len(left):
+            seen = self.step_keys[at[left]]
+            hit = left[seen == keys[left]]
+            out[hit] = self.step_nodes[at[hit]]
+            left = left[(seen != keys[left]) & (seen >= 0)]
+            at[left] = (at[left] + 1) & (1 << self.bits) - 1
+        return out
+
+    def _arcs(self, last: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """allowed() of many pairs, through a table that each new pair overwrites one entry of."""
+        keys = last.astype(np.int64) << 32 | tokens
+        at = self._slot(keys, ARC_BITS)
+        out = self.arc_open[at]
+        new = np.flatnonzero(self.arc_keys[at] != keys)
+        if len(new):
+            found, where = np.unique(keys[new], return_inverse=True)
+            arcs = np.array([self._arc(k >> 32, k & 0xFFFFFFFF, 1 << 60) for k in found.tolist()])
+            out[new] = arcs[where]
+            slots = self._slot(found, ARC_BITS)
+            self.arc_keys[slots], self.arc_open[slots] = found, arcs
+            clash = self.arc_keys[slots] != found  # two new pairs of one slot: the entry must be of the pair it names
+            self.arc_keys[slots[clash]] = -1
+        return out
+
+    def encode_words(self, words: list[list[int]]) -> list[bytes]:
+        """The accepted path over each word's symbols, as little-endian unsigned 32-bit ids.
+
+        All words go forward together: at each place that an accepted path reaches (there is one such
+        path at most), the table leads through the tokens that begin there, and those that the path's
+        last token has an arc for reach further places.
+        """
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        at = 0
+        while len(order) and lengths[order[-1]] > TOGETHER:  # few; side by side they would be mostly padding
+            out[order[-1]] = self._encode_long(words[order[-1]])
+            order = order[:-1]
+        while at < len(order):
+            longest = max(8, 2 * int(lengths[order[at]]))
+            stop = min(int(np.searchsorted(lengths[order], longest, "right")), at + max(1, (1 << 20) // longest))
+            some = order[at:stop]
+            for k, ids in zip(some.tolist(), self._encode_block([words[k] for k in some], lengths[some])):
+                out[k] = ids
+            at = stop
+        return out
+
+    def _encode_long(self, symbols: list[int]) -> bytes:
+        """One word's accepted path, place by place."""
+        steps, ends, n = self.steps, self.ends.tolist(), len(symbols)
+        last, came, arcs = [-2] * (n + 1), [0] * (n + 1), {}
+        last[0] = -1
+        for start in range(n):
+            before, node = last[start], 0
+            if before == -2:
+                continue
+            for end in range(start, n):
+                node = steps.get(node << 10 | symbols[end])
+                if node is None:
                     break
-            last.append(found)
-            came.append(at)
-        out, end = [], len(symbols)
+                token = ends[node]
+                if token >= 0:
+                    key = before << 32 | token
+                    if start and key not in arcs:
+                        arcs[key] = self._arc(before, token, 1 << 60)
+                    if not start or arcs[key]:
+                        last[end + 1], came[end + 1] = token, start
+        out, end = [], n
         while end:
-            if last[end] < 0:
+            if last[end] == -2:
                 raise ValueError("a symbol is not in the vocabulary")
             out.append(last[end])
             end = came[end]
-        return out[::-1]
+        return struct.pack(f"<{len(out)}I", *out[::-1])
+
+    def _encode_block(self, words: list[list[int]], lengths: np.ndarray) -> list[bytes]:
+        n, m = len(words), int(lengths.max(initial=0))
+        symbols = np.full((n, m), -1, np.int32)
+        symbols[np.arange(m) < lengths[:, None]] = [x for w in words for x in w]
+        last, came = np.full((n, m + 1), -2, np.int32), np.zeros((n, m + 1), np.int32)
+        last[:, 0] = -1
+        for start in range(m):
+            rows = np.flatnonzero(last[:, start] != -2)
+            node, before = np.zeros(len(rows), np.int32), last[rows, start]
+            for end in range(start, m):
+                node = self._step(node, symbols[rows, end])
+                on = node >= 0
+                rows, node, before = rows[on], node[on], before[on]
+                if not len(rows):
+                    break
+                token = self.ends[node]
+                whole = np.flatnonzero(token >= 0)
+                if start and len(whole):
+                    whole = whole[self._arcs(before[whole], token[whole])]
+                last[rows[whole], end + 1], came[rows[whole], end + 1] = token[whole], start
+        rows, place, columns = np.arange(n), lengths.copy(), []
+        if np.any(last[rows, place] == -2):
+            raise ValueError("a symbol is not in the vocabulary")
+        while np.any(place > 0):
+            columns.append(np.where(place > 0, last[rows, place], -1))
+            place = np.where(place > 0, came[rows, place], 0)
+        if not columns:
+            return [b""] * n
+        path = np.stack(columns[::-1], axis=1)
+        flat = path[path >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum((path >= 0).sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class WordBPE:
@@ -129,39 +236,52 @@ class WordBPE:
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.symbols = byte_symbols()
+        number = {c: b for b, c in enumerate(byte_symbols())}
+        end = self.end
+
+        def spell(label: str) -> list[int]:
+            final = bool(end) and label.endswith(end)
+            spelt = [number[c] for c in (label[: -len(end)] if final else label)]
+            if final:
+                spelt[-1] += 256  # a byte at a word's end is a symbol of its own
+            return spelt
+
+        self.automaton.index(spell)
         self.labels = {**{i: t for i, t in enumerate(self.automaton.labels)}, **{i: t for t, i in self.added.items()}}
-        self.cache: dict[str, list[int]] = {}
-
-    def _word(self, word: str) -> list[int]:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= TABLE_ENTRIES:
-                self.cache.clear()
-            symbols = [self.symbols[b] for b in word.encode("utf-8")]
-            symbols[-1] += self.end
-            got = self.cache[word] = self.automaton.encode_word(symbols)
-        return got
-
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a piece of text without white space (white space is never part of a token)."""
-        out: list[int] = []
-        parts = self.split_added.split(chunk) if self.split_added and "<|" in chunk else [chunk]
-        for part in parts:
+        self.added_ids = {t: struct.pack("<I", i) for t, i in self.added.items()}
+
+    def _symbols(self, word: str) -> list[int]:
+        symbols = list(word.encode("utf-8", "replace"))
+        if self.end:
+            symbols[-1] += 256
+        return symbols
+
+    def parts(self, chunk: str) -> list[str]:
+        """Words and special tokens of a piece of text without white space (which is never part of a token)."""
+        out: list[str] = []
+        for part in self.split_added.split(chunk) if self.split_added and "<|" in chunk else [chunk]:
             if part in self.added:
-                out.append(self.added[part])
+                out.append(part)
             elif part:
                 if not part.isascii():
                     # letter by letter, as the library does: no rule for a sigma at a word's end
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for word in self.words.findall(part.lower()):
-                    out += self._word(word)
+                part = part.lower()
+                out += [part] if part.isascii() and part.isalpha() else self.words.findall(part)
         return out
 
+    def encode_chunks(self, some: list[str]) -> list[bytes]:
+        """Packed ids of each chunk; their words are encoded together, each once."""
+        parts = [self.parts(c) for c in some]
+        words = list({w: None for p in parts for w in p if w not in self.added_ids})
+        ids = dict(zip(words, self.automaton.encode_words([self._symbols(w) for w in words]))) | self.added_ids
+        return [b"".join([ids[w] for w in p]) for p in parts]
+
     def encode(self, text: str) -> list[int]:
-        return [i for chunk in chunks(text) for i in self.encode_chunk(chunk)]
+        data = b"".join(self.encode_chunks(chunks(text)))
+        return list(struct.unpack(f"<{len(data) // 4}I", data))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The labels of the path's arcs, parted by blanks (the file names no decoder)."""
         return " ".join(self.labels[i] for i in ids)
 
@@ -186,30 +306,50 @@ def tokenizer(path: str) -> WordBPE:
     return _loaded[path]
 
 
-class _Kept(dict):
-    """chunk -> what is made of its ids; emptied when full."""
-
-    def __init__(self, bpe: WordBPE, make):
-        super().__init__()
-        self.bpe, self.make = bpe, make
+class Kept:
+    """chunk -> a value made of its ids; the table in use becomes the old one when full, so memory is bounded."""
+
+    def __init__(self, bpe: WordBPE, make=None, entries: int = TABLE_ENTRIES):
+        self.bpe, self.make, self.entries = bpe, make, entries
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def values(self, docs: list[list[str]]) -> list[list]:
+        """Of each document's chunks, the values."""
+        out = [list(map(self.new.get, d)) for d in docs]
+        gaps = [k for k, v in enumerate(out) if None in v]
+        if gaps:
+            missing = {c: self.old.get(c) for k in gaps for c, v in zip(docs[k], out[k]) if v is None}
+            fresh = [c for c, v in missing.items() if v is None]
+            ids = self.bpe.encode_chunks(fresh)
+            missing.update(zip(fresh, map(self.make, ids) if self.make else ids))
+            for k in gaps:
+                out[k] = [missing[c] if v is None else v for c, v in zip(docs[k], out[k])]
+            if len(self.new) + len(missing) > self.entries:
+                self.old, self.new = self.new, {}
+            self.new.update((c, v) for c, v in missing.items() if len(c) <= 64)
+        return out
 
-    def __missing__(self, chunk: str):
-        if len(self) >= TABLE_ENTRIES:
-            self.clear()
-        got = self.make(self.bpe.encode_chunk(chunk))
-        if len(chunk) <= 64:
-            self[chunk] = got
-        return got
+    def of_texts(self, texts: list[str | None]) -> Iterator[list]:
+        """The values of each text's chunks; a null text has none."""
+        group, size = [], 0
+        for text in texts:
+            group.append(chunks(text or ""))
+            size += len(text or "")
+            if size >= GROUP_CHARS:
+                yield from self.values(group)
+                group, size = [], 0
+        yield from self.values(group)
 
 
-_made: dict[tuple[str, str], _Kept] = {}
+_made: dict[tuple[str, str], Kept] = {}
 
 
-def packed_ids(path: str) -> _Kept:
+def packed_ids(path: str) -> Kept:
     """chunk -> its ids as little-endian unsigned 32-bit numbers."""
     key = (path, "packed")
     if key not in _made:
-        _made[key] = _Kept(tokenizer(path), lambda ids: np.array(ids, dtype="<u4").tobytes())
+        _made[key] = Kept(tokenizer(path))
     return _made[key]
 
 
@@ -241,20 +381,21 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = tokenizer(path)
         key = (path, "digest")
         if key not in _made:
-            _made[key] = _Kept(bpe, lambda ids: (" ".join(map(str, ids)), bpe.decode(ids), len(ids)))
+
+            def digested(data: bytes) -> tuple[str, str, int]:
+                ids = struct.unpack(f"<{len(data) // 4}I", data)
+                return " ".join(map(str, ids)), bpe.decode(ids), len(ids)
+
+            _made[key] = Kept(bpe, digested)
         kept = _made[key]
         sha = hashlib.sha256
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                parts = [p for p in map(kept.__getitem__, chunks(text or "")) if p[2]]
+            for parts in kept.of_texts(batch.column(1).to_pylist()):
+                parts = [p for p in parts if p[2]]
                 nums, labels, ns = zip(*parts) if parts else ((), (), ())
                 rows.append((sum(ns), sha(" ".join(nums).encode()).hexdigest(), sha(" ".join(labels).encode()).hexdigest()))
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
