@@ -94,7 +94,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     for q in np.linspace(0.2, 0.9, 29):
         cut = np.quantile(positive, 1 - q)
         p, u = np.mean(positive >= cut), np.mean(unlabelled >= cut)
-        best = min(best, (u + math.sqrt(u * (1 - u) / max(1, len(unlabelled)))) / max(p, 1e-9))
+        slack = math.sqrt(u * (1 - u) / max(1, len(unlabelled)) + p * (1 - p) / max(1, len(positive)))
+        best = min(best, (u + slack) / max(p, 1e-9))
     return float(np.clip(best, 0.01, 0.99))
 
 
@@ -108,11 +109,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 800, decay: f
     mean, scale = u.mean(axis=0), u.std(axis=0) + 1e-3
     p, u = (np.hstack([(x - mean) / scale, np.ones((len(x), 1))]) for x in (p, u))
 
-    def shrink(w: np.ndarray) -> np.ndarray:
-        return decay * np.r_[w[:-1], 0]
+    def shrink(w: np.ndarray, by: float = decay) -> np.ndarray:
+        return by * np.r_[w[:-1], 0]
 
     def plain(w: np.ndarray) -> np.ndarray:
-        return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + shrink(w)
+        # shrunk more: trusted positives mustn't score above those of the unlabelled just for being fitted on
+        return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + shrink(w, 10 * decay)
 
     first = _adam(plain, k + 1, steps // 2)
     prior = estimate_prior(p @ first, u @ first)
