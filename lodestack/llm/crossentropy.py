@@ -235,7 +235,7 @@ def score(docs: DataFrame, target: Column, words: int = WORDS, id_col: str = "do
 
     def meet(key: tuple, pairs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
-            return pd.DataFrame({"grp": [], "sums": []})
+            return pd.DataFrame({"grp": [], "sums": []}, dtype=object)
         table, losses = np.frombuffer(found["keys"].iloc[0], np.uint32), np.frombuffer(found["losses"].iloc[0], np.float32).reshape(-1, 2)
         out = []
         for keys, owner in zip(pairs["a"], pairs["b"]):
@@ -243,7 +243,7 @@ def score(docs: DataFrame, target: Column, words: int = WORDS, id_col: str = "do
             owner = np.frombuffer(owner, np.uint16)
             sums = np.stack([np.bincount(owner, losses[at, k], int(owner[-1]) + 1 if len(owner) else 0) for k in range(2)], axis=1)
             out.append(sums.astype(np.float32).tobytes())
-        return pd.DataFrame({"grp": pairs["grp"], "sums": out})
+        return pd.DataFrame({"grp": pairs["grp"].tolist(), "sums": out}, dtype=object)
 
     sums = dealt.where("bucket >= 0").select("bucket", "grp", "a", "b").groupBy("bucket").cogroup(model.select("bucket", "keys", "losses").groupBy("bucket")).applyInPandas(meet, "grp string, sums binary")
     sums = sums.groupBy("grp").agg(F.collect_list("sums").alias("sums"))  # at most a row a bucket, of a group of bounded size
