@@ -104,8 +104,8 @@ def swaps(found: Counter) -> list[tuple[list[int], list[int], float]]:
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, found: Counter, penalty: float = 30.0, decay: float = 1e-5, sparse: float = 1e-4, steps: int = 150, rate: float = 0.1, share: float | None = None) -> Model:
-    """Minimise the log loss + decay |w|^2 + sparse |w| + penalty * mean squared change of the score under the swaps.
+def fit(rows: list[np.ndarray], labels: np.ndarray, found: Counter, penalty: float = 30.0, decay: float = 1e-5, sparse: float = 2e-2, steps: int = 150, rate: float = 0.1, share: float | None = None) -> Model:
+    """Minimise the log loss + decay |w|^2 + sparse / sqrt(rows) |w| + penalty * mean squared change of the score under the swaps.
 
     The absolute term keeps the many words that tell nothing at zero, so that a long document is judged like a short one. share: the positives' share where labels come from, if
     the rows hold another.
@@ -132,6 +132,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, found: Counter, penalty: flo
     swap_sign = np.concatenate([np.r_[-np.ones(len(o)), np.ones(len(i))] for o, i, _ in pairs])
     swap_row = np.repeat(np.arange(len(pairs)), [len(o) + len(i) for o, i, _ in pairs])
     swap_weight = np.array([w for *_, w in pairs]) / len(IDENTITY_TERMS)
+    sparse /= math.sqrt(n)
     w, bias = np.zeros(k), 0.0
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, steps + 1):
