@@ -35,12 +35,15 @@ class KeywordIndex:
         return cls(terms, stats)
 
     def scores(self, query: str) -> DataFrame:
-        """(id, score) of rows scoring above 0; query tokens count as often as they occur."""
+        """(id, score) of rows scoring above 0; query tokens count as often as they occur.
+
+        Scores are rounded to nine digits, so that rows that tie do so in whatever order their terms were summed.
+        """
         spark = self.postings.sparkSession
         asked = spark.range(1).select(F.explode(keywords(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
         weights = self.stats.join(F.broadcast(asked), "term")
         part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-        return self.postings.join(F.broadcast(weights), "term").groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")  # weights: a row a query term
+        return self.postings.join(F.broadcast(weights), "term").groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")  # weights: a row a query term
 
     def search(self, query: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """The k best, ties to the smaller id; allowed(id): the filter is put on after scoring, as the statistics are global."""

@@ -345,7 +345,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, whole),
 stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 asked AS (SELECT term, count(*) AS times FROM (SELECT unnest({_KEYWORDS.format(f"'{BM25_QUERY}'")}) AS term) GROUP BY 1),
-scored AS (SELECT doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+scored AS (SELECT doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 9) AS score
   FROM tf JOIN asked USING (term) JOIN stats USING (term) JOIN dl USING (doc_id), whole GROUP BY 1 HAVING score > 0)"""
 _DENSE = """
 dense AS (SELECT e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity
