@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -22,7 +23,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
+#: ASCII characters that are neither letters, digits nor white space.
+PUNCTUATION = string.punctuation
 #: The table of arcs has 2 to this power entries.
 ARC_BITS = 21
 #: Characters whose chunks are looked up together.
@@ -135,8 +139,8 @@ class MergeAutomaton:
             self.arc_keys[slots[clash]] = -1
         return out
 
-    def encode_words(self, words: list[list[int]]) -> list[bytes]:
-        """The accepted path over each word's symbols, as little-endian unsigned 32-bit ids.
+    def encode_words(self, words: list[bytes], final: int) -> list[bytes]:
+        """The accepted path over each word's bytes, as little-endian unsigned 32-bit ids; final is added to a word's last symbol.
 
         All words go forward together: at each place that an accepted path reaches (there is one such
         path at most), the table leads through the tokens that begin there, and those that the path's
@@ -144,18 +148,25 @@ class MergeAutomaton:
         """
         out: list[bytes] = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+        ends = np.cumsum(lengths)
+        symbols[ends - 1] += final
         order = np.argsort(lengths, kind="stable")
-        at = 0
         while len(order) and lengths[order[-1]] > TOGETHER:  # few; side by side they would be mostly padding
-            out[order[-1]] = self._encode_long(words[order[-1]])
+            k = order[-1]
+            out[k] = self._encode_long(symbols[ends[k] - lengths[k] : ends[k]].tolist())
             order = order[:-1]
+        at, sizes = 0, lengths[order]
         while at < len(order):
-            longest = max(8, 2 * int(lengths[order[at]]))
-            stop = min(int(np.searchsorted(lengths[order], longest, "right")), at + max(1, (1 << 20) // longest))
-            some = order[at:stop]
-            for k, ids in zip(some.tolist(), self._encode_block([words[k] for k in some], lengths[some])):
+            longest = max(8, int(sizes[at]) + 4)
+            some = order[at : min(int(np.searchsorted(sizes, longest, "right")), at + (1 << 20) // longest)]
+            wide = int(lengths[some[-1]])
+            place = np.arange(wide) < lengths[some, None]
+            block = np.full((len(some), wide), -1, np.int32)
+            block[place] = symbols[((ends - lengths)[some, None] + np.arange(wide))[place]]
+            for k, ids in zip(some.tolist(), self._encode_block(block, lengths[some])):
                 out[k] = ids
-            at = stop
+            at += len(some)
         return out
 
     def _encode_long(self, symbols: list[int]) -> bytes:
@@ -186,10 +197,8 @@ class MergeAutomaton:
             end = came[end]
         return struct.pack(f"<{len(out)}I", *out[::-1])
 
-    def _encode_block(self, words: list[list[int]], lengths: np.ndarray) -> list[bytes]:
-        n, m = len(words), int(lengths.max(initial=0))
-        symbols = np.full((n, m), -1, np.int32)
-        symbols[np.arange(m) < lengths[:, None]] = [x for w in words for x in w]
+    def _encode_block(self, symbols: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        n, m = symbols.shape
         last, came = np.full((n, m + 1), -2, np.int32), np.zeros((n, m + 1), np.int32)
         last[:, 0] = -1
         for start in range(m):
@@ -236,6 +245,8 @@ class WordBPE:
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.newer = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
+        self.normalizer = Tokenizer.from_file(path).normalizer
         number = {c: b for b, c in enumerate(byte_symbols())}
         end = self.end
 
@@ -250,12 +261,6 @@ class WordBPE:
         self.labels = {**{i: t for i, t in enumerate(self.automaton.labels)}, **{i: t for t, i in self.added.items()}}
         self.added_ids = {t: struct.pack("<I", i) for t, i in self.added.items()}
 
-    def _symbols(self, word: str) -> list[int]:
-        symbols = list(word.encode("utf-8", "replace"))
-        if self.end:
-            symbols[-1] += 256
-        return symbols
-
     def parts(self, chunk: str) -> list[str]:
         """Words and special tokens of a piece of text without white space (which is never part of a token)."""
         out: list[str] = []
@@ -263,18 +268,28 @@ class WordBPE:
             if part in self.added:
                 out.append(part)
             elif part:
+                if not part.isascii() and any(unicodedata.category(c) == "Cn" for c in part):
+                    # characters newer than this Python's tables: the library's own tables decide
+                    out += [w for w, _ in self.newer.pre_tokenize_str(self.normalizer.normalize_str(part))]
+                    continue
                 if not part.isascii():
                     # letter by letter, as the library does: no rule for a sigma at a word's end
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 part = part.lower()
-                out += [part] if part.isascii() and part.isalpha() else self.words.findall(part)
+                core = part.rstrip(PUNCTUATION)
+                if core.isalpha():  # letters, then perhaps punctuation, which stays together
+                    out.append(core)
+                    if len(core) < len(part):
+                        out.append(part[len(core) :])
+                else:
+                    out += self.words.findall(part)
         return out
 
     def encode_chunks(self, some: list[str]) -> list[bytes]:
         """Packed ids of each chunk; their words are encoded together, each once."""
         parts = [self.parts(c) for c in some]
         words = list({w: None for p in parts for w in p if w not in self.added_ids})
-        ids = dict(zip(words, self.automaton.encode_words([self._symbols(w) for w in words]))) | self.added_ids
+        ids = dict(zip(words, self.automaton.encode_words([w.encode("utf-8", "replace") for w in words], 256 if self.end else 0))) | self.added_ids
         return [b"".join([ids[w] for w in p]) for p in parts]
 
     def encode(self, text: str) -> list[int]:
