@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ REFINE_ROWS = 16_384
 SHIFT_RUN = 1_024
 #: Lanes that are compared together.
 LANES = 32_768
+#: Rounds of few pairs of each group before all pairs between components are compared.
+ROUNDS = 2
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # fixed values: odd 64-bit mixing constants
 
 
@@ -159,20 +162,21 @@ def _keys(fps: np.ndarray, positions: list[int], salt: int) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.uint8)
 
 
 def _dealt(df: DataFrame, index: Blocks | Bands, paths: list[tuple], parents: list[tuple] | None) -> DataFrame:
     """df(fp[, key, path]) -> a row (path, key, fp) for each path, or each of paths that goes on from the row's.
 
+    Bytes of fp beyond the index' bits are carried along.
     parents: what the numbers in df's `path` stand for; those in the result's stand for paths.
     """
     width = index.bits // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = _matrix(batch.column(0), width)
+            fps = _matrix(batch.column(0))[:, :width]
             if parents is None:
                 jobs = [(k, np.arange(len(fps)), p, None) for k, p in enumerate(paths)]
             else:
@@ -317,12 +321,54 @@ def _edges(fps: np.ndarray, run: np.ndarray, radius: int) -> list[tuple[int, int
     return out
 
 
-def _linked(dealt: DataFrame, index: Blocks | Bands) -> DataFrame:
-    """Edges (u, v) of the spanning forests of all buckets (path, key) of dealt."""
-    width, radius = index.bits // 8, index.radius
+def _first_near(pairs: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of near pairs, each row's with the row of the smallest rank."""
+    a, b = np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]]
+    order = np.lexsort((rank[b], a))
+    a, b = a[order], b[order]
+    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+    return np.stack([a[first], b[first]], axis=1)
+
+
+def _crossing(fps: np.ndarray, label: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """All near pairs of one run whose labels differ."""
+    found = []
+    if len(np.unique(label)) > 1:
+        p, full = planes(fps), np.uint64(0xFFFFFFFFFFFFFFFF)
+        for at in range(len(fps) - 1):
+            skip = at // 64
+            wanted = _mask((label[skip * 64 :] != label[at]) & (np.arange(skip * 64, len(fps)) > at), p.shape[1] - skip)
+            q = np.unpackbits(fps[at])
+            near = _lanes(within(lambda k: p[k, skip:] ^ full if q[k] else p[k, skip:], len(q), wanted, radius))
+            found += [(at, skip * 64 + x) for x in near.tolist()]
+    return found
+
+
+def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, turn: int | None) -> list[tuple[int, int]]:
+    """Near pairs of equal run and differing labels; rows are fingerprints, digests and labels.
+
+    turn: None gives all of them; else each row has a pair with the first of its near rows, by an order that
+    turns with the number, so that a group gives no more pairs than rows.
+    """
+    fps, label = rows[:, :width], np.ascontiguousarray(rows[:, -8:]).view(np.uint64)[:, 0]
+    rank = (np.ascontiguousarray(rows[:, width : width + 8]).view(np.uint64)[:, 0] ^ np.uint64(turn or 0)) * np.uint64(_MIX[1])
+    begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    sizes = np.diff(np.r_[begins, len(run)])
+    short = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHIFT_RUN), sizes))
+    pairs = short[np.array(_near_by_shifts(fps[short], run[short], radius), np.int64).reshape(-1, 2)] if len(short) else np.zeros((0, 2), np.int64)
+    pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+    out = list(map(tuple, (pairs if turn is None else _first_near(pairs, rank)).tolist()))
+    for b, n in zip(begins[sizes > SHIFT_RUN].tolist(), sizes[sizes > SHIFT_RUN].tolist()):
+        at = b + np.argsort(rank[b : b + n])
+        out += [(int(at[x]), int(at[y])) for x, y in (_crossing(fps[at], label[at], radius) if turn is None else _grown(fps[at], radius))]
+    return out
+
+
+def _linked(dealt: DataFrame, index: Blocks | Bands, pairs_of: Callable) -> DataFrame:
+    """Edges (u, v) that pairs_of finds in all buckets (path, key) of dealt."""
 
     def out(fps: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = _edges(fps, run, radius)
+        pairs = pairs_of(fps, run)
         if pairs:
             a, b = zip(*pairs)
             data = [fps[i].tobytes() for i in a], [fps[i].tobytes() for i in b]
@@ -333,7 +379,7 @@ def _linked(dealt: DataFrame, index: Blocks | Bands) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fps.append(_matrix(batch.column(2), width))
+            fps.append(_matrix(batch.column(2)))
             runs.append(batch.column(1).to_numpy() * 64 + batch.column(0).to_numpy())
             n += batch.num_rows
             if n >= LANES:
@@ -348,20 +394,21 @@ def _linked(dealt: DataFrame, index: Blocks | Bands) -> DataFrame:
     return dealt.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "u binary, v binary")
 
 
-def links(distinct: DataFrame, index: Blocks | Bands) -> DataFrame:
-    """Edges (u, v) that connect just what the index finds within the radius, at most one a row and table.
+def links(distinct: DataFrame, index: Blocks | Bands, pairs_of: Callable | None = None) -> DataFrame:
+    """Edges (u, v) that connect just what the index finds within the radius, at most one a row and table; or pairs_of's.
 
     distinct(fp): fingerprints, each once. Buckets of over REFINE_ROWS rows are dealt anew by further
     bits until they are smaller or no bits are left, at which a bucket is bounded by what those bits can hold.
     """
     paths, found = index.roots(), None
+    pairs_of = pairs_of or partial(_edges, radius=index.radius)
     dealt = written(_dealt(distinct, index, paths, None), "dealt")
     while True:
         large = dealt.groupBy("path", "key").count().where(F.col("count") > REFINE_ROWS).select("path", "key")
         large = written(large, "large")
         further = [(*p, s) for p in paths for s in index.steps(p)]
         stop = not further or not large.limit(1).count()
-        part = _linked(dealt if stop else dealt.join(large, ["path", "key"], "left_anti"), index)
+        part = _linked(dealt if stop else dealt.join(large, ["path", "key"], "left_anti"), index, pairs_of)
         found = part if found is None else found.unionByName(part)
         if stop:
             return found
@@ -388,3 +435,80 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
     classes = written(classes, "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(classes.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str, with_set: bool) -> DataFrame:
+    """(id, node binary[, hashes binary]) of every row: the fingerprint of the set of shingles with the set's XXH64, and the sorted set."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets, at = [], [], 0
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                h = np.unique(shingle_hashes(text, shingle))
+                sets.append(h.tobytes())
+                nodes.append(fingerprint(h, words) + xxhash.xxh64_digest(sets[-1]))
+                if with_set and (k - at >= 256 or k + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : k + 1], pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=[id_col, "node", "hashes"])
+                    nodes, sets, at = [], [], k + 1
+                elif not with_set:
+                    sets.clear()
+            if not with_set:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary())], names=[id_col, "node"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, node binary" + (", hashes binary" if with_set else ""))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of pairs(u, v) whose sets(node, hashes) have a Jaccard similarity of `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                small, large = sorted((len(a), len(b)))
+                both = len(np.intersect1d(a, b, assume_unique=True)) if small >= least * large else 0
+                keep.append(both > 0 and both / (small + large - both) >= least)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c, h: sets.select(F.col("node").alias(c), F.col("hashes").alias(h))
+    both = pairs.join(of("u", "hu"), "u").join(of("v", "hv"), "v").select("u", "v", "hu", "hv")
+    return both.mapInArrow(run, "u binary, v binary")
+
+
+def similar_documents(docs: DataFrame, shingle: int, words: int, radius: int, agree: float, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every row: components over pairs of texts whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    Candidates are pairs within the radius that bands find, as in near_duplicates, but fingerprints are of
+    the sets; each pair is held against the sets themselves before it counts. Rounds first take few pairs of each
+    group, then all that lie between the components so found. Texts without words are alike. Rows with
+    the same id or text each give a row; other columns are ignored.
+    """
+    made = written(shingle_sets(docs, shingle, words, id_col, text_col, False), "nodes")
+    nodes = written(made.groupBy("node").agg(F.min(id_col).alias("least")), "distinct")
+    rows, width = nodes.count(), 8 * words
+    index = Bands.plan(8 * width, radius, rows, agree)
+    labelled = nodes.select(F.concat("node", F.substring("node", width + 1, 8)).alias("fp"))
+    sets = tried = edges = None
+    for turn in (*range(ROUNDS), None):
+        pairs_of = partial(_candidates, radius=radius, width=width, turn=turn)
+        cut = lambda c: F.substring(c, 1, width + 8)
+        pairs = links(labelled, index, pairs_of).select(cut("u").alias("u"), cut("v").alias("v"))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if sets is None:  # whatever has a near row is in a pair of the first round
+            near = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near")
+            texts = shingle_sets(docs, shingle, words, id_col, text_col, True).drop(id_col)
+            sets = written(texts.join(near, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = written(similar_pairs(pairs, sets, least), "similar")
+        edges = new if edges is None else edges.unionByName(new)
+        found = components(edges)
+        label = F.when(F.col("root").isNotNull(), F.unhex(F.lpad(F.hex(F.xxhash64("root")), 16, "0")))
+        labelled = near.join(found, "node", "left").select(F.concat("node", F.coalesce(label, F.substring("node", width + 1, 8))).alias("fp"))
+        labelled = written(labelled, "labelled") if turn is not None else None
+    classes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = written(classes, "classes")
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return made.join(classes.join(smallest, "root").select("node", "component_id"), "node").select(id_col, "component_id")
