@@ -10,7 +10,7 @@ reaches the best lower bounds seen are reranked on the original vectors in doubl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,6 +60,19 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
+def promising(q: np.ndarray, c: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+    """Rows of c, for each of q the k whose vectors can have the largest inner product: q.c + |q| reach, in any order.
+
+    reach: the largest distance of a cell's vectors from its centroid; -inf for a cell without any.
+    """
+    k, out = min(k, len(c)), []
+    for at in range(0, len(q), 2_048):
+        part = q[at : at + 2_048]
+        bound = part @ c.T + np.sqrt((part * part).sum(axis=1))[:, None] * reach
+        out.append(np.argpartition(-bound, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(part), 1)))
+    return np.concatenate(out) if out else np.zeros((0, k), int)
+
+
 class Codes:
     """One-bit codes of vectors around a centroid."""
 
@@ -118,7 +131,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = 0
     """(query_id, rank, vec_id, score): of each query's k nearest found by inner product, nearest first.
 
     vectors and queries hold (id, vector); a query never finds its own id. probe: the share of cells a
-    query looks into. Vectors that are null, zero, of another length than the first usable one's or hold
+    query looks into, those first that can hold the largest inner product by q.c + |q| x the cell's largest
+    offset, so that vectors may differ in length. Vectors that are null, zero, of another length than the first usable one's or hold
     null or non-finite components take no part. Ties go to the smaller id. A vector present twice under
     one id counts once. No usable vector or query gives no row; other columns are ignored.
     """
@@ -140,18 +154,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = 0
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy().reshape(-1, dim)
 
-    def deal(count: int):
+    def deal(choose: Callable):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cells = nearest(matrix(batch.column(1)), centres, count)
+                cells = choose(matrix(batch.column(1)))
                 at = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells.ravel().astype(np.int32))], names=["id", "v", "cell"])
 
         return run
 
     schema = f"id {kind}, v array<double>, cell int"
-    held = written(base.mapInArrow(deal(1), schema), "cells")
-    sought = written(asked.mapInArrow(deal(probes), schema), "probes")
+    held = written(base.mapInArrow(deal(lambda x: nearest(x, centres, 1)), schema), "cells")
+
+    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(1).to_numpy()
+            offset = matrix(batch.column(0)) - centres[cells]
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.sqrt((offset * offset).sum(axis=1)))], names=["cell", "reach"])
+
+    reach = np.full(len(centres), -np.inf)
+    for cell, most in held.select("v", "cell").mapInArrow(reaches, "cell int, reach double").groupBy("cell").agg(F.max("reach")).collect():  # a row a cell
+        reach[cell] = most
+    sought = written(asked.mapInArrow(deal(lambda q: promising(q, centres, reach, probes)), schema), "probes")
     # a cell is held in parts, and so are the queries that look into it: no part grows with the data
     parts = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"))
     blocks = sought.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
