@@ -16,14 +16,18 @@ _roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The application's own folder under spark.checkpoint.dir; a temporary one where that is unset.
+    """The application's own folder under spark.checkpoint.dir.
 
-    The folder goes when the driver's Python ends.
+    Where that is unset, a temporary one if all of Spark runs on this machine, and else an error: other
+    machines wouldn't see it. The folder goes when the driver's Python ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        base = base or f"file://{tempfile.mkdtemp(prefix='lodestack-')}"
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            base = f"file://{tempfile.mkdtemp(prefix='lodestack-')}"
         _roots[app] = f"{base.rstrip('/')}/lodestack-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]

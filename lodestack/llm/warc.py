@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,38 +53,70 @@ def _one_line(url: str | None) -> str:
     return "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "")
 
 
+#: Equal rows that are written by one task.
+REPEATS = 256
+
+
+def _keyed(pages: DataFrame) -> DataFrame:
+    """pages with every row's place in its group of equal payloads: (page_id, url, html, first_id, first_url, copy).
+
+    first_id and first_url name the response of a payload that several rows share (null: no other has
+    it), copy counts rows that are equal in everything. Payload groups are found over ids and hashes
+    alone; html moves once, by all of (page_id, url, hash), so that neither a common payload nor a
+    common id gathers it.
+    """
+    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    keys = own.groupBy("page_id", "url", "sha").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url")  # null ids come last
+    first = keys.groupBy("sha").agg(F.min(order).alias("first"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    shared = keys.join(first, "sha").select("page_id", "url", "sha", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.lit(True).alias("shared"))
+    shared = written(shared, "shared-payloads")
+    same = lambda a, b: a["sha"].eqNullSafe(b["sha"]) & a["page_id"].eqNullSafe(b["page_id"]) & a["url"].eqNullSafe(b["url"])
+    columns = ["page_id", "url", "html", "first_id", "first_url", "shared"]
+    marked = own.join(shared, same(own, shared), "left").where(F.coalesce(shared["n"], F.lit(1)) == 1)
+    out = marked.select(own["page_id"], own["url"], "html", "first_id", "first_url", "shared", F.lit(0).cast("long").alias("copy"))
+    if not shared.where("n > 1").isEmpty():  # rows equal in everything become one with their number, and that many again
+        many = shared.where("n > 1")
+        one = own.join(many, same(own, many)).groupBy(own["page_id"], own["url"], own["sha"], "n", "first_id", "first_url", "shared").agg(F.first("html").alias("html"))
+        parts = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / REPEATS))))
+        parts = parts.repartition("page_id", "url", "sha", "part")
+        copy = F.sequence(F.col("part") * REPEATS, F.least(F.col("n"), (F.col("part") + 1) * REPEATS) - 1)
+        out = out.unionByName(parts.select(*columns, F.explode(copy).alias("copy")))
+    return out
+
+
 def write_archives(pages: DataFrame, spark: SparkSession, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write pages(page_id, url, html) to archives in a new shared folder; returns the manifest (path, records, bytes).
 
-    Of pages with equal payloads the one with the smallest id is the response and the others revisit it;
-    a page with the same id as an earlier row is a capture of its own only if its row differs.
-    Files of attempts that failed stay out of the manifest.
+    Every row is a capture of its own, whose record id comes from its page_id, url, payload and, for rows
+    equal in all of these, its number. Of rows with equal payloads those with the smallest page_id are
+    responses and the others revisit the first of them; null ids count as larger than all others, and a
+    row without an id has no page-id field. Files of attempts that failed stay out of the manifest.
     """
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    same = own.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    own = own.join(same, "sha", "left").select("page_id", "url", "html", "first_id")
     folder = fresh_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        out, path, n, size, manifest, seen = None, "", 0, 0, [], set()
+        out, path, n, size, manifest = None, "", 0, 0, []
         for batch in batches:
-            for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, first_id, first_url, shared, copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path = f"{uuid.uuid4().hex}.warc.gz"
                     out, n, size = store.open_output_stream(f"{root}/{path}", compression=None), 0, 0
                     out.write(record("warcinfo", record_id("info", path), date, b"software: lodestack\r\nformat: WARC File Format 1.1\r\n", Content_Type="application/warc-fields"))
                 body, uri = html.encode("utf-8"), _one_line(url)
-                again = first is not None and first != page_id
-                main, digest = record_id("capture", page_id), f"sha1:{base32_sha1(body)}"
+                again = bool(shared) and first_id != page_id
+                name = base32_sha1(body)
+                key = _capture(page_id, url, name, copy)
+                main, digest = record_id("capture", key), f"sha1:{name}"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 ask = f"GET {uri} HTTP/1.1\r\n\r\n".encode()
-                fields = f"page-id: {page_id}\r\n".encode()
+                fields = b"" if page_id is None else f"page-id: {page_id}\r\n".encode()
                 for data in (
-                    record("request", record_id("request", page_id), date, ask, WARC_Target_URI=uri, WARC_Concurrent_To=main, Content_Type="application/http; msgtype=request"),
-                    record("revisit" if again else "response", main, date, head if again else head + body, WARC_Target_URI=uri, WARC_Payload_Digest=digest, WARC_Refers_To=record_id("capture", first) if again else None, WARC_Profile=REVISIT if again else None, Content_Type="application/http; msgtype=response"),
-                    record("metadata", record_id("metadata", page_id), date, fields, WARC_Target_URI=uri, WARC_Concurrent_To=main, Content_Type="application/warc-fields"),
+                    record("request", record_id("request", key), date, ask, WARC_Target_URI=uri, WARC_Concurrent_To=main, Content_Type="application/http; msgtype=request"),
+                    record("revisit" if again else "response", main, date, head if again else head + body, WARC_Target_URI=uri, WARC_Payload_Digest=digest, WARC_Refers_To=record_id("capture", _capture(first_id, first_url, name, 0)) if again else None, WARC_Profile=REVISIT if again else None, Content_Type="application/http; msgtype=response"),
+                    record("metadata", record_id("metadata", key), date, fields, WARC_Target_URI=uri, WARC_Concurrent_To=main, Content_Type="application/warc-fields"),
                 ):
                     out.write(data)
                 n, size = n + 3, size + len(head) + len(body)
@@ -98,7 +131,11 @@ def write_archives(pages: DataFrame, spark: SparkSession, date: str = "2024-01-0
             paths, ns, sizes = zip(*manifest)
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(ns, pa.int64()), pa.array(sizes, pa.int64())], names=["path", "records", "bytes"])
 
-    return written(own.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return written(_keyed(pages).mapInArrow(run, "path string, records long, bytes long"), "manifest")
+
+
+def _capture(page_id, url: str | None, digest: str, copy: int) -> str:
+    return json.dumps([page_id, url, digest, copy])
 
 
 def members(stream) -> Iterator[bytes]:
@@ -195,11 +232,13 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of archives written from pages and read back.
 
-    A null html is an empty payload. Rows with the same page_id and payload make one capture. An empty
-    table gives none.
+    One row for each row of pages, repeated ids and repeated rows included. A null html is an empty
+    payload, a null page_id stays null and refers_to is never null in a revisit but where the response
+    has no id either. An empty table gives none.
     """
+    kind = pages.schema["page_id"].dataType
     got = assemble(read_archives(write_archives(pages, spark), with_payload=False))
-    page = F.col("metadata.fields")["page-id"].cast("long")
+    page = F.col("metadata.fields")["page-id"].try_cast(kind)
     got = got.select("capture_id", page.alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), F.col("refers_to").alias("ref"))
     got = written(got, "captures")
     target = got.where("record_type = 'response'").select(F.col("capture_id").alias("ref"), F.col("page_id").alias("refers_to"))

@@ -29,6 +29,27 @@ def test_warc_round_trip(spark):
         assert c["response"]["payload"] is None if c["warc_type"] == "revisit" else bytes(c["response"]["payload"]) == (page[2] or "").encode()
 
 
+def test_every_row_is_a_capture(spark):
+    """Repeated and null ids, repeated rows and equal payloads: a row each."""
+    pages = [(1, "a", "x"), (1, "a", "y"), (2, "b", "x"), (2, "b", "x"), (None, "c", "x"), (None, None, "z"), (None, None, "z"), (3, "d", "z"), (4, "e", "only"), (None, "f", "alone")]
+    pages += [(5, "g", "many")] * 600 + [(6, "h", None), (6, "i", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    ids = {}
+    for i, _, h in pages:
+        ids.setdefault(h or "", []).append(i)
+    first = {h: min((i for i in some if i is not None), default=None) for h, some in ids.items()}
+    want = Counter()
+    for i, _, h in pages:
+        h = h or ""
+        kind, ref = ("response", None) if first[h] == i else ("revisit", first[h])
+        want[i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), kind, ref] += 1
+    assert Counter(map(tuple, warc.round_trip(df, spark).collect())) == want
+    records = warc.read_archives(warc.write_archives(df, spark)).where("warc_type <> 'warcinfo'").collect()
+    assert len({r["record_id"] for r in records}) == 3 * len(pages)
+    responses = {r["record_id"] for r in records if r["warc_type"] == "response"}
+    assert all(r["refers_to"] in responses for r in records if r["warc_type"] == "revisit")
+
+
 def test_cut_short_archives_are_told(tmp_path):
     data = warc.record("metadata", "<a>", "d", b"x: y\r\n")
     import io
