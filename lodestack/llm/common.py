@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: White space as the word contracts define it: blank and the five controls from tab on.
 WORD_BREAKS = r"[\x20\x09-\x0D]+"
 
+#: Rows of a bucket of numbered(), on average.
+BUCKET_ROWS = 50_000
+
 _roots: dict[str, str] = {}
 
 
@@ -53,14 +56,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows: int) -> DataFrame:
     """Add `name`: the row's number from 0 within its group, whole groups never meeting in one task.
 
-    Rows are dealt to buckets by a hash of the order columns, numbered there, and moved up by the
-    rows of the buckets before; the table of counts has at most groups x buckets rows. Rows equal
-    in all order columns may swap numbers. df is read twice, so pass a written table.
+    rows: how many df has. They are dealt to buckets of BUCKET_ROWS on average by a hash of the order
+    columns, numbered there, and moved up by the rows of the buckets before; the table of counts has at
+    most groups x buckets rows. Rows equal in all order columns may swap numbers. df is read twice, so
+    pass a written table.
     """
-    b = "__bucket"
+    b, buckets = "__bucket", max(256, rows // BUCKET_ROWS)
     df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = df.groupBy(*group, b).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,12 +73,32 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, bucke
     return df.withColumn(name, local).join(base, [*group, b]).withColumn(name, F.col(name) + F.col("__base")).drop(b, "__base")
 
 
+#: Of all rows, a key with more than one in HOT_SHARE is hot; so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 10_000, 1_000
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined with right, in which a key is unique; no key's rows of left meet in one task.
+
+    rows: how many left has. The entries of hot keys, fewer than HOT_SHARE, are broadcast; all others are
+    joined by a shuffle, where a key has rows / HOT_SHARE rows at most. Keys are not null. Pass written tables.
+    """
+    many = left.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, rows // HOT_SHARE)).select(key)
+    keys = many.collect()  # fewer than HOT_SHARE
+    if not keys:
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(keys, many.schema))
+    columns = left.join(right, key, how).columns
+    one = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    return one.select(columns).unionByName(left.join(hot, key, "left_anti").join(right, key, how).select(columns))
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """Connected components of edges(u, v) over longs: (node, root), root the smallest node reachable.
+    """Connected components of edges(u, v): (node, root), root the smallest node reachable.
 
     Alternating large-star and small-star steps, each two joins on aggregated minima, until the edges
-    no longer change; every step is written to the shared folder. Neighbour lists are never gathered.
-    Loops and repeated edges are allowed; nulls are not.
+    no longer change; every step is written to the shared folder. Neighbour lists are never gathered, and
+    the edges of a hub stay where they are. Loops and repeated edges are allowed; nulls are not.
     """
     def size(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -84,10 +108,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = looked_up(both, least, "u", 2 * was[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = looked_up(large, least, "u", was[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         now = size(e)

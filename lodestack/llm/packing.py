@@ -96,7 +96,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_c
     checksum), the same in every run.
     """
     laid = written(pieces(docs, path, capacity, end_id, id_col, text_col, with_ids), "pieces")
-    idx = numbered(laid, ["length"], [id_col, "start", "ids_crc32"], "idx")
+    idx = numbered(laid, ["length"], [id_col, "start", "ids_crc32"], "idx", laid.count())
     one = Window.orderBy(F.desc("length"))  # a row a length: under 130
     held = (F.lit(capacity) / F.col("length")).cast("long")
     full = laid.groupBy("length").agg(F.count(F.lit(1)).alias("n")).withColumn("held", held).withColumn("full", (F.col("n") / F.col("held")).cast("long"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -85,6 +86,31 @@ def test_sharding(spark, docs, empty, texts):
     assert sum(len(v) > 1 for v in where.values()) <= 4  # pairs stay together
 
 
+def split_groups(rows, texts):
+    where, names = defaultdict(set), dict(texts)
+    for r in rows:
+        where[names[r["doc_id"]]].add(r["shard"])
+    return sum(len(v) > 1 for v in where.values())
+
+
+def test_links_that_fill_every_shard_hold(spark):
+    """20,000 documents that all come in pairs, and 400: a cut of under 1 %, sizes even."""
+    rng = random.Random(8)
+    for n, tolerance in ((20_000, 0.01), (400, 0.12)):
+        many = [(i, f"pair {i // 2} " + "pad " * (i // 2 % 23)) for i in range(n)]
+        rng.shuffle(many)
+        rows = sharding.shard(spark.createDataFrame(many, "doc_id long, text string"), 16).collect()
+        check_shards(rows, many, 16, tolerance)
+        assert split_groups(rows, many) <= n // 2 // 100
+
+
+def test_group_of_a_third_is_spread_and_others_hold(spark):
+    many = [(i, f"group {i // 5} of five" if i < 8_000 else "the same text in a third of rows") for i in range(12_000)]
+    rows = sharding.shard(spark.createDataFrame(many, "doc_id long, text string"), 16).collect()
+    check_shards(rows, many, 16, 0.02)
+    assert split_groups(rows, many) <= 1 + 16
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
