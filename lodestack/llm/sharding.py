@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import numbered, written
 
 #: Cells that a group can be split into.
-CELLS = 256
+CELLS = 4_096
 #: Buckets in which moves are accepted and the line is summed.
 BUCKETS = 1024
 
