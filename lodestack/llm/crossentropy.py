@@ -2,104 +2,74 @@
 
 Two bigram models of one order, smoothing and vocabulary are counted over whole corpora: a target, and
 the background, which is all documents. A document's score is its loss a token under the target less
-that under the background; the lower, the more it reads like the target. The vocabulary is the
-`words` most frequent words of all documents and <unk> for the rest, so that word counts are small
-enough to send everywhere; bigram counts grow with the corpus and stay dealt out by a hash, where the
-bigrams of the documents meet them. The few bigrams that make up more than a 65,536th of all tokens
-each are scored where they stand.
+that under the background; the lower, the more it reads like the target. The vocabulary holds every
+word: words and word pairs are 64-bit hashes and stay dealt out by them.
+
+The probability of a word after another is (pairs + MASS / BASE_WORDS) / (contexts + MASS), so a loss
+is a part of the pair's count less a part of the context's, and each part is looked up by itself: what a
+document asks for travels once, to the bucket of its hash, where all that ask for the same are counted
+together and answered. Pairs and words that are frequent in a sample are counted beforehand, over all
+documents, and sent everywhere, so that no bucket holds a frequent one; the sample decides only which.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-#: Words of the vocabulary, beside <unk> and the boundary; two of their numbers make 32 bits.
-WORDS = 65_000
-UNKNOWN, BOUNDARY, FIRST_WORD = 0, 1, 2
-#: Words counted in one table before it is sent on.
-COUNT_WORDS = 400_000
-#: Bigrams sorted and summed at once.
-FLUSH = 4_000_000
-#: Bigram occurrences a bucket holds on average.
-BUCKET_TOKENS = 3_000_000
-#: Documents whose bigrams go to a bucket as one row, and their characters at most.
-GROUP_DOCS, GROUP_CHARS = 1_000, 4_000_000
-#: Weight of the smoothing word model, in tokens.
-SMOOTHING = 5.0
+#: Smoothing: the weight, in occurrences, of a uniform word model, and the words that one is over.
+MASS, BASE_WORDS = 5.0, 1 << 20
+#: Documents of the sample, about, in which frequent pairs and words are sought, and how many of each are counted beforehand.
+SAMPLE_DOCS, FREQUENT = 4_000, 1 << 17
+#: Of a sampled partition, the keys it puts forward.
+PUT_FORWARD = 1 << 16
+#: Occurrences a bucket holds on average.
+BUCKET_TOKENS = 2_000_000
+#: Documents that are dealt together, and their tokens at most.
+GROUP_DOCS, GROUP_TOKENS = 1_000, 700_000
+#: Words a worker keeps the hashes of.
+TABLE_ENTRIES = 400_000
+BOUNDARY = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd constant that stands for a text's ends
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """docs(text, target) -> (word, n, n_target) over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
-
-        def flush() -> pa.RecordBatch:
-            found = list(both[0] | both[1])
-            data = [pa.array(found, pa.string()), *(pa.array([c[w] for w in found], pa.int64()) for c in both)]
-            both[0].clear(), both[1].clear()
-            return pa.RecordBatch.from_arrays(data, names=["word", "rest", "inside"])
-
-        for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both[bool(target)].update(words_of(text))
-                if len(both[0]) + len(both[1]) > COUNT_WORDS:
-                    yield flush()
-        yield flush()
-
-    counted = docs.select("text", "target").mapInArrow(run, "word string, rest long, inside long")
-    return counted.groupBy("word").agg((F.sum("rest") + F.sum("inside")).alias("n"), F.sum("inside").alias("n_target"))
-
+class WordKeys(dict):
+    """word -> its XXH64; a full table begins anew."""
 
-@dataclass
-class Vocabulary:
-    """Numbers of words, and (background, target) counts by number; a document's boundary is a word of both."""
+    def __missing__(self, word: str) -> int:
+        got = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) >= TABLE_ENTRIES:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = got
+        return got
 
-    number: dict[str, int]
-    counts: np.ndarray  # 2 x numbers
 
-    def word_model(self) -> np.ndarray:
-        """Add-one probabilities of each number under both models."""
-        return (self.counts + 1) / (self.counts.sum(axis=1, keepdims=True) + self.counts.shape[1])
+_keys = WordKeys()
 
-    def bigrams(self, text: str | None) -> np.ndarray:
-        """Keys of a text's word pairs, the boundary before the first and after the last."""
-        ids = [BOUNDARY, *map(self.number.get, words_of(text), repeat(UNKNOWN)), BOUNDARY]
-        ids = np.array(ids, np.uint32)
-        return ids[:-1] << np.uint32(16) | ids[1:]
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit keys of ordered pairs of 64-bit keys."""
+    h = (a * np.uint64(0xBF58476D1CE4E5B9)) ^ (b + (a >> np.uint64(29)))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> Vocabulary:
-    counts = written(word_counts(docs), "words")
-    total, inside = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    n, n_target = docs.agg(F.count(F.lit(1)), F.count_if(F.coalesce("target", F.lit(False)))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(words).toArrow()  # bounded by `words`
-    table = np.zeros((2, FIRST_WORD + top.num_rows))
-    table[0, FIRST_WORD:], table[1, FIRST_WORD:] = top.column("n").to_numpy(), top.column("n_target").to_numpy()
-    table[:, BOUNDARY] = n, n_target
-    table[:, UNKNOWN] = total - table[0, FIRST_WORD:].sum(), inside - table[1, FIRST_WORD:].sum()
-    return Vocabulary({w: k for k, w in enumerate(top.column("word").to_pylist(), FIRST_WORD)}, table)
 
-
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+def transitions(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, pairs) of a text's transitions, the boundary before the first word and after the last."""
+    ids = np.fromiter(map(_keys.__getitem__, words_of(text)), np.uint64)
+    ids = np.r_[BOUNDARY, ids, BOUNDARY]
+    return ids[:-1], mixed(ids[:-1], ids[1:])
 
 
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -109,156 +79,190 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)
 
 
-def bigram_model(docs: DataFrame, vocab, buckets: int) -> DataFrame:
-    """docs(text, target) -> a row a bucket: (bucket, keys, counts, losses), sorted keys with their background counts and both losses.
+def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted table, whether it is there)."""
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
-    vocab: a broadcast Vocabulary. keys are 32-bit, counts 64-bit, losses two 32-bit floats each.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, bool]] = []
-        size = 0
+def losses(kind: int, counts: np.ndarray) -> np.ndarray:
+    """The part of a loss that a context (kind 0) or a pair (kind 1) of so many occurrences makes."""
+    return np.log(counts + MASS) if kind == 0 else -np.log(counts + MASS / BASE_WORDS)
 
-        def flush() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.uint32)
-            inside = np.repeat(np.array([t for _, t in held], np.int64), [len(k) for k, _ in held])
-            keys, n, t = _summed(keys, np.ones(len(keys), np.int64), inside)
-            held.clear()
-            b = bucket_of(keys, buckets)
-            order = np.argsort(b, kind="stable")
-            found, starts = np.unique(b[order], return_index=True)
-            cut = lambda x: [p.tobytes() for p in np.split(x[order], starts[1:])]
-            parts = [cut(x) for x in (keys, n.astype(np.uint32), t.astype(np.uint32))] if len(keys) else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "keys", "n", "t"])
 
-        for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((vocab.value.bigrams(text), bool(target)))
-                size += len(held[-1][0])
-                if size >= FLUSH:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n, t = (np.frombuffer(b"".join(pdf[c]), np.uint32) for c in ("keys", "n", "t"))
-        keys, n, t = _summed(keys, n.astype(np.int64), t.astype(np.int64))
-        words, contexts = vocab.value.word_model(), vocab.value.counts
-        u, w = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        losses = [-np.log((c + SMOOTHING * words[k][w]) / (contexts[k][u] + SMOOTHING)) for k, c in enumerate((n, t))]
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "keys": [keys.tobytes()], "counts": [n.tobytes()], "losses": [np.stack(losses, axis=1).astype(np.float32).tobytes()]})
-
-    parts = docs.select("text", "target").mapInArrow(count, "bucket int, keys binary, n binary, t binary")
-    return parts.groupBy("bucket").applyInPandas(merge, "bucket int, keys binary, counts binary, losses binary")
+def frequent(docs: DataFrame, rows: int) -> list[np.ndarray]:
+    """Sorted keys of the contexts and of the pairs that are most frequent in a sample: FREQUENT of each at most."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        sums = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in held]
 
-def frequent(model: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, losses) of the bigrams with more than `least` occurrences: fewer than tokens / least of them."""
+        def add() -> None:
+            for k in range(2):
+                new = np.concatenate(held[k])
+                sums[k] = _summed(np.r_[sums[k][0], new], np.r_[sums[k][1], np.ones(len(new), np.int64)])
+                held[k].clear()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
         for batch in batches:
-            for keys, counts, losses in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                many = np.frombuffer(counts, np.int64) > least
-                if many.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(keys, np.uint32)[many].tobytes()]), pa.array([np.frombuffer(losses, np.float32).reshape(-1, 2)[many].tobytes()])], names=["keys", "losses"])
-
-    got = model.select("keys", "counts", "losses").mapInArrow(run, "keys binary, losses binary").toArrow()
-    keys = np.frombuffer(b"".join(got.column("keys").to_pylist()), np.uint32)
-    losses = np.frombuffer(b"".join(got.column("losses").to_pylist()), np.float32).reshape(-1, 2)
-    order = np.argsort(keys)
-    return keys[order], losses[order]
-
-
-def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted table, whether it is there)."""
-    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
-    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
-
+            for text in batch.column(0).to_pylist():
+                for k, part in enumerate(transitions(text)):
+                    held[k].append(part)
+                size += len(held[1][-1])
+                if size >= GROUP_TOKENS:
+                    add()
+                    size = 0
+        if held[0]:
+            add()
+        for k, (keys, n) in enumerate(sums):
+            top = np.argsort(-n, kind="stable")[:PUT_FORWARD]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), k, np.int32)), pa.array(keys[top].view(np.int64)), pa.array(n[top])], names=["kind", "key", "n"])
+
+    every = max(1, rows // SAMPLE_DOCS)
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0) if every > 1 else docs
+    counted = sample.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    out = []
+    for k in range(2):
+        top = counted.where((F.col("kind") == k) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toArrow()  # bounded by FREQUENT
+        out.append(np.sort(top.column("key").to_numpy().view(np.uint64)))
+    return out
+
+
+def counted(docs: DataFrame, tables: list[np.ndarray]) -> tuple[int, list[np.ndarray]]:
+    """(transitions, counts) over all documents: of each key of both tables, its occurrences in the background and in the target."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
-def score(docs: DataFrame, target: Column, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((2, len(t)), np.int64) for t in shared.value]
+        total = 0
+        for batch in batches:
+            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = transitions(text)
+                total += len(parts[0])
+                for table, part, out in zip(shared.value, parts, sums):
+                    at, there = _looked_up(part, table)
+                    if there.any():
+                        found, n = np.unique(at[there], return_counts=True)
+                        out[0, found] += n
+                        if target:
+                            out[1, found] += n
+        columns = [np.array([2]), np.array([0]), np.array([total]), np.array([0])]
+        for k, out in enumerate(sums):
+            some = np.flatnonzero(out[0])
+            columns = [np.r_[c, x] for c, x in zip(columns, (np.full(len(some), k), some, out[0, some], out[1, some]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["kind", "at", "n", "t"])
+
+    got = docs.select("text", "target").mapInArrow(count, "kind long, at long, n long, t long").groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()  # 2 x FREQUENT rows at most
+    kind, at, n, t = (got.column(c).to_numpy() for c in ("kind", "at", "n", "t"))
+    out = [np.zeros((2, len(x)), np.int64) for x in tables]
+    for k in range(2):
+        out[k][:, at[kind == k]] = n[kind == k], t[kind == k]
+    return int(n[kind == 2].sum()), out
+
+
+def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) of every row; losses in nats a transition.
 
     target is true for documents of the target corpus (null: false). A text of n words has n + 1
     transitions; a null or empty text has the one between its boundaries. Documents count in the models
     they belong to, themselves included. Equal texts get equal scores up to the order of summing; rows
-    with the same id each give a row; an empty table gives none; other columns are ignored.
+    with the same id each give a row; an empty table gives none; other columns are ignored. Two words or
+    pairs count as one if their 64-bit hashes are equal. A lost task is run again over the same rows, so
+    docs should be a table that is read or something as steady.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), target.alias("target"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     kind = docs.schema["id"].dataType.simpleString()
-    vocab = vocabulary(docs, words)
-    tokens = float(vocab.counts[0].sum())
-    buckets = max(32, int(tokens // BUCKET_TOKENS))
-    shared = spark.sparkContext.broadcast(vocab)
-    model = written(bigram_model(docs, shared, buckets), "bigrams")
-    hot = spark.sparkContext.broadcast(frequent(model, tokens / 65_536))
+    tables = frequent(docs, docs.count())
+    tokens, counts = counted(docs, tables)
+    known = [(t, np.stack([losses(k, c) for c in n], axis=1)) for k, (t, n) in enumerate(zip(tables, counts))]
+    shared = spark.sparkContext.broadcast(known)
+    buckets = max(16, tokens // BUCKET_TOKENS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of documents: a row (-1, ids, known sums, sizes) of each, and a row of bigrams for each bucket."""
-        table, losses = hot.value
-
-        def send(ids: list, pairs: list[np.ndarray]) -> pa.RecordBatch:
-            sizes = np.array([len(p) for p in pairs], np.int64)
-            keys, owner = np.concatenate(pairs), np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
-            at, there = _looked_up(keys, table)
-            known = np.zeros((len(ids), 2))
-            for k in range(2):
-                known[:, k] = np.bincount(owner[there], losses[at[there], k], len(ids)) if len(table) else 0
-            keys, owner = keys[~there], owner[~there]
-            b = bucket_of(keys, buckets)
+        """Groups of documents: a row of what is known of each, and a row of keys for each bucket; contexts go to the odd ones."""
+        task, groups = TaskContext.get().partitionId(), 0
+
+        def send(ids: list, flags: list[bool], parts: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+            sizes = np.array([len(p[0]) for p in parts], np.int64)
+            owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
+            sums, where, keys, owners = np.zeros((len(ids), 2)), [], [], []
+            for k, (table, values) in enumerate(shared.value):
+                part = np.concatenate([p[k] for p in parts])
+                at, there = _looked_up(part, table)
+                for m in range(2):
+                    sums[:, m] += np.bincount(owner[there], values[at[there], m], len(ids)) if there.any() else 0
+                keys.append(part[~there])
+                owners.append(owner[~there])
+                where.append((keys[-1] >> np.uint64(32)) % np.uint64(buckets) * np.uint64(2) + np.uint64(1 - k))
+            b, keys, owners = np.concatenate(where), np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(b, kind="stable")
             found, starts = np.unique(b[order], return_index=True)
             cut = lambda x: [p.tobytes() for p in np.split(x[order], starts[1:])] if len(x) else []
-            group, n = uuid.uuid4().hex, len(found)  # the rows are written before they are used
+            group, n = f"{task}-{groups}", len(found)
+            bits = np.packbits(np.array(flags, bool)).tobytes()
+            head = -1 - zlib.crc32(group.encode()) % (2 * buckets)
             return pa.RecordBatch.from_arrays(
-                [pa.array([-1, *found.tolist()], pa.int32()), pa.array([group] * (n + 1)), pa.array([ids] + [None] * n, pa.list_(schema_type)), pa.array([known.tobytes(), *cut(keys)], pa.binary()), pa.array([sizes.tobytes(), *cut(owner)], pa.binary())],
-                names=["bucket", "grp", "ids", "a", "b"],
+                [pa.array([head, *found.astype(np.int64).tolist()], pa.int64()), pa.array([group] * (n + 1)), pa.array([ids] + [None] * n, pa.list_(id_type)), pa.array([sums.tobytes(), *cut(keys)], pa.binary()), pa.array([sizes.tobytes(), *cut(owners)], pa.binary()), pa.array([bits] * (n + 1), pa.binary())],
+                names=["bucket", "grp", "ids", "a", "b", "flags"],
             )
 
-        schema_type = None
-        ids, pairs, size = [], [], 0
+        ids, flags, parts, size = [], [], [], 0
         for batch in batches:
-            schema_type = batch.column(0).type
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text, flag in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 ids.append(i)
-                pairs.append(shared.value.bigrams(text))
-                size += len(text or "")
-                if len(ids) >= GROUP_DOCS or size >= GROUP_CHARS:
-                    yield send(ids, pairs)
-                    ids, pairs, size = [], [], 0
+                flags.append(flag)
+                parts.append(transitions(text))
+                size += len(parts[-1][0])
+                if len(ids) >= GROUP_DOCS or size >= GROUP_TOKENS:
+                    yield send(ids, flags, parts, batch.column(0).type)
+                    groups += 1
+                    ids, flags, parts, size = [], [], [], 0
+            last = batch.column(0).type
         if ids:
-            yield send(ids, pairs)
-
-    dealt = docs.select("id", "text").mapInArrow(deal, f"bucket int, grp string, ids array<{kind}>, a binary, b binary")
-    dealt = written(dealt, "pairs")
-
-    def meet(key: tuple, pairs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs):
-            return pd.DataFrame({"grp": [], "sums": []}, dtype=object)
-        table, losses = np.frombuffer(found["keys"].iloc[0], np.uint32), np.frombuffer(found["losses"].iloc[0], np.float32).reshape(-1, 2)
-        out = []
-        for keys, owner in zip(pairs["a"], pairs["b"]):
-            at, _ = _looked_up(np.frombuffer(keys, np.uint32), table)
-            owner = np.frombuffer(owner, np.uint16)
-            sums = np.stack([np.bincount(owner, losses[at, k], int(owner[-1]) + 1 if len(owner) else 0) for k in range(2)], axis=1)
-            out.append(sums.astype(np.float32).tobytes())
-        return pd.DataFrame({"grp": pairs["grp"].tolist(), "sums": out}, dtype=object)
-
-    sums = dealt.where("bucket >= 0").select("bucket", "grp", "a", "b").groupBy("bucket").cogroup(model.select("bucket", "keys", "losses").groupBy("bucket")).applyInPandas(meet, "grp string, sums binary")
-    sums = sums.groupBy("grp").agg(F.collect_list("sums").alias("sums"))  # at most a row a bucket, of a group of bounded size
-    groups = dealt.where("bucket = -1").select("grp", "ids", F.col("a").alias("known"), F.col("b").alias("sizes")).join(sums, "grp", "left")
+            yield send(ids, flags, parts, last)
+
+    dealt = docs.mapInArrow(deal, f"bucket long, grp string, ids array<{kind}>, a binary, b binary, flags binary")
+
+    def meet(table: pa.Table) -> pa.Table:
+        """A bucket's keys are counted, and each group that sent some gets its documents' sums; what is known passes through."""
+        bucket, id_type = table.column("bucket")[0].as_py(), table.schema.field("ids").type
+        names = ["grp", "ids", "sums", "sizes"]
+        if bucket < 0:
+            return pa.Table.from_arrays([table.column(c) for c in ("grp", "ids", "a", "b")], names=names)
+        lengths, keys, owners, flags = [], [], [], []
+        for a, b, f in zip(*(table.column(c).to_pylist() for c in ("a", "b", "flags"))):
+            keys.append(np.frombuffer(a, np.uint64))
+            owners.append(np.frombuffer(b, np.uint16))
+            flags.append(np.unpackbits(np.frombuffer(f, np.uint8))[owners[-1]].astype(bool))
+            lengths.append(len(keys[-1]))
+        keys, inside = np.concatenate(keys), np.concatenate(flags)
+        found, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+        del keys
+        both = n, np.bincount(which[inside], minlength=len(found))
+        values = np.stack([losses(1 - bucket % 2, c) for c in both], axis=1)
+        sums, at = [], 0
+        for own, length in zip(owners, lengths):
+            mine = values[which[at : at + length]]
+            sums.append(np.stack([np.bincount(own, mine[:, m]) for m in range(2)], axis=1).astype(np.float32).tobytes())
+            at += length
+        return pa.Table.from_arrays([table.column("grp"), pa.nulls(len(sums), id_type), pa.array(sums, pa.binary()), pa.nulls(len(sums), pa.binary())], names=names)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * buckets)
+    met = dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, f"grp string, ids array<{kind}>, sums binary, sizes binary")
+    # of a group, whose size is bounded, at most a row a bucket
+    groups = met.groupBy("grp").agg(F.collect_list(F.when(F.col("ids").isNull(), F.col("sums"))).alias("parts"), *(F.max_by(c, F.col("ids").isNotNull()).alias(c) for c in ("ids", "sums", "sizes")))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 sizes = np.frombuffer(batch.column(3)[k].as_py(), np.int64)
                 loss = np.frombuffer(batch.column(2)[k].as_py(), np.float64).reshape(-1, 2).copy()
-                for part in sorted(batch.column(4)[k].as_py() or []):
+                for part in sorted(batch.column(0)[k].as_py()):
                     part = np.frombuffer(part, np.float32).reshape(-1, 2)
                     loss[: len(part)] += part
                 loss /= sizes[:, None]
                 yield pa.RecordBatch.from_arrays([batch.column(1)[k].values, pa.array(sizes - 1), pa.array(loss[:, 1]), pa.array(loss[:, 0])], names=["id", "n_tokens", "target_loss", "background_loss"])
 
-    out = groups.select("grp", "ids", "known", "sizes", "sums").mapInArrow(total, f"id {kind}, n_tokens long, target_loss double, background_loss double")
+    out = groups.select("parts", "ids", "sums", "sizes").mapInArrow(total, f"id {kind}, n_tokens long, target_loss double, background_loss double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -78,21 +78,22 @@ def test_swaps_keep_group_mentions_neutral():
     assert fair.score("w1 w2 scum") > 0.5
 
 
-def test_cross_entropy_is_the_models(docs, empty, spark):
+@pytest.mark.parametrize("hot", [0, 3, 1 << 17])
+def test_cross_entropy_is_the_models(docs, empty, spark, monkeypatch, hot):
+    """Whether none, some or all words and pairs are counted beforehand."""
+    monkeypatch.setattr(crossentropy, "FREQUENT", hot)
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "Ee", "f g"]) for _ in range(rng.randint(0, 30))), i % 3 == 0) for i in range(40)] + [(50, None, None), (51, "", True)]
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "dd", "Ee", "f g"]) for _ in range(rng.randint(0, 30))), i % 3 == 0) for i in range(40)] + [(50, None, None), (51, "", True), (52, "w3 w5", False), (53, "w65539 w5 " * 70_000, True)]
     df = spark.createDataFrame(rows, "doc_id long, text string, target boolean")
-    got = {r["doc_id"]: r for r in crossentropy.score(df, F.col("target"), words=4).collect()}
+    got = {r["doc_id"]: r for r in crossentropy.score(df, F.col("target")).collect()}
     tokens = {i: (t or "").lower().split() for i, t, _ in rows}
-    n = Counter(w for ts in tokens.values() for w in ts)
-    known = {w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:4]}
-    path = {i: ["|", *(w if w in known else "?" for w in ts), "|"] for i, ts in tokens.items()}
+    path = {i: ["|", *ts, "|"] for i, ts in tokens.items()}
 
     def losses(ids):
-        uni = Counter(w for i in ids for w in path[i][1:])
+        context = Counter(w for i in ids for w in path[i][:-1])
         two = Counter(p for i in ids for p in zip(path[i], path[i][1:]))
-        total, size, mu = sum(uni.values()), 6, crossentropy.SMOOTHING
-        p = lambda u, w: (two[u, w] + mu * (uni[w] + 1) / (total + size)) / (uni[u] + mu)
+        mass, base = crossentropy.MASS, crossentropy.BASE_WORDS
+        p = lambda u, w: (two[u, w] + mass / base) / (context[u] + mass)
         return {i: -sum(math.log(p(u, w)) for u, w in zip(path[i], path[i][1:])) / (len(path[i]) - 1) for i in path}
 
     background, target = losses(list(path)), losses([i for i, _, t in rows if t])
@@ -105,6 +106,15 @@ def test_cross_entropy_is_the_models(docs, empty, spark):
     assert crossentropy.score(empty, F.col("lang") == "en").count() == 0
 
 
+def test_vocabulary_has_no_cap(spark):
+    """200,000 words of one occurrence each are told apart, and from those of two."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(10_000)), k % 2 == 0) for k in range(20)]
+    rows += [(100, rows[3][1], False)]
+    got = {r["doc_id"]: r["background_loss"] for r in crossentropy.score(spark.createDataFrame(rows, "doc_id long, text string, target boolean"), F.col("target")).collect()}
+    once = [v for k, v in got.items() if k not in (3, 100)]
+    assert max(once) - min(once) < 1e-3 and got[3] == pytest.approx(got[100]) and got[3] < min(once) - 0.3
+
+
 def test_neighbours(spark):
     vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     got = ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20).collect()
