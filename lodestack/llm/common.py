@@ -94,7 +94,7 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, rows: int, how: str =
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """Connected components of edges(u, v): (node, root), root the smallest node reachable.
+    """Connected components of edges(u, v): (node, root) of every node, root the smallest reachable.
 
     Alternating large-star and small-star steps, each two joins on aggregated minima, until the edges
     no longer change; every step is written to the shared folder. Neighbour lists are never gathered, and
@@ -118,4 +118,5 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         if now == was:
             break
         was = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    found = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

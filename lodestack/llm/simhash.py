@@ -5,7 +5,8 @@ Distinct fingerprints are dealt to buckets in which two within the radius are su
 probability (`Bands`, for radii that blocks can't serve). A bucket's fingerprints are stored as bit
 planes, a machine word holding one bit of 64 of them; distances of whole words of pairs are summed by
 carry-save counters that start so that they overflow past the radius, and a block is abandoned as soon
-as all its pairs have overflowed. A bucket gives the edges of a spanning forest, never its pairs.
+as all its pairs have overflowed. An exact index' bucket gives the edges of a spanning forest, never its
+pairs; with bands, rounds link few of each group and the last looks between the groups so found.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import itertools
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, looked_up, written
 
 #: Rows of a bucket above which it is dealt anew by further bits.
 REFINE_ROWS = 16_384
@@ -32,6 +33,10 @@ SHIFT_RUN = 1_024
 LANES = 32_768
 #: Rounds of few pairs of each group before all pairs between components are compared.
 ROUNDS = 2
+#: Times that a large bucket's parts are reduced to one row a group in such a round.
+PASSES = 3
+#: Times that the last round deals a large bucket anew, by STEPS choices of STEP_BITS bits each.
+LEVELS, STEPS, STEP_BITS = 6, 12, 6
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # fixed values: odd 64-bit mixing constants
 
 
@@ -138,14 +143,7 @@ class Bands:
 
     def positions(self, path: tuple) -> tuple[list[int], list[int]]:
         order = np.random.default_rng(path[0]).permutation(self.bits)
-        used, rest = order[: self.width], order[self.width :]
-        for k, step in enumerate(path[1:]):
-            rest = rest[np.random.default_rng([path[0], k, step]).permutation(len(rest))]
-            used, rest = rest[:6], rest[6:]
-        return used.tolist(), rest.tolist()
-
-    def steps(self, path: tuple) -> list[int]:
-        return list(range(12)) if len(self.positions(path)[1]) > 64 else []
+        return order[: self.width].tolist(), order[self.width :].tolist()
 
 
 def _keys(fps: np.ndarray, positions: list[int], salt: int) -> np.ndarray:
@@ -331,16 +329,19 @@ def _first_near(pairs: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _crossing(fps: np.ndarray, label: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """All near pairs of one run whose labels differ."""
+    """All near pairs of one run whose labels differ; rows of the commonest label are not held against each other."""
+    kinds, which, n = np.unique(label, return_inverse=True, return_counts=True)
     found = []
-    if len(np.unique(label)) > 1:
+    if len(kinds) > 1:
+        order = np.argsort(which == n.argmax(), kind="stable")  # the commonest label's rows last
+        fps, label = fps[order], label[order]
         p, full = planes(fps), np.uint64(0xFFFFFFFFFFFFFFFF)
-        for at in range(len(fps) - 1):
+        for at in range(len(fps) - int(n.max())):
             skip = at // 64
             wanted = _mask((label[skip * 64 :] != label[at]) & (np.arange(skip * 64, len(fps)) > at), p.shape[1] - skip)
             q = np.unpackbits(fps[at])
             near = _lanes(within(lambda k: p[k, skip:] ^ full if q[k] else p[k, skip:], len(q), wanted, radius))
-            found += [(at, skip * 64 + x) for x in near.tolist()]
+            found += [(int(order[at]), int(order[skip * 64 + x])) for x in near.tolist()]
     return found
 
 
@@ -364,38 +365,85 @@ def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, turn
     return out
 
 
-def _linked(dealt: DataFrame, index: Blocks | Bands, pairs_of: Callable) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(fingerprints, run, path, key) of whole buckets of rows (path, key, fp[, another key]), some LANES rows at a time."""
+    held, n = [], 0
+
+    def joined() -> tuple:
+        return tuple(np.concatenate([h[k] for h in held]) for k in range(4))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        held.append((_matrix(batch.column(2)), key * 64 + path, path, batch.column(3).to_numpy() if batch.num_columns > 3 else key))
+        n += batch.num_rows
+        if n >= LANES:
+            whole = joined()
+            run = whole[1]
+            cut = int(np.flatnonzero(np.r_[True, run[1:] != run[:-1]])[-1])  # the last run may go on
+            if cut:
+                yield tuple(x[:cut] for x in whole)
+            held, n = [tuple(x[cut:] for x in whole)], len(run) - cut
+    if n:
+        yield joined()
+
+
+def _binary(fps: np.ndarray, rows) -> pa.Array:
+    return pa.array([fps[i].tobytes() for i in rows], pa.binary())
+
+
+def _linked(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
     """Edges (u, v) that pairs_of finds in all buckets (path, key) of dealt."""
 
-    def out(fps: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = pairs_of(fps, run)
-        if pairs:
-            a, b = zip(*pairs)
-            data = [fps[i].tobytes() for i in a], [fps[i].tobytes() for i in b]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in data], names=["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, runs, _, _ in _runs(batches):
+            pairs = pairs_of(fps, runs)
+            for at in range(0, len(pairs), 65_536):
+                a, b = zip(*pairs[at : at + 65_536])
+                yield pa.RecordBatch.from_arrays([_binary(fps, a), _binary(fps, b)], names=["u", "v"])
+
+    return dealt.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "u binary, v binary")
+
+
+def _reduced(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
+    """What pairs_of finds in the parts (path, key, part) of large buckets, as rows (null, null, null, u, v), and rows
+    (path, key, fp, null, null) of one fingerprint of each group so found and of all that are in none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "key", "fp", "u", "v"]
+        for fps, runs, path, key in _runs(b.select(["path", "mixed", "fp", "key"]) for b in batches):
+            pairs = pairs_of(fps, runs)
+            if pairs:
+                a, b = zip(*pairs)
+                n = len(a)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), _binary(fps, a), _binary(fps, b)], names=names)
+            stay = np.ones(len(fps), bool)
+            stay[[a for a, _ in _forest(pairs)]] = False
+            rows = np.flatnonzero(stay)
+            yield pa.RecordBatch.from_arrays([pa.array(path[rows]), pa.array(key[rows]), _binary(fps, rows), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary())], names=names)
+
+    parts = dealt.withColumn("mixed", F.xxhash64("key", "part")).drop("part")
+    return parts.repartition("path", "mixed").sortWithinPartitions("path", "mixed", "fp").mapInArrow(run, "path int, key long, fp binary, u binary, v binary")
+
+
+def _redealt(dealt: DataFrame, bits: int, level: int) -> DataFrame:
+    """Rows (path, key, fp) for each of STEPS choices of further bits; the new key takes in the old path and key."""
+    chosen = [np.random.default_rng([level, c]).permutation(bits)[:STEP_BITS].tolist() for c in range(STEPS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, runs, n = [], [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            fps.append(_matrix(batch.column(2)))
-            runs.append(batch.column(1).to_numpy() * 64 + batch.column(0).to_numpy())
-            n += batch.num_rows
-            if n >= LANES:
-                f, r = np.concatenate(fps), np.concatenate(runs)
-                cut = int(np.flatnonzero(np.r_[True, r[1:] != r[:-1]])[-1])  # the last run may go on
-                if cut:
-                    yield from out(f[:cut], r[:cut])
-                fps, runs, n = [f[cut:]], [r[cut:]], len(r) - cut
-        if n:
-            yield from out(np.concatenate(fps), np.concatenate(runs))
+            fps = _matrix(batch.column(2))[:, : bits // 8]
+            old = batch.column(1).to_numpy().view(np.uint64) ^ (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(_MIX[2]))
+            for c, positions in enumerate(chosen):
+                new = (_keys(fps, positions, c) ^ old) * np.uint64(_MIX[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), c, np.int32)), pa.array((new ^ new >> np.uint64(32)).view(np.int64)), batch.column(2)], names=["path", "key", "fp"])
 
-    return dealt.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "u binary, v binary")
+    return dealt.select("path", "key", "fp").mapInArrow(run, "path int, key long, fp binary")
 
 
-def links(distinct: DataFrame, index: Blocks | Bands, pairs_of: Callable | None = None) -> DataFrame:
-    """Edges (u, v) that connect just what the index finds within the radius, at most one a row and table; or pairs_of's.
+def links(distinct: DataFrame, index: Blocks, pairs_of: Callable | None = None) -> DataFrame:
+    """Edges (u, v) that connect just what the exact index finds within the radius, at most one a row and table.
 
     distinct(fp): fingerprints, each once. Buckets of over REFINE_ROWS rows are dealt anew by further
     bits until they are smaller or no bits are left, at which a bucket is bounded by what those bits can hold.
@@ -407,8 +455,8 @@ def links(distinct: DataFrame, index: Blocks | Bands, pairs_of: Callable | None
         large = dealt.groupBy("path", "key").count().where(F.col("count") > REFINE_ROWS).select("path", "key")
         large = written(large, "large")
         further = [(*p, s) for p in paths for s in index.steps(p)]
-        stop = not further or not large.limit(1).count()
-        part = _linked(dealt if stop else dealt.join(large, ["path", "key"], "left_anti"), index, pairs_of)
+        stop = not further or large.isEmpty()
+        part = _linked(dealt if stop else dealt.join(large, ["path", "key"], "left_anti"), pairs_of)
         found = part if found is None else found.unionByName(part)
         if stop:
             return found
@@ -416,99 +464,159 @@ def links(distinct: DataFrame, index: Blocks | Bands, pairs_of: Callable | None
         paths = further
 
 
+def _round(labelled: DataFrame, index: Bands, width: int, turn: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (u, v) of labelled(fp: fingerprint, digest, label) that bands find within the radius, and the
+    rows (fp) of large buckets, if any.
+
+    turn: a number gives few pairs of each group, None all whose labels differ. In a round of few, a
+    bucket of over REFINE_ROWS rows is taken in parts, of which one row a group goes on to meet the
+    others'; what is still crowded after PASSES is left to the last round. There, rows of a large bucket's
+    commonest label are dealt to parts, in each of which all others are held against them: all pairs
+    of differing labels, whatever the size of that label. Only a bucket in which over REFINE_ROWS rows
+    have other labels is dealt anew by further bits, by enough choices to miss one in 300 of the pairs
+    that agree in 0.85 of their bits; after LEVELS of these it is taken as it is.
+    """
+    pairs_of = partial(_candidates, radius=index.radius, width=width, turn=turn)
+    by, found, crowd = ["path", "key"], [], None
+    dealt = written(_dealt(labelled, index, index.roots(), None), "dealt")
+    for level in range(LEVELS if turn is None else PASSES):
+        label = F.substring("fp", width + 9, 8)
+        sizes = dealt.groupBy(*by, label.alias("label")).count().groupBy(*by).agg(F.sum("count").alias("n"), F.max_by("label", "count").alias("top"), F.max("count").alias("most"))
+        large = written(sizes.where(F.col("n") > REFINE_ROWS), "large")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*found, _linked(dealt, pairs_of)]), crowd
+        found.append(_linked(dealt.join(large, by, "left_anti"), pairs_of))
+        hot = dealt.join(large, by)
+        crowd = hot.select("fp") if crowd is None else crowd
+        if turn is not None:
+            part = F.pmod(F.xxhash64("fp", F.lit(level)), F.ceil(2 * F.col("n") / REFINE_ROWS)).alias("part")
+            led = written(_reduced(hot.select(*by, "fp", part), pairs_of), "led")
+            found.append(led.where("u is not null").select("u", "v"))
+            dealt = led.where("fp is not null").select(*by, "fp")
+            continue
+        parts = F.ceil(F.col("most") / REFINE_ROWS)
+        own = F.array(F.pmod(F.xxhash64("fp"), parts))
+        whole = F.col("n") - F.col("most") <= REFINE_ROWS
+        split = hot.where(whole).withColumn("part", F.explode(F.when(label == F.col("top"), own).otherwise(F.sequence(F.lit(0), parts - 1))))
+        found.append(_linked(split.select("path", F.xxhash64("key", "part").alias("key"), "fp"), pairs_of))
+        dealt = written(_redealt(hot.where(~whole), index.bits, level), "dealt")
+    return reduce(DataFrame.unionByName, found if turn is not None else [*found, _linked(dealt, pairs_of)]), crowd
+
+
+def banded_components(nodes: DataFrame, index: Bands, width: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of components over the pairs of nodes(node: fingerprint and digest) that bands find and verified() keeps.
+
+    Rounds first take few pairs of each group, then all that lie between the components so found.
+    """
+    cut = lambda c: F.substring(c, 1, width + 8)
+    labelled = nodes.select(F.concat("node", F.substring("node", width + 1, 8)).alias("fp"))
+    near = tried = edges = found = None
+    for turn in (*range(ROUNDS), None):
+        pairs, crowd = _round(labelled, index, width, turn)
+        pairs = pairs.select(cut("u").alias("u"), cut("v").alias("v"))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if near is None:  # whatever has a near row is in a pair of the first round or was in a large bucket
+            near = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+            near = written((near if crowd is None else near.unionByName(crowd.select(cut("fp").alias("node")))).distinct(), "near")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = written(verified(pairs), "similar")
+        edges = new if edges is None else edges.unionByName(new)
+        found = components(edges)
+        if turn is not None:
+            label = F.when(F.col("root").isNotNull(), F.unhex(F.lpad(F.hex(F.xxhash64("root")), 16, "0")))
+            labelled = near.join(found, "node", "left").select(F.concat("node", F.coalesce(label, F.substring("node", width + 1, 8))).alias("fp"))
+            labelled = written(labelled, "labelled")
+    return found
+
+
+def _classes(rows: DataFrame, nodes: DataFrame, found: DataFrame, node: str, n_rows: int, n_nodes: int) -> DataFrame:
+    """rows(.., node) with component_id: the least of nodes(node, least) in the node's component by found(node, root)."""
+    classes = nodes.join(found.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    classes = written(classes, "classes")
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(looked_up(classes, smallest, "root", n_nodes).select(node, "component_id"), "class-ids")
+    return looked_up(rows, classes, node, n_rows)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, agree: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp binary, component_id) of every row.
 
     component_id is the smallest id reachable over links of at most `radius` differing bits, the row's
-    own included. agree: None takes the exact index; else the share of bits in which the least similar
-    pair that matters agrees, and bands find it with a miss under 0.005. Null and empty texts have the
-    fingerprint zero and are linked like any other; rows with the same id or text each give a row; an
-    empty table gives none; other columns are ignored.
+    own included; null ids count as larger than all others. agree: None takes the exact index; else the
+    share of bits in which the least similar pair that matters agrees, and bands find it with a miss under
+    0.005. Null and empty texts have the fingerprint zero and are linked like any other; rows with the
+    same id or text each give a row; an empty table gives none; other columns are ignored.
     """
     fps = written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    rows = distinct.count()
+    distinct = written(fps.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    rows, of_rows = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = 64 * words
-    index = Blocks.plan(bits, radius, rows) if agree is None else Bands.plan(bits, radius, rows, agree)
-    found = components(links(distinct.select("fp"), index))
-    classes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = written(classes, "classes")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(classes.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    if agree is None:
+        found = components(links(distinct.select("fp"), Blocks.plan(bits, radius, rows)))
+    else:
+        digest = F.unhex(F.lpad(F.hex(F.xxhash64("fp")), 16, "0"))
+        found = banded_components(distinct.select(F.concat("fp", digest).alias("node")), Bands.plan(bits, radius, rows, agree), 8 * words, lambda pairs: pairs)
+        found = found.select(*(F.substring(c, 1, 8 * words).alias(c) for c in ("node", "root")))
+    return _classes(fps, distinct.drop("n"), found, "fp", of_rows, rows).select(id_col, "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str, with_set: bool) -> DataFrame:
-    """(id, node binary[, hashes binary]) of every row: the fingerprint of the set of shingles with the set's XXH64, and the sorted set."""
+    """(id, node binary[, hashes array<long>]) of every row: the fingerprint of the set of shingles with the set's XXH64, and the set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets, at = [], [], 0
+            nodes, sets, size, at = [], [], 0, 0
             for k, text in enumerate(batch.column(1).to_pylist()):
                 h = np.unique(shingle_hashes(text, shingle))
-                sets.append(h.tobytes())
-                nodes.append(fingerprint(h, words) + xxhash.xxh64_digest(sets[-1]))
-                if with_set and (k - at >= 256 or k + 1 == batch.num_rows):
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : k + 1], pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], names=[id_col, "node", "hashes"])
-                    nodes, sets, at = [], [], k + 1
-                elif not with_set:
-                    sets.clear()
+                nodes.append(fingerprint(h, words) + xxhash.xxh64_digest(h.tobytes()))
+                if not with_set:
+                    continue
+                sets.append(h.view(np.int64))
+                size += len(h)
+                if size >= 1 << 18 or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : k + 1], pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=[id_col, "node", "hashes"])
+                    nodes, sets, size, at = [], [], 0, k + 1
             if not with_set:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary())], names=[id_col, "node"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, node binary" + (", hashes binary" if with_set else ""))
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, node binary" + (", hashes array<long>" if with_set else ""))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of pairs(u, v) whose sets(node, hashes) have a Jaccard similarity of `least` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                small, large = sorted((len(a), len(b)))
-                both = len(np.intersect1d(a, b, assume_unique=True)) if small >= least * large else 0
-                keep.append(both > 0 and both / (small + large - both) >= least)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
     of = lambda c, h: sets.select(F.col("node").alias(c), F.col("hashes").alias(h))
-    both = pairs.join(of("u", "hu"), "u").join(of("v", "hv"), "v").select("u", "v", "hu", "hv")
-    return both.mapInArrow(run, "u binary, v binary")
+    both = pairs.join(of("u", "hu"), "u").join(of("v", "hv"), "v")
+    a, b = F.size("hu"), F.size("hv")
+    alike = F.least(a, b) >= F.lit(least) * F.greatest(a, b)  # else no overlap is enough
+    common = F.when(alike, F.size(F.array_intersect("hu", "hv"))).otherwise(0)
+    return both.select("u", "v", common.alias("n"), (a + b).alias("all")).where((F.col("n") > 0) & (F.col("n") / (F.col("all") - F.col("n")) >= least)).select("u", "v")
 
 
 def similar_documents(docs: DataFrame, shingle: int, words: int, radius: int, agree: float, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every row: components over pairs of texts whose sets of shingles have a Jaccard similarity of `least` or more.
 
     Candidates are pairs within the radius that bands find, as in near_duplicates, but fingerprints are of
-    the sets; each pair is held against the sets themselves before it counts. Rounds first take few pairs of each
-    group, then all that lie between the components so found. Texts without words are alike. Rows with
-    the same id or text each give a row; other columns are ignored.
+    the sets; each pair is held against the sets themselves before it counts. Texts without words are
+    alike. Rows with the same id or text each give a row; other columns are ignored.
     """
     made = written(shingle_sets(docs, shingle, words, id_col, text_col, False), "nodes")
-    nodes = written(made.groupBy("node").agg(F.min(id_col).alias("least")), "distinct")
-    rows, width = nodes.count(), 8 * words
-    index = Bands.plan(8 * width, radius, rows, agree)
-    labelled = nodes.select(F.concat("node", F.substring("node", width + 1, 8)).alias("fp"))
-    sets = tried = edges = None
-    for turn in (*range(ROUNDS), None):
-        pairs_of = partial(_candidates, radius=radius, width=width, turn=turn)
-        cut = lambda c: F.substring(c, 1, width + 8)
-        pairs = links(labelled, index, pairs_of).select(cut("u").alias("u"), cut("v").alias("v"))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if sets is None:  # whatever has a near row is in a pair of the first round
-            near = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near")
+    nodes = written(made.groupBy("node").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    rows, of_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    held: list[DataFrame] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        for known in held:
+            ends = ends.join(known.select("node"), "node", "left_anti")
+        ends = written(ends, "ends")
+        if not ends.isEmpty():  # sets of texts that have come up for the first time; nearly all do in the first round
             texts = shingle_sets(docs, shingle, words, id_col, text_col, True).drop(id_col)
-            sets = written(texts.join(near, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(similar_pairs(pairs, sets, least), "similar")
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
-        label = F.when(F.col("root").isNotNull(), F.unhex(F.lpad(F.hex(F.xxhash64("root")), 16, "0")))
-        labelled = near.join(found, "node", "left").select(F.concat("node", F.coalesce(label, F.substring("node", width + 1, 8))).alias("fp"))
-        labelled = written(labelled, "labelled") if turn is not None else None
-    classes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = written(classes, "classes")
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.join(classes.join(smallest, "root").select("node", "component_id"), "node").select(id_col, "component_id")
+            held.append(written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets"))
+        if not held:
+            return pairs
+        return similar_pairs(pairs, reduce(DataFrame.unionByName, held), least)
+
+    found = banded_components(nodes.select("node"), Bands.plan(64 * words, radius, rows, agree), 8 * words, verified)
+    return _classes(made, nodes.drop("n"), found, "node", of_rows, rows).select(id_col, "component_id")

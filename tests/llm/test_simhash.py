@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestack.llm import simhash
 
@@ -97,3 +98,34 @@ def test_bands_find_similar_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = simhash.near_duplicates(df, shingle=5, words=4, radius=50, agree=0.85).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def near_copies(rng, n, flips, bits=256):
+    """n distinct fingerprints around one centre, some of them nearer to each other than to it."""
+    centre = rng.integers(0, 2, bits).astype(np.uint8)
+    out = np.tile(centre, (n, 1))
+    for row in out:
+        row[rng.choice(bits, flips, replace=False)] ^= 1
+    return np.packbits(out, axis=1)
+
+
+def test_crowded_buckets_lose_no_group(spark, monkeypatch):
+    """Near copies that fill every band's bucket are one class, and a row near one of them alone is found."""
+    monkeypatch.setattr(simhash, "REFINE_ROWS", 200)
+    monkeypatch.setattr(simhash, "SHIFT_RUN", 64)
+    rng = np.random.default_rng(1)
+    for flips, radius in ((6, 30), (20, 62)):
+        crowd = near_copies(rng, 3000, flips)
+        loose = np.packbits(rng.integers(0, 2, (400, 256)).astype(np.uint8), axis=1)
+        fps = sorted({x.tobytes() for x in np.vstack([crowd, loose])})
+        df = spark.createDataFrame([(bytearray(x + xxhash.xxh64_digest(x)),) for x in fps], "node binary")
+        found = simhash.banded_components(df, simhash.Bands.plan(256, radius, len(fps), 0.85), 32, lambda pairs: pairs).collect()
+        assert len(found) == len({x.tobytes() for x in crowd}) and len({bytes(r["root"]) for r in found}) == 1
+    # verification breaks the crowd up: only pairs with bit 0 alike hold, so two classes must come out
+    first_bit = lambda c: F.hex(F.substring(c, 1, 1)) >= "80"
+    half = lambda pairs: pairs.where(first_bit("u") == first_bit("v"))
+    found = simhash.banded_components(df, simhash.Bands.plan(256, 62, len(fps), 0.85), 32, half).collect()
+    kinds = {}
+    for r in found:
+        kinds.setdefault(bytes(r["root"]), set()).add(bytes(r["node"])[0] >> 7)
+    assert len(kinds) == 2 and all(len(k) == 1 for k in kinds.values()) and len(found) == len({x.tobytes() for x in crowd})
