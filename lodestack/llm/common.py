@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,12 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs that nothing refers to any more, rather than when memory runs short."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, looked_up, written
+from .common import components, freed, looked_up, written
 
 #: Rows of a bucket above which it is dealt anew by further bits.
 REFINE_ROWS = 16_384
@@ -31,11 +31,15 @@ REFINE_ROWS = 16_384
 SHIFT_RUN = 1_024
 #: Lanes that are compared together.
 LANES = 32_768
-#: Rounds of few pairs of each group before all pairs between components are compared.
-ROUNDS = 2
-#: Times that a large bucket's parts are reduced to one row a group in such a round.
-PASSES = 3
-#: Times that the last round deals a large bucket anew, by STEPS choices of STEP_BITS bits each.
+#: Rounds in which each row is paired with its nearest alone, before all pairs between components are looked at.
+ROUNDS = 3
+#: Near rows of other components up to which a row's pairs are listed; a row with more belongs to a crowd, whose sets meet in blocks.
+LISTED = 32
+#: Elements of sets that a block of a crowd holds.
+CROWD_ELEMENTS = 4_000_000
+#: Tables of an index that are dealt together, so that what is on disk doesn't grow with their number.
+TABLES = 16
+#: Times the last round deals a large bucket anew, by STEPS choices of STEP_BITS bits each.
 LEVELS, STEPS, STEP_BITS = 6, 12, 6
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # fixed values: odd 64-bit mixing constants
 
@@ -319,50 +323,71 @@ def _edges(fps: np.ndarray, run: np.ndarray, radius: int) -> list[tuple[int, int
     return out
 
 
-def _first_near(pairs: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Of near pairs, each row's with the row of the smallest rank."""
+def _distances(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(fps).view("<u8")
+    return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+
+
+def _nearest_of(pairs: np.ndarray, distance: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of near pairs, each row's with its nearest, of equals the one of the smallest rank."""
     a, b = np.r_[pairs[:, 0], pairs[:, 1]], np.r_[pairs[:, 1], pairs[:, 0]]
-    order = np.lexsort((rank[b], a))
+    order = np.lexsort((rank[b], np.r_[distance, distance], a))
     a, b = a[order], b[order]
     first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
     return np.stack([a[first], b[first]], axis=1)
 
 
-def _crossing(fps: np.ndarray, label: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """All near pairs of one run whose labels differ; rows of the commonest label are not held against each other."""
+def _near_rows(fps: np.ndarray, label: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one long run, (row, near rows of other labels); a pair comes up from both sides unless one has the commonest label, whose rows don't ask."""
     kinds, which, n = np.unique(label, return_inverse=True, return_counts=True)
-    found = []
-    if len(kinds) > 1:
-        order = np.argsort(which == n.argmax(), kind="stable")  # the commonest label's rows last
-        fps, label = fps[order], label[order]
-        p, full = planes(fps), np.uint64(0xFFFFFFFFFFFFFFFF)
-        for at in range(len(fps) - int(n.max())):
-            skip = at // 64
-            wanted = _mask((label[skip * 64 :] != label[at]) & (np.arange(skip * 64, len(fps)) > at), p.shape[1] - skip)
-            q = np.unpackbits(fps[at])
-            near = _lanes(within(lambda k: p[k, skip:] ^ full if q[k] else p[k, skip:], len(q), wanted, radius))
-            found += [(int(order[at]), int(order[skip * 64 + x])) for x in near.tolist()]
-    return found
+    asking = np.flatnonzero(which != n.argmax()) if n.max() > 1 else np.arange(len(fps))
+    p, full = planes(fps), np.uint64(0xFFFFFFFFFFFFFFFF)
+    for at in asking.tolist():
+        q = np.unpackbits(fps[at])
+        yield at, _lanes(within(lambda k: p[k] ^ full if q[k] else p[k], len(q), _mask(label != label[at], p.shape[1]), radius))
 
 
-def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, turn: int | None) -> list[tuple[int, int]]:
-    """Near pairs of equal run and differing labels; rows are fingerprints, digests and labels.
-
-    turn: None gives all of them; else each row has a pair with the first of its near rows, by an order that
-    turns with the number, so that a group gives no more pairs than rows.
-    """
-    fps, label = rows[:, :width], np.ascontiguousarray(rows[:, -8:]).view(np.uint64)[:, 0]
-    rank = (np.ascontiguousarray(rows[:, width : width + 8]).view(np.uint64)[:, 0] ^ np.uint64(turn or 0)) * np.uint64(_MIX[1])
+def _split_runs(run: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(rows of runs of 2 to SHIFT_RUN, (begin, size) of longer ones)."""
     begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     sizes = np.diff(np.r_[begins, len(run)])
     short = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHIFT_RUN), sizes))
+    return short, [(b, n) for b, n in zip(begins.tolist(), sizes.tolist()) if n > SHIFT_RUN]
+
+
+def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, last: bool) -> tuple[list, list]:
+    """(pairs, crowd) of near rows of equal run and differing labels; rows are fingerprints, digests and labels.
+
+    Unless last, each row has a pair with its nearest. In the last round a row is paired with all its near
+    rows, up to LISTED of them; rows with more are a crowd, and crowd holds edges that join those near each
+    other, so a near pair is listed from one side or both rows are in one crowd.
+    """
+    fps, label = rows[:, :width], np.ascontiguousarray(rows[:, -8:]).view(np.uint64)[:, 0]
+    rank = np.ascontiguousarray(rows[:, width : width + 8]).view(np.uint64)[:, 0]
+    short, long = _split_runs(run)
     pairs = short[np.array(_near_by_shifts(fps[short], run[short], radius), np.int64).reshape(-1, 2)] if len(short) else np.zeros((0, 2), np.int64)
     pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
-    out = list(map(tuple, (pairs if turn is None else _first_near(pairs, rank)).tolist()))
-    for b, n in zip(begins[sizes > SHIFT_RUN].tolist(), sizes[sizes > SHIFT_RUN].tolist()):
-        at = b + np.argsort(rank[b : b + n])
-        out += [(int(at[x]), int(at[y])) for x, y in (_crossing(fps[at], label[at], radius) if turn is None else _grown(fps[at], radius))]
-    return out
+    out, crowd = [], []
+    if not last:
+        out += _nearest_of(pairs, _distances(fps, pairs[:, 0], pairs[:, 1]), rank).tolist()
+        for b, n in long:
+            for at, near in _near_rows(fps[b : b + n], label[b : b + n], radius):
+                if len(near):
+                    far = _distances(fps[b : b + n], np.full(len(near), at), near)
+                    out.append((b + at, b + int(near[np.lexsort((rank[b + near], far))[0]])))
+        return out, crowd
+    many = np.bincount(pairs.ravel(), minlength=len(rows)) > LISTED
+    both = many[pairs].all(axis=1)
+    out += pairs[~both].tolist()
+    crowd += _forest(pairs[both].tolist())
+    for b, n in long:
+        found = dict(_near_rows(fps[b : b + n], label[b : b + n], radius))
+        asked_by = np.bincount(np.concatenate([*found.values(), np.zeros(0, np.int64)]), minlength=n)  # rows of the commonest label don't ask themselves
+        many = {at for at in range(n) if (len(found[at]) if at in found else asked_by[at]) > LISTED}
+        for at, near in found.items():
+            out += [(b + at, b + x) for x in near.tolist() if not (at in many and x in many)]
+        crowd += [(b + x, b + y) for x, y in _forest([(at, x) for at, near in found.items() if at in many for x in near.tolist() if x in many])]
+    return out, crowd
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -398,33 +423,40 @@ def _linked(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fps, runs, _, _ in _runs(batches):
-            pairs = pairs_of(fps, runs)
-            for at in range(0, len(pairs), 65_536):
-                a, b = zip(*pairs[at : at + 65_536])
-                yield pa.RecordBatch.from_arrays([_binary(fps, a), _binary(fps, b)], names=["u", "v"])
+            yield from _edge_batches(fps, pairs_of(fps, runs))
 
     return dealt.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "u binary, v binary")
 
 
-def _reduced(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
-    """What pairs_of finds in the parts (path, key, part) of large buckets, as rows (null, null, null, u, v), and rows
-    (path, key, fp, null, null) of one fingerprint of each group so found and of all that are in none."""
+def _edge_batches(fps: np.ndarray, pairs: list, **more: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(pairs), 65_536):
+        a, b = zip(*pairs[at : at + 65_536])
+        yield pa.RecordBatch.from_arrays([_binary(fps, a), _binary(fps, b), *(pa.repeat(v, len(a)) for v in more.values())], names=["u", "v", *more])
+
+
+FOUND = "u binary, v binary, crowd boolean, path int, key long, fp binary"
+
+
+def _searched(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
+    """What pairs_of finds in buckets (path, key): rows (u, v, crowd); of a bucket of over REFINE_ROWS rows nothing but these: (path, key, fp)."""
+    none = pa.scalar(None, pa.int32()), pa.scalar(None, pa.int64()), pa.scalar(None, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "key", "fp", "u", "v"]
-        for fps, runs, path, key in _runs(b.select(["path", "mixed", "fp", "key"]) for b in batches):
-            pairs = pairs_of(fps, runs)
-            if pairs:
-                a, b = zip(*pairs)
-                n = len(a)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), _binary(fps, a), _binary(fps, b)], names=names)
-            stay = np.ones(len(fps), bool)
-            stay[[a for a, _ in _forest(pairs)]] = False
-            rows = np.flatnonzero(stay)
-            yield pa.RecordBatch.from_arrays([pa.array(path[rows]), pa.array(key[rows]), _binary(fps, rows), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary())], names=names)
-
-    parts = dealt.withColumn("mixed", F.xxhash64("key", "part")).drop("part")
-    return parts.repartition("path", "mixed").sortWithinPartitions("path", "mixed", "fp").mapInArrow(run, "path int, key long, fp binary, u binary, v binary")
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        for fps, runs, path, key in _runs(batches):
+            begins = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+            sizes = np.diff(np.r_[begins, len(runs)])
+            large = np.repeat(sizes > REFINE_ROWS, sizes)
+            for at in np.array_split(np.flatnonzero(large), -(-int(large.sum()) // 65_536) or 1):
+                if len(at):
+                    gone = [pa.nulls(len(at), t) for t in (pa.binary(), pa.binary(), pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*gone, pa.array(path[at]), pa.array(key[at]), _binary(fps, at)], names=names)
+            some = np.flatnonzero(~large)
+            if len(some):
+                for kind, pairs in zip((False, True), pairs_of(fps[some], runs[some])):
+                    yield from _edge_batches(fps[some], pairs, crowd=pa.scalar(kind), path=none[0], key=none[1], fp=none[2])
+
+    return dealt.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, FOUND)
 
 
 def _redealt(dealt: DataFrame, bits: int, level: int) -> DataFrame:
@@ -464,66 +496,114 @@ def links(distinct: DataFrame, index: Blocks, pairs_of: Callable | None = None)
         paths = further
 
 
-def _round(labelled: DataFrame, index: Bands, width: int, turn: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (u, v) of labelled(fp: fingerprint, digest, label) that bands find within the radius, and the
-    rows (fp) of large buckets, if any.
+def _round(labelled: DataFrame, index: Bands, width: int, last: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """(found(u, v, crowd), rows(fp) of large buckets, whether there are any) of labelled(fp: fingerprint, digest, label).
 
-    turn: a number gives few pairs of each group, None all whose labels differ. In a round of few, a
-    bucket of over REFINE_ROWS rows is taken in parts, of which one row a group goes on to meet the
-    others'; what is still crowded after PASSES is left to the last round. There, rows of a large bucket's
-    commonest label are dealt to parts, in each of which all others are held against them: all pairs
-    of differing labels, whatever the size of that label. Only a bucket in which over REFINE_ROWS rows
-    have other labels is dealt anew by further bits, by enough choices to miss one in 300 of the pairs
-    that agree in 0.85 of their bits; after LEVELS of these it is taken as it is.
+    Large buckets, of over REFINE_ROWS rows, are told by the tasks that come upon them. In an early round
+    they are taken in parts: a row's nearest in a part is near enough. In the last, rows of a large
+    bucket's commonest label are dealt to parts, in each of which all others are held against them:
+    all pairs of differing labels, whatever the size of that label. Only a bucket in which over
+    REFINE_ROWS rows have other labels is dealt anew by further bits, by enough choices to miss one in 300
+    of the pairs that agree in 0.85 of their bits; after LEVELS of these its parts are taken as they come.
     """
-    pairs_of = partial(_candidates, radius=index.radius, width=width, turn=turn)
-    by, found, crowd = ["path", "key"], [], None
-    dealt = written(_dealt(labelled, index, index.roots(), None), "dealt")
-    for level in range(LEVELS if turn is None else PASSES):
+    pairs_of = partial(_candidates, radius=index.radius, width=width, last=last)
+    by, found = ["path", "key"], []
+
+    def searched(dealt: DataFrame) -> DataFrame:
+        out = written(_searched(dealt, pairs_of), "searched")
+        freed(labelled.sparkSession)
+        found.append(out.where("u is not null").select("u", "v", "crowd"))
+        return out.where("fp is not null").select(*by, "fp")
+
+    roots = index.roots()
+    left = [searched(_dealt(labelled, index, roots[at : at + TABLES], None)) for at in range(0, len(roots), TABLES)]
+    crowded = reduce(DataFrame.unionByName, left)
+    any_left, hot = not crowded.isEmpty(), crowded
+    for level in range(LEVELS if any_left else 0):
         label = F.substring("fp", width + 9, 8)
-        sizes = dealt.groupBy(*by, label.alias("label")).count().groupBy(*by).agg(F.sum("count").alias("n"), F.max_by("label", "count").alias("top"), F.max("count").alias("most"))
-        large = written(sizes.where(F.col("n") > REFINE_ROWS), "large")
-        if large.isEmpty():
-            return reduce(DataFrame.unionByName, [*found, _linked(dealt, pairs_of)]), crowd
-        found.append(_linked(dealt.join(large, by, "left_anti"), pairs_of))
-        hot = dealt.join(large, by)
-        crowd = hot.select("fp") if crowd is None else crowd
-        if turn is not None:
-            part = F.pmod(F.xxhash64("fp", F.lit(level)), F.ceil(2 * F.col("n") / REFINE_ROWS)).alias("part")
-            led = written(_reduced(hot.select(*by, "fp", part), pairs_of), "led")
-            found.append(led.where("u is not null").select("u", "v"))
-            dealt = led.where("fp is not null").select(*by, "fp")
-            continue
-        parts = F.ceil(F.col("most") / REFINE_ROWS)
+        sizes = hot.groupBy(*by, label.alias("label")).count().groupBy(*by).agg(F.sum("count").alias("n"), F.max_by("label", "count").alias("top"), F.max("count").alias("most"))
+        sizes = written(sizes, "large")
+        rows = hot.join(sizes, by)
+        final = level + 1 == LEVELS
+        whole = F.lit(True) if not last or final else F.col("n") - F.col("most") <= REFINE_ROWS
+        many = F.col("n") if not last or final else F.col("most")
+        parts = F.ceil(2 * many / REFINE_ROWS)
         own = F.array(F.pmod(F.xxhash64("fp"), parts))
-        whole = F.col("n") - F.col("most") <= REFINE_ROWS
-        split = hot.where(whole).withColumn("part", F.explode(F.when(label == F.col("top"), own).otherwise(F.sequence(F.lit(0), parts - 1))))
-        found.append(_linked(split.select("path", F.xxhash64("key", "part").alias("key"), "fp"), pairs_of))
-        dealt = written(_redealt(hot.where(~whole), index.bits, level), "dealt")
-    return reduce(DataFrame.unionByName, found if turn is not None else [*found, _linked(dealt, pairs_of)]), crowd
+        everywhere = F.lit(last and not final) & (label != F.col("top"))
+        split = rows.where(whole).withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
+        # a part holds at most half of REFINE_ROWS, and as many again of other labels
+        searched(split.select("path", F.xxhash64("key", "part").alias("key"), "fp"))
+        if not last or final or sizes.where(~whole).isEmpty():
+            break
+        left = searched(_redealt(rows.where(~whole), index.bits, level))
+        if left.isEmpty():
+            break
+        hot = left
+    return reduce(DataFrame.unionByName, found), crowded.select("fp"), any_left
+
 
+def crowd_pairs(crowds: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) that connect those rows of a crowd whose sets have a Jaccard similarity of `least` or more.
 
-def banded_components(nodes: DataFrame, index: Bands, width: int, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    crowds(node, root), sets(node, hashes). All pairs of a crowd are looked at, in blocks of CROWD_ELEMENTS
+    elements of sets of which two meet in a task; a task gives a forest, never its pairs.
+    """
+    rows = crowds.join(sets, "node")
+    blocks = rows.groupBy("root").agg(F.ceil(F.sum(F.size("hashes") + 1) / CROWD_ELEMENTS).alias("blocks"))
+    placed = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "hashes")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, sets_ = table.column("node").to_pylist(), table.column("hashes").chunk(0)
+        sizes = sets_.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, ids = np.unique(sets_.flatten().to_numpy(), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        flag, filled = np.zeros(int(ids.max(initial=-1)) + 1, bool), np.flatnonzero(sizes)
+        one = np.array(table.column("block").to_pylist()) == table.column("i")[0].as_py()
+        pairs = []
+        for a in filled[one[filled]].tolist():
+            mine = ids[starts[a] : starts[a] + sizes[a]]
+            flag[mine] = True
+            both = np.add.reduceat(flag[ids], starts[filled], dtype=np.int64)
+            flag[mine] = False
+            alike = filled[both / (sizes[a] + sizes[filled] - both) >= least]
+            pairs += [(a, b) for b in alike.tolist() if b != a]
+        edges = _forest(pairs)
+        return pa.table({"u": pa.array([nodes[a] for a, _ in edges], pa.binary()), "v": pa.array([nodes[b] for _, b in edges], pa.binary())})
+
+    return met.groupBy("root", "i", "j").applyInArrow(compare, "u binary, v binary")
+
+
+def banded_components(nodes: DataFrame, index: Bands, width: int, verified: Callable[[DataFrame], DataFrame], crowded: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of components over the pairs of nodes(node: fingerprint and digest) that bands find and verified() keeps.
 
-    Rounds first take few pairs of each group, then all that lie between the components so found.
+    Rounds first pair each row with its nearest of another component, then all that lie between the
+    components so found. verified(pairs(u, v)) gives those that hold; crowded(crowds(node, root)) gives edges
+    that connect what holds within crowds.
     """
     cut = lambda c: F.substring(c, 1, width + 8)
     labelled = nodes.select(F.concat("node", F.substring("node", width + 1, 8)).alias("fp"))
     near = tried = edges = found = None
-    for turn in (*range(ROUNDS), None):
-        pairs, crowd = _round(labelled, index, width, turn)
-        pairs = pairs.select(cut("u").alias("u"), cut("v").alias("v"))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        pairs, large, any_large = _round(labelled, index, width, last)
+        pairs = pairs.select(cut("u").alias("u"), cut("v").alias("v"), "crowd")
+        pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "crowd").distinct(), "found")
+        listed = pairs.where("not crowd").select("u", "v")
+        listed = written(listed if tried is None else listed.join(tried, ["u", "v"], "left_anti"), "pairs")
         if near is None:  # whatever has a near row is in a pair of the first round or was in a large bucket
-            near = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
-            near = written((near if crowd is None else near.unionByName(crowd.select(cut("fp").alias("node")))).distinct(), "near")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = written(verified(pairs), "similar")
+            near = listed.select(F.col("u").alias("node")).unionByName(listed.select(F.col("v").alias("node")))
+            near = written((near.unionByName(large.select(cut("fp").alias("node"))) if any_large else near).distinct(), "near")
+        tried = listed if tried is None else tried.unionByName(listed)
+        new = written(verified(listed), "similar")
+        if last and not (crowd := written(pairs.where("crowd").select("u", "v"), "crowd-edges")).isEmpty():
+            new = new.unionByName(written(crowded(components(crowd)), "crowd-links"))
         edges = new if edges is None else edges.unionByName(new)
         found = components(edges)
-        if turn is not None:
+        freed(nodes.sparkSession)
+        if not last:
             label = F.when(F.col("root").isNotNull(), F.unhex(F.lpad(F.hex(F.xxhash64("root")), 16, "0")))
             labelled = near.join(found, "node", "left").select(F.concat("node", F.coalesce(label, F.substring("node", width + 1, 8))).alias("fp"))
             labelled = written(labelled, "labelled")
@@ -539,6 +619,11 @@ def _classes(rows: DataFrame, nodes: DataFrame, found: DataFrame, node: str, n_r
     return looked_up(rows, classes, node, n_rows)
 
 
+def _star(crowds: DataFrame) -> DataFrame:
+    """Edges that connect each crowd, for where nearness is all that is asked."""
+    return crowds.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 3, agree: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp binary, component_id) of every row.
 
@@ -556,13 +641,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
         found = components(links(distinct.select("fp"), Blocks.plan(bits, radius, rows)))
     else:
         digest = F.unhex(F.lpad(F.hex(F.xxhash64("fp")), 16, "0"))
-        found = banded_components(distinct.select(F.concat("fp", digest).alias("node")), Bands.plan(bits, radius, rows, agree), 8 * words, lambda pairs: pairs)
+        found = banded_components(distinct.select(F.concat("fp", digest).alias("node")), Bands.plan(bits, radius, rows, agree), 8 * words, lambda pairs: pairs, _star)
         found = found.select(*(F.substring(c, 1, 8 * words).alias(c) for c in ("node", "root")))
     return _classes(fps, distinct.drop("n"), found, "fp", of_rows, rows).select(id_col, "fp", "component_id")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, words: int, id_col: str, text_col: str, with_set: bool) -> DataFrame:
-    """(id, node binary[, hashes array<long>]) of every row: the fingerprint of the set of shingles with the set's XXH64, and the set."""
+    """(id, node binary[, hashes array<int>]) of every row: the fingerprint of the set of shingles with the set's XXH64, and
+    the set by the first 32 bits of its hashes, which makes one of two in 65,000 elements equal to another of its set."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -573,15 +659,15 @@ def shingle_sets(docs: DataFrame, shingle: int, words: int, id_col: str, text_co
                 nodes.append(fingerprint(h, words) + xxhash.xxh64_digest(h.tobytes()))
                 if not with_set:
                     continue
-                sets.append(h.view(np.int64))
+                sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
                 size += len(h)
                 if size >= 1 << 18 or k + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : k + 1], pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=[id_col, "node", "hashes"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : k + 1], pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int32()))], names=[id_col, "node", "hashes"])
                     nodes, sets, size, at = [], [], 0, k + 1
             if not with_set:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary())], names=[id_col, "node"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, node binary" + (", hashes array<long>" if with_set else ""))
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, node binary" + (", hashes array<int>" if with_set else ""))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -606,17 +692,24 @@ def similar_documents(docs: DataFrame, shingle: int, words: int, radius: int, ag
     rows, of_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     held: list[DataFrame] = []
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    def sets_of(ends: DataFrame) -> DataFrame | None:
+        """The sets of nodes, with those that have come up before; nearly all do in the first round."""
         for known in held:
             ends = ends.join(known.select("node"), "node", "left_anti")
         ends = written(ends, "ends")
-        if not ends.isEmpty():  # sets of texts that have come up for the first time; nearly all do in the first round
+        if not ends.isEmpty():
             texts = shingle_sets(docs, shingle, words, id_col, text_col, True).drop(id_col)
             held.append(written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets"))
-        if not held:
-            return pairs
-        return similar_pairs(pairs, reduce(DataFrame.unionByName, held), least)
+            freed(docs.sparkSession)
+        return reduce(DataFrame.unionByName, held) if held else None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
+        return pairs if sets is None else similar_pairs(pairs, sets, least)
+
+    def crowded(crowds: DataFrame) -> DataFrame:
+        crowds = written(crowds, "crowds")
+        return crowd_pairs(crowds, sets_of(crowds.select("node")), least)
 
-    found = banded_components(nodes.select("node"), Bands.plan(64 * words, radius, rows, agree), 8 * words, verified)
+    found = banded_components(nodes.select("node"), Bands.plan(64 * words, radius, rows, agree), 8 * words, verified, crowded)
     return _classes(made, nodes.drop("n"), found, "node", of_rows, rows).select(id_col, "component_id")

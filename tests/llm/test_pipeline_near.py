@@ -45,4 +45,24 @@ def test_stage_keeps_what_is_unlike(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want
     monkeypatch.setattr(simhash, "SHIFT_RUN", 4)  # runs as of large groups
+    monkeypatch.setattr(simhash, "LISTED", 2)  # and crowds
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want
+
+
+def test_graded_copies_of_one_text(spark, monkeypatch):
+    """Hundreds of copies of one text with a few to many changes: the classes of brute force, listed or as a crowd."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 9)):
+            words[at] = f"w{rng.random()}"
+        rows.append((i, " ".join(words)))
+    want = brute_kept(rows, 0.8)
+    assert 20 < len(want) < 390
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for listed in (32, 5):
+        monkeypatch.setattr(simhash, "LISTED", listed)
+        got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+        assert len(got ^ want) <= 4  # what the bands miss of the pairs that alone connect their class

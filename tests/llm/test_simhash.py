@@ -110,8 +110,8 @@ def near_copies(rng, n, flips, bits=256):
 
 
 def test_crowded_buckets_lose_no_group(spark, monkeypatch):
-    """Near copies that fill every band's bucket are one class, and a row near one of them alone is found."""
-    monkeypatch.setattr(simhash, "REFINE_ROWS", 200)
+    """Near copies that fill every band's bucket are one class, and a verification that breaks them up is kept to."""
+    monkeypatch.setattr(simhash, "REFINE_ROWS", 400)
     monkeypatch.setattr(simhash, "SHIFT_RUN", 64)
     rng = np.random.default_rng(1)
     for flips, radius in ((6, 30), (20, 62)):
@@ -119,13 +119,39 @@ def test_crowded_buckets_lose_no_group(spark, monkeypatch):
         loose = np.packbits(rng.integers(0, 2, (400, 256)).astype(np.uint8), axis=1)
         fps = sorted({x.tobytes() for x in np.vstack([crowd, loose])})
         df = spark.createDataFrame([(bytearray(x + xxhash.xxh64_digest(x)),) for x in fps], "node binary")
-        found = simhash.banded_components(df, simhash.Bands.plan(256, radius, len(fps), 0.85), 32, lambda pairs: pairs).collect()
+        found = simhash.banded_components(df, simhash.Bands.plan(256, radius, len(fps), 0.85), 32, lambda pairs: pairs, simhash._star).collect()
         assert len(found) == len({x.tobytes() for x in crowd}) and len({bytes(r["root"]) for r in found}) == 1
-    # verification breaks the crowd up: only pairs with bit 0 alike hold, so two classes must come out
     first_bit = lambda c: F.hex(F.substring(c, 1, 1)) >= "80"
     half = lambda pairs: pairs.where(first_bit("u") == first_bit("v"))
-    found = simhash.banded_components(df, simhash.Bands.plan(256, 62, len(fps), 0.85), 32, half).collect()
+    star = lambda crowds: crowds.groupBy(first_bit("node")).agg(F.min("node").alias("v"), F.collect_list("node").alias("us")).select(F.explode("us").alias("u"), "v")
+    found = simhash.banded_components(df, simhash.Bands.plan(256, 62, len(fps), 0.85), 32, half, star).collect()
     kinds = {}
     for r in found:
         kinds.setdefault(bytes(r["root"]), set()).add(bytes(r["node"])[0] >> 7)
     assert len(kinds) == 2 and all(len(k) == 1 for k in kinds.values()) and len(found) == len({x.tobytes() for x in crowd})
+
+
+def test_crowds_meet_in_blocks(spark, monkeypatch):
+    """Whatever the blocks, the classes of a crowd are those of brute force."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**31), 2**31, 60).astype(np.int32)
+    rows = []
+    for i in range(120):
+        own = base.copy()
+        own[rng.choice(60, rng.integers(0, 25), replace=False)] = rng.integers(-(2**31), 2**31)
+        rows.append((bytes([i]), bytes([0]) if i < 100 else bytes([100]), [int(x) for x in np.unique(own)]))
+    rows.append((bytes([250]), bytes([0]), []))
+    df = spark.createDataFrame(rows, "node binary, root binary, hashes array<int>")
+    up = {n: n for n, _, _ in rows}
+    for a, ra, x in rows:
+        for b, rb, y in rows:
+            if a < b and ra == rb and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8:
+                p, q = up[a], up[b]
+                up = {k: min(p, q) if v in (p, q) else v for k, v in up.items()}
+    for elements in (4_000_000, 700):
+        monkeypatch.setattr(simhash, "CROWD_ELEMENTS", elements)
+        from lodestack.llm.common import components
+
+        edges = simhash.crowd_pairs(df.select("node", "root"), df.select("node", "hashes"), 0.8)
+        got = {bytes(r["node"]): bytes(r["root"]) for r in components(edges).collect()}
+        assert {n: got.get(n, n) for n in up} == up
