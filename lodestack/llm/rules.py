@@ -1,14 +1,17 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a column that is true where a document fails. Cost (seconds) and selectivity (share of
-rows rejected) of every rule are measured on a bounded sample; rules then run by rejections per cost,
-and a CASE stops at the first that rejects. The order changes the time and the name of the rule that
+Each rule is a condition that holds where a document fails, over measures that are worked out where a
+rule asks for them. Cost (seconds) and selectivity (share of rows rejected) of every rule are measured
+on a sample; rules then run by rejections per cost, and a CASE stops at the first that rejects, so what
+only later rules need is not worked out. The order changes the time and the name of the rule that
 rejected first, never the verdict.
 """
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,18 +19,42 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BREAKS, written
 
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Rows, about, of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 1_000
-#: Times the sample is evaluated in one measurement, so that a rule outweighs the job around it.
-SAMPLE_TIMES = 4
+#: Times the sample is evaluated in one measurement, so that a rule outweighs the job around it, and measurements of which the least counts.
+SAMPLE_TIMES, MEASUREMENTS = 4, 3
 
 _BREAKS = " \t\n\x0b\x0c\r"
 
 
+@dataclass(frozen=True)
+class Measures:
+    """What rules are made of: counts of a text, as columns that were made before or as expressions over its words."""
+
+    text: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    lines: Column
+    n_repeat_words: Column
+
+    @classmethod
+    def of(cls, text: Column, w: Column) -> Measures:
+        """Expressions over a text (not null) and the list of its words."""
+        symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
+        return cls(text, F.size(w), F.length(F.array_join(w, "")), symbols, line_counts(text), repeated_words(w))
+
+    @classmethod
+    def made(cls, text: Column) -> Measures:
+        """The columns of measured()."""
+        lines = F.struct(F.col("n_lines").alias("n"), F.col("n_dup_lines").alias("dup"))
+        return cls(text, F.col("n_words"), F.col("word_chars"), F.col("n_symbols"), lines, F.col("n_repeat_words"))
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
-    fails: Column
+    fails: Callable[[Measures], Column]
 
 
 def let(value: Column, body) -> Column:
@@ -74,89 +101,111 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("__words", words(text)).withColumn("__lines", line_counts(text))
-    w = F.col("__words")
+    df = docs.withColumn("__words", words(text))
+    m = Measures.of(text, F.col("__words"))
+    df = df.withColumn("__lines", m.lines)
     return (
-        df.withColumn("n_words", F.size(w).cast("long"))
-        .withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
+        df.withColumn("n_words", m.n_words.cast("long"))
+        .withColumn("word_chars", m.word_chars.cast("long"))
+        .withColumn("n_symbols", m.n_symbols.cast("long"))
         .withColumn("n_dup_lines", F.col("__lines.dup"))
         .withColumn("n_lines", F.col("__lines.n"))
-        .withColumn("n_repeat_words", repeated_words(w))
+        .withColumn("n_repeat_words", m.n_repeat_words)
         .drop("__words", "__lines")
     )
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+#: The base that every document has to meet: 50 words or more, at most half of them in repeated windows.
+BASE = [
+    Rule("short", lambda m: m.n_words < 50),
+    Rule("repeats", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
+]
+
+
+def base_failed(m: Measures) -> Column:
+    return BASE[0].fails(m) | BASE[1].fails(m)
 
 
-def standard_rules(text_col: str = "text") -> list[Rule]:
+def standard_rules() -> list[Rule]:
     """Rules that hold for any language with letters; thresholds after published web-text filters."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    capitals = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
-    n = F.col("n_words")
+    letters = lambda m: F.length(F.regexp_replace(m.text, r"\P{L}+", ""))
+    capitals = lambda m: F.length(F.regexp_replace(m.text, r"\P{Lu}+", ""))
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > n),
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n)),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
-        Rule("capitals", 10 * capitals > 4 * letters),
-        Rule("letters", 10 * letters < 6 * F.col("word_chars")),
+        Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
+        Rule("word_length", lambda m: let(m.word_chars, lambda c: (c < 2 * m.n_words) | (c > 14 * m.n_words))),
+        Rule("duplicate_lines", lambda m: let(m.lines, lambda v: 10 * v["dup"] > 3 * v["n"])),
+        Rule("capitals", lambda m: 10 * capitals(m) > 4 * letters(m)),
+        Rule("letters", lambda m: 10 * letters(m) < 6 * m.word_chars),
     ]
 
 
-def calibrate(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Each rule's measured cost and selectivity on a sample of at most sample_rows rows, best first."""
-    sample = written(df.limit(sample_rows), "rule-sample")
-    rows = max(1, sample.count())
+def calibrate(df: DataFrame, rules: list[Rule], lazily: Callable[[Callable[[Measures], Column]], Column], rows: int, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
+    """Each rule's measured cost and selectivity on a sample of df's rows, best first.
+
+    The sample is drawn where the rows are. lazily: from a condition over measures to a column of df. Costs
+    count to a power of two, so that the order doesn't change with what a clock can't tell.
+    """
+    sample = written(df if rows <= sample_rows else df.sample(sample_rows / rows, 17), "rule-sample")
+    n = max(1, sample.count())
     many = sample.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_TIMES))))
 
-    def seconds(fails: Column) -> tuple[float, int]:
-        best, hits = float("inf"), 0
-        for _ in range(2):
+    def seconds(fails: Callable[[Measures], Column]) -> tuple[float, int]:
+        best, hits, query = float("inf"), 0, many.agg(F.count_if(lazily(fails)))
+        for _ in range(MEASUREMENTS):
             began = time.perf_counter()
-            hits = many.agg(F.count_if(fails)).first()[0]
+            hits = query.first()[0]
             best = min(best, time.perf_counter() - began)
         return best, hits // SAMPLE_TIMES
 
-    empty, _ = seconds(F.col("__again") < 0)
+    empty, _ = seconds(lambda m: m.n_words < 0)
     found = []
     for rule in rules:
         spent, hits = seconds(rule.fails)
-        cost = max((spent - empty) / (rows * SAMPLE_TIMES), 1e-9)
-        found.append({"name": rule.name, "cost": cost, "selectivity": hits / rows, "rate": hits / rows / cost})
+        cost = 2.0 ** round(math.log2(max((spent - empty) / (n * SAMPLE_TIMES), 1e-6)))
+        found.append({"name": rule.name, "cost": cost, "selectivity": hits / n, "rate": hits / n / cost})
     return sorted(found, key=lambda x: (-x["rate"], x["cost"], x["name"]))
 
 
-def cascade(df: DataFrame, rules: list[Rule], order: list[str], name: str = "failed_rule") -> DataFrame:
-    """Add `name`: the first rule, in the given order, that rejects the row, or null; later ones don't run.
+def cascade(m: Measures, rules: list[Rule], order: list[str]) -> Column:
+    """The first rule, in the given order, that rejects, or null; later ones aren't worked out.
 
     A rule whose value is null doesn't reject.
     """
     by = {r.name: r.fails for r in rules}
     verdict = F
     for rule in order:
-        verdict = verdict.when(F.coalesce(by[rule], F.lit(False)), F.lit(rule))
-    return df.withColumn(name, verdict.otherwise(F.lit(None).cast("string")) if order else F.lit(None).cast("string"))
+        verdict = verdict.when(F.coalesce(by[rule](m), F.lit(False)), F.lit(rule))
+    return verdict.otherwise(F.lit(None).cast("string")) if order else F.lit(None).cast("string")
+
+
+def over_text(text_col: str) -> Callable[[Callable[[Measures], Column]], Column]:
+    """From an expression over measures to a column: the words are split once, all else where it is asked for."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return lambda body: let(words(text), lambda w: body(Measures.of(text, w)))
 
 
-def keep_rows(df: DataFrame, kept: str, columns: list[str]) -> DataFrame:
-    """The rows where `kept` is true, by a generator: a filter would be moved below the counts and compute them again."""
-    row = F.struct(*(F.col(f"`{c}`") for c in columns))
-    return df.select(F.explode(F.when(F.col(kept), F.array(row))).alias("__kept")).select("__kept.*")
+def first_failed(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Column:
+    """The name of the rule, base included, that rejects a row of docs first, or null; nothing is worked out that no rule asks for.
+
+    Null and empty texts have no words and fail the base. Rows are judged one by one, so ties and
+    repeated rows get equal verdicts; no rule sees another column than the text.
+    """
+    rules, lazily = [*BASE, *standard_rules()], over_text(text_col)
+    order = [x["name"] for x in calibrate(docs.select(text_col), rules, lazily, docs.count(), sample_rows)]
+    return lazily(lambda m: cascade(m, rules, order))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with the counts, base_failed, failed_rule and kept.
 
-    The base (50 words or more, at most half of them in repeated windows) comes first; the cascade sees
-    the rest. Null and empty texts have no words and fail the base. Rows are judged one by one, so ties
-    and repeated rows get equal verdicts; an empty table stays empty; other columns pass through.
+    For those who want the counts of every row, so only what the rules need beyond them is worked out
+    lazily. The base comes first; the cascade sees the rest. Null and empty texts have no words and fail
+    the base. Rows are judged one by one, so ties and repeated rows get equal verdicts; an empty table
+    stays empty; other columns pass through, but those named like the added ones are replaced.
     """
-    df = measured(docs, text_col).withColumn("base_failed", base_failed())
-    rules = standard_rules(text_col)
-    sampled = measured(docs.limit(sample_rows), text_col)
-    order = [x["name"] for x in calibrate(sampled, rules, sample_rows)]
-    df = cascade(df, [Rule("base", F.col("base_failed")), *rules], ["base", *order])
+    made, rules = Measures.made(F.coalesce(F.col(text_col), F.lit(""))), standard_rules()
+    sampled = measured(docs.select(text_col), text_col)
+    order = [x["name"] for x in calibrate(sampled, rules, lambda body: body(made), docs.count(), sample_rows)]
+    df = measured(docs, text_col).withColumn("base_failed", base_failed(made))
+    df = df.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(made, rules, order)))
     return df.withColumn("kept", F.col("failed_rule").isNull())

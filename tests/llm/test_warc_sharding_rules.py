@@ -138,16 +138,31 @@ def test_rule_counts(spark, docs, empty, texts):
 
 
 def test_cascade_order_changes_no_verdict(docs):
-    df = rules.measured(docs).withColumn("base_failed", rules.base_failed())
-    own = rules.standard_rules()
+    own, lazily = [*rules.BASE, *rules.standard_rules()], rules.over_text("text")
     names = [r.name for r in own]
-    verdicts = [sorted((r["doc_id"], r["failed_rule"] is None) for r in rules.cascade(df, own, order).collect()) for order in (names, names[::-1])]
-    assert verdicts[0] == verdicts[1]
-    found = rules.calibrate(df, own)
+    verdicts = []
+    for order in (names, names[::-1]):
+        rows = docs.select("doc_id", lazily(lambda m: rules.cascade(m, own, order)).alias("failed")).collect()
+        verdicts.append(sorted((r["doc_id"], r["failed"] is None) for r in rows))
+    verdicts.append(sorted((r["doc_id"], r["kept"]) for r in rules.apply_rules(docs).collect()))
+    assert verdicts[0] == verdicts[1] == verdicts[2]
+    found = rules.calibrate(docs, own, lazily, docs.count())
     assert sorted(x["name"] for x in found) == sorted(names) and [x["rate"] for x in found] == sorted((x["rate"] for x in found), reverse=True)
 
 
-def test_kept_rows_keep_their_columns(docs):
-    held = docs.select(F.struct("*").alias("__row"), "text")
-    kept = rules.keep_rows(rules.apply_rules(held), "kept", ["__row"]).select("__row.*")
+def test_cascade_works_out_only_what_it_needs(spark):
+    """A rule that would fail the job is never reached by rows that an earlier one rejects."""
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    own = [rules.Rule("all", lambda m: m.n_words < 9), rules.Rule("error", lambda m: F.raise_error(F.lit("reached")).cast("boolean"))]
+    lazily = rules.over_text("text")
+    assert {r[0] for r in df.select(lazily(lambda m: rules.cascade(m, own, ["all", "error"]))).collect()} == {"all"}
+    with pytest.raises(Exception, match="reached"):
+        df.select(lazily(lambda m: rules.cascade(m, own, ["error", "all"]))).collect()
+
+
+def test_sample_needs_no_exchange(spark, docs):
+    plan = rules.measured(docs.select("text")).sample(0.5, 17)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "GlobalLimit" not in plan
+    kept = docs.where(rules.first_failed(docs).isNull())
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rules.apply_rules(docs, sample_rows=3).where("kept").collect())
