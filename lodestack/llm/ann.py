@@ -1,35 +1,40 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Vectors are dealt to the cells of an inverted index (centroids fitted on a bounded sample). In a cell, a
-vector's offset from the centroid is rotated at random and kept as its signs, packed, with two
-correction scalars: the offset's length and its inner product with its own code. From these an inner
-product with a query is estimated without bias, with an error bound; only vectors whose upper bound
-reaches the best lower bounds seen are reranked on the original vectors in double precision.
+Vectors are dealt to the cells of an inverted index (centroids fitted on a bounded sample). A vector's
+offset from its centroid is rotated at random and kept as its signs, packed, with two correction
+scalars: the offset's length and its inner product with its own code. Codes are made once, beside the
+vector. A query, rotated and cut to four bits a component, meets the packed codes of the cells it looks
+into by AND and popcount; that estimates its inner products without bias and with an error bound, and
+only vectors whose upper bound reaches the k-th best exact score seen are reranked in double precision.
+How many cells a query looks into is measured on the sample. Equal vectors are searched, and found, once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import looked_up, written
 
 #: Vectors on which centroids are fitted, at most.
 FIT_ROWS = 20_000
-#: Centroids, at most; below, the square root of the rows.
+#: Centroids, at most; below, half the square root of the rows.
 MOST_CELLS = 4_096
 #: Vectors of a cell that are held against a block of queries at once.
-CELL_ROWS = 8_192
+CELL_ROWS = 16_384
 #: Queries of a cell that are held against a block of vectors at once.
-QUERY_ROWS = 2_048
+QUERY_ROWS = 8_192
 #: Width of the error bound in standard deviations of the estimate.
-BOUND = 3.0
+BOUND = 2.5
+#: Queries of the sample on which probes are measured, and the share of their neighbours that must lie in the cells probed.
+PROBE_QUERIES, PROBE_SHARE = 400, 0.97
+#: Bits that a component of a query is cut to, and queries estimated together.
+QUERY_BITS, TOGETHER = 4, 64
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -60,65 +65,102 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
-def promising(q: np.ndarray, c: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
-    """Rows of c, for each of q the k whose vectors can have the largest inner product: q.c + |q| reach, in any order.
+def ranked_cells(q: np.ndarray, c: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """All rows of c for each of q, by the largest inner product their vectors can have, q.c + |q| reach."""
+    bound = q @ c.T + np.sqrt((q * q).sum(axis=1))[:, None] * reach
+    return np.argsort(-bound, axis=1, kind="stable")
 
-    reach: the largest distance of a cell's vectors from its centroid; -inf for a cell without any.
+
+def measured_probes(sample: np.ndarray, c: np.ndarray, k: int) -> int:
+    """Cells that sample queries must look into to meet PROBE_SHARE of their k neighbours in the sample.
+
+    In a larger table neighbours are nearer, and their cells no farther down.
     """
-    k, out = min(k, len(c)), []
-    for at in range(0, len(q), 2_048):
-        part = q[at : at + 2_048]
-        bound = part @ c.T + np.sqrt((part * part).sum(axis=1))[:, None] * reach
-        out.append(np.argpartition(-bound, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(part), 1)))
-    return np.concatenate(out) if out else np.zeros((0, k), int)
+    if len(sample) < 2 or len(c) < 2:
+        return len(c)
+    cell = nearest(sample, c, 1)[:, 0]
+    offset, reach = sample - c[cell], np.full(len(c), -np.inf)
+    np.maximum.at(reach, cell, np.sqrt((offset * offset).sum(axis=1)))
+    asked = np.random.default_rng(3).permutation(len(sample))[:PROBE_QUERIES]
+    place, k = np.empty(len(c), int), min(k, len(sample) - 1)
+    places = []
+    for i, order in zip(asked, ranked_cells(sample[asked], c, reach)):
+        scores = sample @ sample[i]
+        scores[i] = -np.inf
+        place[order] = np.arange(len(c))
+        places.append(place[cell[np.argpartition(-scores, k - 1)[:k]]])
+    return int(np.quantile(np.concatenate(places), PROBE_SHARE, method="higher")) + 1
+
+
+def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed signs, lengths, inner products of unit offsets with their unit codes) of vectors around their centroids."""
+    offset = x - centre
+    length = np.sqrt((offset * offset).sum(axis=1))
+    turned = (offset @ turn.T) / np.maximum(length, 1e-300)[:, None]
+    own = np.abs(turned).sum(axis=1) / math.sqrt(x.shape[1])
+    own[length == 0] = 1.0
+    padded = np.zeros((len(x), -(-x.shape[1] // 64) * 64), bool)
+    padded[:, : x.shape[1]] = turned > 0
+    return np.packbits(padded, axis=1, bitorder="little"), length, own
 
 
 class Codes:
-    """One-bit codes of vectors around a centroid."""
-
-    def __init__(self, x: np.ndarray, centre: np.ndarray, turn: np.ndarray):
-        offset = x - centre
-        self.length = np.sqrt((offset * offset).sum(axis=1))
-        turned = (offset @ turn.T) / np.maximum(self.length, 1e-300)[:, None]
-        self.dim = x.shape[1]
-        self.bits = np.packbits(turned > 0, axis=1)
-        self.own = np.abs(turned).sum(axis=1) / math.sqrt(self.dim)  # <offset, code>, both of length 1
-        self.own[self.length == 0] = 1.0
-        self.centre, self.turn = centre, turn
+    """Packed codes of a cell's vectors; nothing of them is unpacked."""
+
+    def __init__(self, bits: np.ndarray, length: np.ndarray, own: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+        self.words = np.ascontiguousarray(np.ascontiguousarray(bits).view("<u8").T)
+        self.ones = np.bitwise_count(self.words).sum(axis=0, dtype=np.int64)
+        self.dim, self.centre, self.turn = len(centre), centre, turn
+        self.length, self.scale = length, length / np.maximum(own, 1e-9)
+        self.spread = self.scale * np.sqrt(np.maximum(1 - own**2, 0) / max(1, self.dim - 1))
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(estimates of <q, x>, half widths of their bounds), queries x vectors."""
         turned = q @ self.turn.T
-        signs = np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1
-        raw = (turned.astype(np.float32) @ signs.T) / math.sqrt(self.dim)
-        scale = self.length / np.maximum(self.own, 1e-9)
-        estimate = raw * scale + (q @ self.centre)[:, None]
-        spread = self.length * np.sqrt(np.maximum(1 - self.own**2, 0) / max(1, self.dim - 1)) / np.maximum(self.own, 1e-9)
+        low = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-300)
+        cut = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+        padded = np.zeros((len(q), len(self.words) * 64), np.uint8)
+        padded[:, : self.dim] = cut
+        inside = np.zeros((len(q), self.words.shape[1]), np.int32)  # sums of the cut components where the code has a one
+        for j in range(QUERY_BITS):
+            plane = np.packbits(padded >> j & 1, axis=1, bitorder="little").view("<u8")
+            for w in range(len(self.words)):
+                inside += np.bitwise_count(self.words[w] & plane[:, w, None]).astype(np.int32) << j
         size = np.sqrt((q * q).sum(axis=1))
-        return estimate, BOUND * size[:, None] * spread[None, :] + 1e-5 * (1 + size[:, None] * self.length[None, :])
+        sums = low[:, None] * self.ones + step[:, None] * inside
+        raw = (2 * sums - (low * self.dim + step * cut.sum(axis=1))[:, None]) / math.sqrt(self.dim)
+        estimate = raw * self.scale + (q @ self.centre)[:, None]
+        width = BOUND * (size[:, None] * self.spread + (step / math.sqrt(12))[:, None] * self.scale)
+        return estimate, width + 1e-6 * size[:, None] * (1 + self.length)
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of one query with rows of x, in double precision and in the order of the components."""
-    return (x * q).sum(axis=1)
-
-
-def search_cell(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, vector, score): of each query the k best in the cell, itself left out; ties to the smaller id."""
-    order = np.argsort(xid, kind="stable")
-    xid, x = xid[order], x[order]
-    codes, out = Codes(x, centre, turn), []
-    for at in range(0, len(q), 256):
-        estimate, width = codes.bounds(q[at : at + 256])
-        lower, upper = estimate - width, estimate + width
-        need = min(k + 1, len(x))  # the query itself may be one
-        floor = np.partition(lower, len(x) - need, axis=1)[:, len(x) - need]
-        for j in range(len(floor)):
-            rows = np.flatnonzero((upper[j] >= floor[j]) & (xid != qid[at + j]))
-            scores = exact(q[at + j], x[rows])
-            best = np.lexsort((xid[rows], -scores))[:k]
-            out += [(int(qid[at + j]), int(xid[rows[b]]), float(scores[b])) for b in best]
-    return out
+    """Inner products of one query with rows of x, in double precision."""
+    return (x.astype(np.float64) * q).sum(axis=1)
+
+
+def search_cell(q: np.ndarray, xid: np.ndarray, x: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's number, vector's number, score): of each query the k best in the cell; ties to the smaller id."""
+    owner, rows, scores = [], [], []
+    for at in range(0, len(q), TOGETHER):
+        estimate, width = codes.bounds(q[at : at + TOGETHER])
+        width += estimate  # the upper bound
+        for j, (mean, upper) in enumerate(zip(estimate, width)):
+            query, few = q[at + j], min(4 * k, len(x))
+            first = np.argpartition(-mean, few - 1)[:few]
+            got = exact(query, x[first])
+            least = -np.inf if few < k else np.partition(got, few - k)[few - k]
+            more = upper >= least
+            more[first] = False
+            more = np.flatnonzero(more)
+            which = np.r_[first, more]
+            got = np.r_[got, exact(query, x[more])]
+            best = np.lexsort((xid[which], -got))[:k]
+            owner.append(np.full(len(best), at + j))
+            rows.append(which[best])
+            scores.append(got[best])
+    return np.concatenate(owner), np.concatenate(rows), np.concatenate(scores)
 
 
 def usable(df: DataFrame, vec_col: str) -> DataFrame:
@@ -127,72 +169,95 @@ def usable(df: DataFrame, vec_col: str) -> DataFrame:
     return df.where(v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = 0.8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): of each query's k nearest found by inner product, nearest first.
 
-    vectors and queries hold (id, vector); a query never finds its own id. probe: the share of cells a
-    query looks into, those first that can hold the largest inner product by q.c + |q| x the cell's largest
-    offset, so that vectors may differ in length. Vectors that are null, zero, of another length than the first usable one's or hold
-    null or non-finite components take no part. Ties go to the smaller id. A vector present twice under
-    one id counts once. No usable vector or query gives no row; other columns are ignored.
+    vectors and queries hold (id, vector); a query never finds its own id. probes: the cells that a query
+    looks into, those first that can hold the largest inner product, so that vectors may differ in
+    length; None measures how many. Vectors that are null, zero, of another length than the first usable
+    one's or hold null or non-finite components take no part. Ties go to the smaller id. Of several
+    vectors under one id the least in the order of components counts. No usable vector or query gives no
+    row; null ids take no part; other columns are ignored.
     """
-    doubles = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    base = usable(vectors, vec_col).select(F.col(id_col).alias("id"), doubles.alias("v")).dropDuplicates(["id"])
-    base = written(base, "vectors")
-    asked = usable(queries, vec_col).select(F.col(id_col).alias("id"), doubles.alias("v")).dropDuplicates(["id"])
-    first = base.agg(F.min_by(F.size("v"), "id"), F.count(F.lit(1))).first()
     spark, kind = vectors.sparkSession, vectors.schema[id_col].dataType.simpleString()
-    dim, rows = first[0] or 0, first[1]
+    digest = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
+    single = lambda df: usable(df, vec_col).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(vec_col).alias("v"))
+    base = written(single(vectors).select("id", "v", *digest), "vectors")
+    first = base.agg(F.min_by(F.size("v"), "id")).first()
+    dim = first[0] or 0
     if not dim:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    taken = base.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()  # bounded
-    sample = taken.flatten().to_numpy().reshape(-1, dim)
-    centres = centroids(sample, max(1, min(MOST_CELLS, math.isqrt(rows) // 4)))
-    turn, probes = rotation(dim), max(1, math.ceil(probe * len(centres)))
+    base = base.where(F.size("v") == dim)
+    asked = written(single(queries).where(F.size("v") == dim).select("id", "v", *digest), "queries")
+    same = Window.partitionBy("h", "g").orderBy("id")
+    # of equal vectors the k + 1 smallest ids can be found, whoever asks; the limit is put on before the shuffle
+    members = base.select("h", "g", "id").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    members = members.groupBy("h", "g").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids")
+    reps = written(base.select("id", "v").join(members, "id"), "distinct")
+    leads = asked.groupBy("h", "g").agg(F.min("id").alias("lead"))
+    leads = written(leads, "leads")
+    rows = reps.count()
+    taken = reps.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()  # bounded
+    sample = taken.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+    centres = centroids(sample, max(1, min(MOST_CELLS, math.isqrt(rows) // 2)))
+    turn, n_probes = rotation(dim), min(probes or measured_probes(sample, centres, k), len(centres))
+    element = vectors.schema[vec_col].dataType.simpleString()
 
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy().reshape(-1, dim)
 
-    def deal(choose: Callable):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cells = choose(matrix(batch.column(1)))
-                at = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells.ravel().astype(np.int32))], names=["id", "v", "cell"])
-
-        return run
-
-    schema = f"id {kind}, v array<double>, cell int"
-    held = written(base.mapInArrow(deal(lambda x: nearest(x, centres, 1)), schema), "cells")
-
-    def reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = batch.column(1).to_numpy()
-            offset = matrix(batch.column(0)) - centres[cells]
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.sqrt((offset * offset).sum(axis=1)))], names=["cell", "reach"])
-
+            if batch.num_rows:
+                x = matrix(batch.column(1)).astype(np.float64)
+                cell = nearest(x, centres, 1)[:, 0]
+                bits, length, own = encode(x, centres[cell], turn)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(length), pa.array(own)], names=["id", "v", "ids", "cell", "bits", "length", "own"])
+
+    held = reps.select("id", "v", "ids").mapInArrow(deal, f"id {kind}, v {element}, ids array<{kind}>, cell int, bits binary, length double, own double")
+    held = written(held, "codes")
+    stats = held.groupBy("cell").agg(F.max("length").alias("reach"), F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts")).collect()  # a row a cell
     reach = np.full(len(centres), -np.inf)
-    for cell, most in held.select("v", "cell").mapInArrow(reaches, "cell int, reach double").groupBy("cell").agg(F.max("reach")).collect():  # a row a cell
-        reach[cell] = most
-    sought = written(asked.mapInArrow(deal(lambda q: promising(q, centres, reach, probes)), schema), "probes")
+    for r in stats:
+        reach[r["cell"]] = r["reach"]
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                cells = ranked_cells(matrix(part.column(1)).astype(np.float64), centres, reach)[:, :n_probes]
+                where = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(cells.ravel().astype(np.int32))], names=["lead", "v", "cell"])
+
+    lead = asked.join(leads.select(F.col("lead").alias("id")), "id").select(F.col("id").alias("lead"), "v")
+    sought = written(lead.mapInArrow(seek, f"lead {kind}, v {element}, cell int"), "probes")
     # a cell is held in parts, and so are the queries that look into it: no part grows with the data
-    parts = held.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"))
+    parts = spark.createDataFrame([(r["cell"], r["parts"]) for r in stats], "cell int, parts int")
     blocks = sought.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
     grid = F.broadcast(parts.join(blocks, "cell"))  # a row a cell
-    part, block = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int")
+    part, block = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.pmod(F.xxhash64("lead", F.lit(1)), "blocks").cast("int")
     held = held.join(grid, "cell").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sought = sought.join(grid, "cell").withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def meet(key: tuple, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        found = search_cell(q["id"].to_numpy(), np.stack(q["v"]), x["id"].to_numpy(), np.stack(x["v"]), centres[key[0]], turn, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+    names = ["lead", "id", "ids", "score"]
+
+    def meet(key: tuple, x: pa.Table, q: pa.Table) -> pa.Table:
+        kinds = [x.schema.field("id").type, x.schema.field("id").type, x.schema.field("ids").type, pa.float64()]
+        if not x.num_rows or not q.num_rows:
+            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
+        x, q = x.combine_chunks(), q.combine_chunks()
+        one = lambda t, c: t.column(c).chunk(0)
+        bits = np.frombuffer(b"".join(one(x, "bits").to_pylist()), np.uint8).reshape(x.num_rows, -1)
+        codes = Codes(bits, one(x, "length").to_numpy(), one(x, "own").to_numpy(), centres[key[0].as_py()], turn)
+        owner, row, score = search_cell(matrix(one(q, "v")).astype(np.float64), one(x, "id").to_numpy(), matrix(one(x, "v")), codes, k + 1)
+        return pa.Table.from_arrays([one(q, "lead").take(pa.array(owner)), one(x, "id").take(pa.array(row)), one(x, "ids").take(pa.array(row)), pa.array(score)], names=names)
 
     by = ["cell", "part", "block"]
-    found = held.select(*by, "id", "v").groupBy(*by).cogroup(sought.select(*by, "id", "v").groupBy(*by)).applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score double")
-    # a query has at most k rows a part it looks into
-    merged = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("below"), "vec_id"))).alias("all"))
-    top = merged.select("query_id", F.posexplode(F.slice("all", 1, k)).alias("pos", "x"))
+    found = held.select(*by, "id", "v", "ids", "bits", "length", "own").groupBy(*by).cogroup(sought.select(*by, "lead", "v").groupBy(*by)).applyInArrow(meet, f"lead {kind}, id {kind}, ids array<{kind}>, score double")
+    order = Window.partitionBy("lead").orderBy(F.desc("score"), "id")
+    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)  # limited in each part first
+    pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("below"), i.alias("vec_id")))))
+    best = written(best.groupBy("lead").agg(F.slice(F.sort_array(pairs), 1, k + 1).alias("all")), "found")
+    who = looked_up(written(asked.select("id", "h", "g").join(leads, ["h", "g"]).select("id", "lead"), "askers"), best, "lead", rows)
+    top = who.select(F.col("id").alias("query_id"), F.slice(F.filter("all", lambda p: p["vec_id"] != F.col("id")), 1, k).alias("all"))
+    top = top.select("query_id", F.posexplode("all").alias("pos", "x"))
     return top.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.below")).alias("score"))
