@@ -2,25 +2,29 @@
 
 A document is the set of its words; a word counts by itself and by its first letters, so that forms of
 one stem share what is learnt. Besides fitting the labels, training penalises the change of the score
-when an identity term in a labelled sentence is swapped for another of its kind, or taken out: a
-neutral mention of a group must not move the score.
+between a labelled text and its counterfactual copies: each identity term in it swapped for others of
+its kind and taken out, and, where it has none, one put in. So a neutral mention of a group does not
+move the score, whichever label its text has.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most labelled rows of each class that a model is fitted on.
-FIT_ROWS = 4_000
+from .common import written
+
+#: Most labelled rows of each class that a model is fitted on, and most words, each counted once a row, that both have together.
+FIT_ROWS, FIT_WORDS = 4_000, 2_000_000
+#: Terms that an identity term is swapped for.
+SWAPS = 3
 #: Features a document may have in more than this many rows are kept; rarer ones tell nothing.
 LEAST_ROWS = 3
 SLOTS = 1 << 20
@@ -93,53 +97,69 @@ class Model:
         self.weights, self.bias, self.table = *state, None
 
 
-def swaps(found: Counter) -> list[tuple[list[int], list[int], float]]:
-    """(features out, features in, weight) for every swap of the terms found in labelled sentences, and one of each at least."""
+_KIND = {t: k for k, kind in enumerate(IDENTITY_TERMS) for t in kind}
+
+
+def swaps(words: set[str], number: int) -> list[tuple[list[str], list[str]]]:
+    """(words out, words in) of a text's counterfactual copies; number: the text's, which turns what is swapped in."""
+    bare = {w.strip(_STRIP): w for w in words}
     out = []
-    for kind in IDENTITY_TERMS:
-        total = sum(1 + found[t] for t in kind)
-        for i, a in enumerate(kind):
-            out.append((features(a), [], (1 + found[a]) / total))
-            out += [(features(a), features(b), (1 + found[a]) / total / len(kind)) for b in kind[i + 1 :]]
+    for term in sorted(bare.keys() & _KIND.keys()):
+        kind = IDENTITY_TERMS[_KIND[term]]
+        out.append(([bare[term]], []))
+        at = kind.index(term)
+        for k in range(min(SWAPS, len(kind) - 1)):
+            other = kind[(at + 1 + (number + k) % (len(kind) - 1)) % len(kind)]
+            out.append(([bare[term]], [] if other in bare else [other]))
+    if not out:
+        terms = list(_KIND)
+        out.append(([], [terms[number * 7919 % len(terms)]]))
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, found: Counter, penalty: float = 30.0, decay: float = 1e-5, sparse: float = 2e-2, steps: int = 150, rate: float = 0.1, share: float | None = None) -> Model:
-    """Minimise the log loss + decay |w|^2 + sparse / sqrt(rows) |w| + penalty * mean squared change of the score under the swaps.
+def fit(texts: list[list[str]], labels: np.ndarray, penalty: float = 10.0, decay: float = 1e-5, sparse: float = 2e-2, steps: int = 150, rate: float = 0.1, share: float | None = None) -> Model:
+    """Minimise the log loss + decay |w|^2 + sparse / sqrt(rows) |w| + penalty * mean squared change of the probability from texts to their copies.
 
-    The absolute term keeps the many words that tell nothing at zero, so that a long document is judged like a short one. share: the positives' share where labels come from, if
-    the rows hold another.
+    texts: the words of each labelled text. The absolute term keeps the many words that tell nothing at
+    zero, so that a long document is judged like a short one. share: the positives' share where labels
+    come from, if the texts hold another.
     """
-    positive = float(np.sum(labels == 1))
-    if not len(rows) or positive in (0.0, float(len(rows))):
-        share = positive / len(rows) if len(rows) else 0.0
+    positive, n = float(np.sum(labels == 1)), len(texts)
+    if not n or positive in (0.0, float(n)):
+        share = positive / n if n else 0.0
         return Model({}, math.log((share + 1e-6) / (1 - share + 1e-6)))
+    known = Recent(lambda t: np.array(features(t), np.int64))
+    rows = [np.concatenate([known[t] for t in words]) if words else np.zeros(0, np.int64) for words in texts]
     flat = np.concatenate(rows)
     kept, counts = np.unique(flat, return_counts=True)
     kept = kept[counts >= LEAST_ROWS]
-    pairs = swaps(found)
-    kept = np.union1d(kept, np.array([f for out, inn, _ in pairs for f in out + inn], np.int64))
+    copies = [(i, out, inn) for i, words in enumerate(texts) for out, inn in swaps(set(words), i)]
+    kept = np.union1d(kept, np.concatenate([known[t] for _, out, inn in copies for t in out + inn]))
     number = np.full(SLOTS, -1, np.int64)
     number[kept] = np.arange(len(kept))
     at = number[flat]
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[at >= 0]
+    row = np.repeat(np.arange(n), [len(r) for r in rows])[at >= 0]
     at = at[at >= 0]
-    n, k = len(rows), len(kept)
+    k = len(kept)
     drawn = positive / n
     share = drawn if share is None else share
     weight = np.where(labels == 1, share / drawn, (1 - share) / (1 - drawn)) / n
-    swap_at = np.concatenate([number[np.array(o + i, np.int64)] for o, i, _ in pairs])
-    swap_sign = np.concatenate([np.r_[-np.ones(len(o)), np.ones(len(i))] for o, i, _ in pairs])
-    swap_row = np.repeat(np.arange(len(pairs)), [len(o) + len(i) for o, i, _ in pairs])
-    swap_weight = np.array([w for *_, w in pairs]) / len(IDENTITY_TERMS)
+    steps_of = [[(f, s) for t, s in [*((t, -1) for t in out), *((t, 1) for t in inn)] for f in number[known[t]]] for _, out, inn in copies]
+    copy_at = np.array([f for c in steps_of for f, _ in c], np.int64)
+    copy_sign = np.array([s for c in steps_of for _, s in c], float)
+    copy_id = np.repeat(np.arange(len(copies)), [len(c) for c in steps_of])
+    copy_row = np.array([i for i, *_ in copies])
+    copy_weight = 1 / np.bincount(copy_row, minlength=n)[copy_row] / n
     sparse /= math.sqrt(n)
     w, bias = np.zeros(k), 0.0
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.bincount(row, w[at], n) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weight
-        change = np.bincount(swap_row, w[swap_at] * swap_sign, len(pairs)) * swap_weight
-        gw = np.bincount(at, g[row], k) + 2 * decay * w + 2 * penalty * np.bincount(swap_at, (change[swap_row] * swap_sign), k)
+        p, swapped = _sigmoid(z), _sigmoid(z[copy_row] + np.bincount(copy_id, w[copy_at] * copy_sign, len(copies)))
+        before, after = (p * (1 - p))[copy_row], swapped * (1 - swapped)
+        change = 2 * penalty * copy_weight * (swapped - p[copy_row])
+        g = (p - labels) * weight + np.bincount(copy_row, change * (after - before), n)
+        gw = np.bincount(at, g[row], k) + 2 * decay * w + np.bincount(copy_at, (change * after)[copy_id] * copy_sign, k)
         gb = g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
@@ -150,12 +170,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, found: Counter, penalty: flo
     return Model({int(f): float(x) for f, x in zip(kept, w) if x}, bias)
 
 
-def row_features(words: set[str]) -> np.ndarray:
-    return np.array([f for t in sorted(words) for f in features(t)], np.int64)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: F.Column, rows: int = FIT_ROWS, **options) -> Model:
-    """Fit on at most `rows` of each class of labels(doc_id, toxic) where fold holds: those of the smallest hashes of doc_id.
+def train(docs: DataFrame, labels: DataFrame, fold: F.Column, rows: int = FIT_ROWS, most: int = FIT_WORDS, **options) -> Model:
+    """Fit on at most `rows` of each class of labels(doc_id, toxic) where fold holds: those of the smallest hashes of doc_id,
+    as far as their words come to `most // 2`; so what the driver gets is bounded, and a text with more words isn't fitted on.
 
     A document labelled twice counts as toxic if one label says so; null labels are left out.
     """
@@ -166,17 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, fold: F.Column, rows: int = FIT_RO
     picked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 x rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = {t for kind in IDENTITY_TERMS for t in kind}
         for batch in batches:
-            sets = [tokens(t) for t in batch.column(0).to_pylist()]
-            found = [sorted({x.strip(_STRIP) for x in s} & terms) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([row_features(s).astype(np.int32) for s in sets], pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["features", "terms", "toxic"])
-
-    got = picked.select("text", F.col("toxic").cast("int")).mapInArrow(run, "features array<int>, terms array<string>, toxic int").toArrow()
-    sets = got.column("features").combine_chunks()
-    flat, ends = sets.flatten().to_numpy().astype(np.int64), np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))
-    found = Counter(t for ts in got.column("terms").to_pylist() for t in ts)
-    return fit(np.split(flat, ends[:-1]) if len(ends) else [], got.column("toxic").to_numpy(), found, share=share, **options)
+            sets = [sorted(tokens(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.string())), pa.array(map(len, sets), pa.int64())], names=["doc_id", "toxic", "words", "n"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = picked.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(run, f"doc_id {kind}, toxic int, words array<string>, n long")
+    got = written(got, "labelled")
+    so_far = F.sum("n").over(Window.partitionBy(F.col("toxic") == 1).orderBy(dealt, "doc_id"))  # rows of a class, some repeated, without their words
+    fits = got.select("doc_id", "toxic", "n").where(F.col("n") <= most // 2).withColumn("so_far", so_far).where(F.col("so_far") <= most // 2).select("doc_id").distinct()
+    took = got.join(F.broadcast(fits), "doc_id").select("doc_id", "toxic", "words").dropDuplicates(["doc_id", "words"]).orderBy(dealt, "doc_id", "words").select("toxic", "words").toArrow()
+    return fit(took.column("words").to_pylist(), took.column("toxic").to_numpy(), share=share, **options)
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
