@@ -1,4 +1,4 @@
-"""python -m lodestack CONFIG TABLE [--dry-run] [--reset] [--prune]: bring a chunk table up to date."""
+"""python -m lodestack CONFIG TABLE [--dry-run] [--reset] [--prune] [-v]: bring a chunk table up to date."""
 
 from __future__ import annotations
 
@@ -18,8 +18,10 @@ def main() -> int:
     p.add_argument("table")
     for flag in ("--dry-run", "--reset", "--prune"):
         p.add_argument(flag, action="store_true")
+    p.add_argument("-v", "--verbose", action="store_true", help="show what Spark logs")
     a = p.parse_args()
     spark = SparkSession.builder.getOrCreate()
+    spark.sparkContext.setLogLevel("INFO" if a.verbose else "WARN")
     row = Engine(spark, a.table).ingest(Config.load(Path(a.config).read_text()), a.dry_run, a.prune, a.reset).first()
     print(row.asDict())
     return 1 if not row["files_discovered"] or row["files_failed"] else 0

@@ -28,7 +28,7 @@ class HashedTokens:
 
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            for token in re.findall(KEYWORD, text.lower()):
+            for token in re.findall(KEYWORD.removeprefix("(?U)"), text.lower()):
                 h = zlib.crc32(token.encode())
                 row[h % self.dim] += 1 if h >> 31 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)

@@ -69,9 +69,10 @@ def _tolerant(raw: pd.Series) -> pd.Series:
 
 
 def tolerant_json(raw: Column) -> Column:
-    """The native parser decides where it can; only what it refuses goes through the scanner."""
+    """The native parser decides where it can; only what it refuses is sent to the scanner, which gets nulls of all others."""
     text = strip(raw)
-    return F.when(F.try_parse_json(text).isNotNull() & F.startswith(text, F.lit("{")), text).otherwise(_tolerant(raw))
+    native = F.coalesce(F.try_parse_json(text).isNotNull() & F.startswith(text, F.lit("{")), F.lit(False))
+    return F.when(native, text).otherwise(_tolerant(F.when(~native, raw)))
 
 
 def _text(value: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,11 +18,14 @@ HYPHEN_WRAP = r"(?U)(\w)-\n(\w)"
 TRAILING_SPACE = r"[ \t]+\n"
 MULTI_SPACE = r"[ \t]{2,}"
 MULTI_BLANK = r"\n{3,}"
-KEYWORD = r"[A-Za-z]+(?:\d+[A-Za-z]*)*|\d+"
-IDENTIFIER = r"\b(?:[A-Za-z]{2,6}\d{2,}|\d{3,}|[a-z_]+_[a-z_]+)\b"
-REQUIREMENT_ID = r"([A-Za-z]{1,6}\d[\w.-]*)"
+KEYWORD = r"(?U)[A-Za-z]+(?:\d+[A-Za-z]*)*|\d+"
+IDENTIFIER = r"(?U)\b(?:[A-Za-z]{2,6}\d{2,}|\d{3,}|[a-z_]+_[a-z_]+)\b"
+REQUIREMENT_ID = r"(?U:([A-Za-z]{1,6}\d[\w.-]*))"
 AREA_HEADING = r"(?md)^\s*\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3}\s*$"
 CODE_TYPES = ("function", "class", "raw_python")
+#: Characters that compatibility composition changes neither alone nor beside each other: ASCII, Latin-1 but for its
+#: compatibility characters, and common punctuation. None combines with a character before it.
+COMPOSED = r"[^\x00-\x7F\u00A1-\u00A7\u00A9\u00AB\u00AC\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u2022\u20AC]"
 TRUNCATION_MARK = "\n[... example truncated - shape only, not a complete artefact]"
 
 
@@ -34,8 +40,13 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def nfkc(col: Column) -> Column:
-    """Compatibility composition; ASCII rows never leave the JVM's fast path value-wise, as it is the identity on them."""
-    return F.when(col.rlike(r"[^\x00-\x7F]"), _nfkc(col)).otherwise(col)
+    """Compatibility composition. Only texts with a character that it may change are sent to Python; of all others it gets nulls."""
+    return F.coalesce(_nfkc(F.when(col.rlike(COMPOSED), col)), col)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, though body names it often or inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def normalize_text(col: Column, compose: bool = True) -> Column:
@@ -69,6 +80,29 @@ def token_count(col: Column) -> Column:
     return F.coalesce(F.size(words(col)), F.lit(0))
 
 
+def model_token_count(col: Column, tokenizer: str) -> Column:
+    """Tokens of a tokenizers file, special ones not added; white-space words where there is no such file, as for token_count."""
+    if not os.path.isfile(tokenizer):
+        return token_count(col)
+
+    @F.pandas_udf("int")
+    def counted(text: pd.Series) -> pd.Series:
+        found = _tokenizer(tokenizer).encode_batch(text.fillna("").tolist(), add_special_tokens=False)
+        return pd.Series([len(x.ids) for x in found])
+
+    return counted(col)
+
+
+@functools.lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer  # only where a model's tokens are counted
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
 def keywords(col: Column) -> Column:
     """Lower-cased runs of letters with digits inside, or of digits."""
     return F.transform(F.regexp_extract_all(col, F.lit(KEYWORD), F.lit(0)), F.lower)

@@ -6,10 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, words
+from ..functions.text import bound, strip, words
 
 _BLANK_LINE = re.compile(r"\n\s*\n")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -24,10 +24,13 @@ def sentences(text: Column) -> Column:
 
 
 def hard_split(text: Column, budget: int) -> Column:
-    """Words in groups of `budget`: what packing word by word comes to when a word is a token."""
-    w = words(text)
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(w), F.lit(1)) - 1) / budget).cast("int"))
-    return F.filter(F.transform(starts, lambda g: F.array_join(F.slice(w, g * budget + 1, F.lit(budget)), " ")), lambda c: c != "")
+    """Words in groups of `budget`: what packing word by word comes to when a word is a token. The text is split once."""
+
+    def groups(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(w), F.lit(1)) - 1) / budget).cast("int"))
+        return F.filter(F.transform(starts, lambda g: F.array_join(F.slice(w, g * budget + 1, F.lit(budget)), " ")), lambda c: c != "")
+
+    return bound(words(text), groups)
 
 
 def _count(text: str) -> int:
@@ -141,12 +144,13 @@ def chunk_lines(df: DataFrame, key: str, text: str, budget: int = 512) -> DataFr
 
 
 def chunk_rows(df: DataFrame, sheet: list[str], row: str, text: str, budget: int = 512, cap: int = 1) -> DataFrame:
-    """(sheet columns, chunk_index, chunk, row_start, row_end). A cap of 1 needs no grouping: each row is its own chunk."""
+    """(sheet columns, chunk_index, chunk, row_start, row_end). With a cap of 1 each row makes its own, without Python."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in sheet)
     schema = f"{kinds}, chunk_index int, chunk string, row_start int, row_end int"
     if cap == 1:
         split = df.select(*sheet, F.col(row).alias("r"), F.posexplode(F.when(F.size(words(F.col(text))) > budget, hard_split(F.col(text), budget)).otherwise(F.array(F.col(text)))).alias("i", "chunk"))
-        return split.select(*sheet, F.col("i").alias("chunk_index"), "chunk", F.col("r").cast("int").alias("row_start"), F.col("r").cast("int").alias("row_end"))
+        place = F.row_number().over(Window.partitionBy(*sheet).orderBy("r", "i")) - 1
+        return split.select(*sheet, place.alias("chunk_index"), "chunk", F.col("r").cast("int").alias("row_start"), F.col("r").cast("int").alias("row_end"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row, kind="stable")

@@ -67,17 +67,37 @@ def existing_for(chunks: DataFrame, requirement: str | None) -> DataFrame:
     return chunks.where((F.col("content_type") == "test_case") & (F.lit(wanted == "") | (own == "") | F.startswith(own, F.lit(wanted))))
 
 
-def closest(cases: DataFrame, existing: DataFrame, key: str, vec: str, existing_key: str, existing_vec: str) -> DataFrame:
+#: Bytes of case vectors that are sent to all tasks at once.
+BLOCK_BYTES = 32 << 20
+
+
+def closest(cases: DataFrame, existing: DataFrame, key: str, vec: str, existing_key: str, existing_vec: str, by: str | None = None) -> DataFrame:
     """(key, closest, similarity) of each case over all existing ones; the smaller id of equals; no row without existing ones.
 
-    A stated set of cases against all records: the pairs stream through a map-side maximum, so only a row
-    a case and task is shuffled. Spark broadcasts the smaller side if it is known to be small.
+    by: a column of both whose value narrows a case to the existing records that have it, by an equi-join.
+    Without, a stated set of cases meets all records in blocks: as many cases as BLOCK_BYTES holds are
+    broadcast at a time, and their pairs stream through a map-side maximum, so only a row a case and task
+    is shuffled. Cases are counted for that; keys repeat as they like.
     """
-    e = existing.select(F.col(existing_key).alias("e_id"), F.col(existing_vec).alias("e_vec"))
-    pairs = cases.select(key, F.col(vec).alias("c_vec")).join(e)
-    sim = clamp(cosine(F.col("c_vec"), F.col("e_vec")))
-    best = pairs.select(key, "e_id", sim.alias("similarity")).groupBy(key).agg(F.max(F.struct("similarity", (-F.col("e_id")).alias("below"))).alias("b"))
-    return best.select(key, (-F.col("b.below")).alias("closest"), F.col("b.similarity").alias("similarity"))
+    own = [by] if by else []
+    e = existing.select(*own, F.col(existing_key).alias("e_id"), F.col(existing_vec).alias("e_vec"))
+    c = cases.select(*own, key, F.col(vec).alias("c_vec"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        sim = clamp(cosine(F.col("c_vec"), F.col("e_vec")))
+        most = pairs.select(key, "e_id", sim.alias("similarity")).groupBy(key).agg(F.max(F.struct("similarity", (-F.col("e_id")).alias("below"))).alias("b"))
+        return most.select(key, (-F.col("b.below")).alias("closest"), F.col("b.similarity").alias("similarity"))
+
+    if by:
+        return best(c.join(e, by))
+    size = c.agg(F.coalesce(F.sum(F.size("c_vec") * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    out = None
+    for k in range(blocks):
+        block = c if blocks == 1 else c.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+        part = best(e.join(F.broadcast(block)))  # about BLOCK_BYTES
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def combine(axes: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:

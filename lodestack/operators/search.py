@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keywords
+from ..functions.text import keywords, round_half_even, strip
 
 # Fixed values of the ranking formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,34 +16,46 @@ CONTEXT_SEPARATOR = "\n\n---\n\n"
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings(term, id, tf, len) and stats(term, idf); total N and mean length are columns of stats."""
+    """tokens(id, t: the row's keywords, len) and stats(term, df, n, avgdl, idf).
 
-    postings: DataFrame
+    Statistics are of the whole collection and the dear part, so keep them (persisted or written) for
+    several queries; a query then reads the rows once and counts only the terms it asks for, within them.
+    """
+
+    tokens: DataFrame
     stats: DataFrame
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str) -> KeywordIndex:
-        """Over the whole collection. Term counts are made within each row, so that only (term) is shuffled on."""
+        """Over the whole collection. Each row's terms are made distinct within it, and only (term, df) is shuffled."""
         tokens = docs.select(F.col(id_col).alias("id"), F.coalesce(keywords(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
         tokens = tokens.withColumn("len", F.size("t"))
         whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-        terms = tokens.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         raw = df.join(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
         mean = raw.agg(F.avg("raw").alias("mean"))
         stats = raw.join(F.broadcast(mean)).select("term", "df", "n", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        return cls(terms, stats)
+        return cls(tokens, stats)
+
+    def kept(self) -> KeywordIndex:
+        """The index with its statistics held in the executors, and made anew where one is lost."""
+        return KeywordIndex(self.tokens, self.stats.persist())
+
+    def postings(self, asked: Column) -> DataFrame:
+        """(id, len, term, tf) of the terms in the array `asked` that a row has, counted within the row."""
+        own = F.filter(F.transform(asked, lambda a: F.struct(a.alias("term"), F.size(F.filter("t", lambda x: x == a)).alias("tf"))), lambda p: p["tf"] > 0)
+        return self.tokens.where(F.arrays_overlap("t", asked)).select("id", "len", F.explode(own).alias("p")).select("id", "len", "p.*")
 
     def scores(self, query: str) -> DataFrame:
         """(id, score) of rows scoring above 0; query tokens count as often as they occur.
 
         Scores are rounded to nine digits, so that rows that tie do so in whatever order their terms were summed.
         """
-        spark = self.postings.sparkSession
-        asked = spark.range(1).select(F.explode(keywords(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+        spark, terms = self.tokens.sparkSession, keywords(F.lit(query))
+        asked = spark.range(1).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
         weights = self.stats.join(F.broadcast(asked), "term")
         part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-        return self.postings.join(F.broadcast(weights), "term").groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")  # weights: a row a query term
+        return self.postings(F.array_distinct(terms)).join(F.broadcast(weights), "term").groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")  # weights: a row a query term
 
     def search(self, query: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """The k best, ties to the smaller id; allowed(id): the filter is put on after scoring, as the statistics are global."""
@@ -115,3 +127,20 @@ def assemble_context(hits: DataFrame, budget: int) -> DataFrame:
     kept = made.where((F.col("position") == 1) | (F.col("cum") <= budget))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "block"))), lambda x: x["block"]), CONTEXT_SEPARATOR)
     return kept.agg(joined.alias("context"), F.count(F.lit(1)).alias("blocks"))
+
+
+def format_hits(hits: DataFrame) -> DataFrame:
+    """hits(position, source_file, source_path, method_name, section_path, document_type, text) -> (context): `[i] type | label` blocks of all of them; "" without any."""
+    filled = lambda *cols: F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in cols))
+    label = F.concat_ws(" > ", F.coalesce(filled("source_file", "source_path"), F.lit("unknown")), filled("method_name", "section_path"))
+    block = F.concat(F.lit("["), F.col("position").cast("string"), F.lit("] "), F.coalesce("document_type", F.lit("static")), F.lit(" | "), label, F.lit("\n"), strip(F.col("text")))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", block.alias("block")))), lambda x: x["block"]), CONTEXT_SEPARATOR)
+    return hits.agg(joined.alias("context"))
+
+
+def display_rows(hits: DataFrame, label: Column) -> DataFrame:
+    """(chunk_id, source, document_type, similarity, bm25_score, matched_by, excerpt): rounded scores and the first 600 characters."""
+    return hits.select(
+        "chunk_id", label.alias("source"), F.coalesce(F.col("document_type").cast("string"), F.lit("")).alias("document_type"), round_half_even(F.col("similarity"), 3).alias("similarity"),
+        round_half_even(F.col("bm25_score"), 2).alias("bm25_score"), "matched_by", F.substring("text", 1, 600).alias("excerpt"),
+    )

@@ -1,7 +1,6 @@
 """The engine's registered queries over the test tables, and the same in SQL for DuckDB.
 
-Every query runs over its whole tables. Queries without SQL (folds, parsers) are held against brute
-force in the tests.
+Every query runs over its whole tables.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import llm_json, text
 from ..operators import chunking, incremental, layout, scoring, search
-from ..sources import files, spreadsheet
+from ..sources import files, pages, spreadsheet
+from . import static_context
 
 BM25_QUERY = "the thing and license token 2024 nicht"
 CASE_CONTEXT_ROLE = "assistant"
@@ -76,8 +76,15 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", F.col("ix").cast("long").alias("ix"), text.chunk_id(F.col("path"), key, F.col("ix"), F.col("chunk")).alias("chunk_id"))
 
 
+_indexes: dict[tuple[str, str], search.KeywordIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> search.KeywordIndex:
-    return search.KeywordIndex.build(read(spark, sf_dir, "documents"), "doc_id", "text")
+    """One index of a session's documents for all queries: its statistics are the dear part and stay in the executors."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = search.KeywordIndex.build(read(spark, sf_dir, "documents"), "doc_id", "text").kept()
+    return _indexes[key]
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +144,70 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.sha2("context", 256).alias("context_sha256"), F.length("context").cast("long").alias("chars"), F.col("blocks").cast("long").alias("blocks"))
 
 
+def fuse_one_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the keyword arm at weight 0 only dense hits are left, in their order."""
+    f = search.fuse(_dense(spark, sf_dir, 30), _index(spark, sf_dir).search(BM25_QUERY, 30), 8, keyword_weight=0.0)
+    return f.select(F.col("rank").cast("long").alias("rank"), F.col("id").alias("chunk"), F.array_join("matched_by", ",").alias("matched_by"))
+
+
+def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("document_type"), "text")
+    hits = _fused(spark, sf_dir).join(docs, "id", "left").withColumnRenamed("id", "chunk_id")
+    shown = search.display_rows(hits, F.coalesce("source", F.lit("")))
+    return shown.withColumn("matched_by", F.array_join("matched_by", ","))
+
+
+def static_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One joint corpus searched for each of its types: statistics are of all documents, hits of one type."""
+    docs, index, out = _typed(spark, sf_dir), _index(spark, sf_dir), None
+    for kind in (static_context.API_TYPE, static_context.TRACK_TYPE):
+        allowed = docs.where(F.col("document_type") == kind).select(F.col("chunk_id").alias("id"))
+        hits = search.ranked(index.search(BM25_QUERY, 5, allowed), "score", "position").withColumnRenamed("id", "chunk_id").join(docs, "chunk_id")
+        part = search.format_hits(hits).select(F.lit(kind).alias("document_type"), F.sha2("context", 256).alias("context_sha256"), F.length("context").cast("long").alias("chars"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of an API corpus (English) and track data (German), and others."""
+    kind = F.when(F.col("lang") == "en", static_context.API_TYPE).when(F.col("lang") == "de", static_context.TRACK_TYPE).otherwise("other")
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("chunk_id"), kind.alias("document_type"), F.col("source").alias("source_file"), F.col("source").alias("source_path"), F.lit("").alias("method_name"), F.col("lang").alias("section_path"), F.col("source").alias("subdivision"), "text")
+
+
+def subdivisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.distinct_subdivisions(_typed(spark, sf_dir), static_context.TRACK_TYPE).select(F.array_join("subdivisions", ",").alias("subdivisions"))
+
+
+def existing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as test-case chunks (all but French) with ids of a requirement, some without; those that count for one."""
+    req = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("l2r"), (F.col("doc_id") % 90).cast("string"), F.lit("_x")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.lit("test_case")).otherwise(F.lit("text")).alias("content_type"), req.alias("requirement_id"))
+    return scoring.existing_for(docs, " L2R4_2 ").select("doc_id")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads of allowed and other kinds."""
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, (".txt", ".MD", ".pdf", ""))), (F.col("page_id") % 4 + 1).cast("int")))
+    found = files.uploaded(read(spark, sf_dir, "pages").select(name.alias("filename"), F.col("html").cast("binary").alias("content")))
+    return found.select("filename", F.sha2("requirement_text", 256).alias("text_sha256"), "error")
+
+
+def normalize_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by turns as code and prose."""
+    kind = F.when(F.col("doc_id") % 2 == 0, F.lit("function")).otherwise(F.lit("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize_unit(F.col("text"), kind), 256).alias("sha256"))
+
+
+def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled blocks, a fence taken off, numbered cases and a file name of every document."""
+    docs, t = read(spark, sf_dir, "documents"), F.col("text")
+    blocks = text.labelled_blocks(("Requirement", t), ("Folder", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit(" "))))
+    fenced = text.strip_fence(F.concat(F.lit("```python\n"), t, F.lit("\n```")))
+    name = text.download_name(F.lit("cases"), F.concat(F.col("source"), F.lit(" / "), F.col("doc_id").cast("string")), F.lit("2024-01-02 03:04:05").cast("timestamp"), "xlsx")
+    return docs.select("doc_id", F.sha2(blocks, 256).alias("blocks"), F.sha2(fenced, 256).alias("unfenced"), F.sha2(text.numbered_cases(F.array("source", "lang")), 256).alias("cases"), name.alias("file"))
+
+
 def dense_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of hits by arm, after fusion."""
     f = _fused(spark, sf_dir)
@@ -162,14 +233,21 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = scoring.grounded(_cases(spark, sf_dir), ["conv_id", "turn"], "text", read(spark, sf_dir, "benchmark"), "text")
+    g = scoring.grounded(_cases(spark, sf_dir), ["conv_id", "turn"], "text", read(spark, sf_dir, "documents"), "text")
     return g.select("conv_id", "turn", r6(F.col("grounding")).alias("grounding"))
 
 
 def _existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of label 0 are cases and of label 1 existing records."""
+    """Vectors of label 0 are cases, all others existing records."""
     v = read(spark, sf_dir, "embeddings")
-    return scoring.closest(v.where("label = 0"), v.where("label = 1"), "vec_id", "embedding", "vec_id", "embedding")
+    return scoring.closest(v.where("label = 0"), v.where("label <> 0"), "vec_id", "embedding", "vec_id", "embedding")
+
+
+def existing_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with an even id against those with an odd id and its label."""
+    v = read(spark, sf_dir, "embeddings")
+    found = scoring.closest(v.where("vec_id % 2 = 0"), v.where("vec_id % 2 = 1"), "vec_id", "embedding", "vec_id", "embedding", by="label")
+    return found.select("vec_id", "closest", r6(F.col("similarity")).alias("similarity"))
 
 
 def existing_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +257,7 @@ def existing_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confidence_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grounding of assistant turns with one retrieval score; the similarity axis only where a vector of the number exists."""
     best = _dense(spark, sf_dir, 30).agg(scoring.retrieval(F.collect_list("similarity")).alias("retrieval"))  # 30 rows
-    g = scoring.grounded(_cases(spark, sf_dir), ["conv_id", "turn"], "text", read(spark, sf_dir, "benchmark"), "text")
+    g = scoring.grounded(_cases(spark, sf_dir), ["conv_id", "turn"], "text", read(spark, sf_dir, "documents"), "text")
     s = _existing(spark, sf_dir).select(F.col("vec_id").alias("conv_id"), "similarity")
     scored = scoring.confidence(g.join(s, "conv_id", "left").join(F.broadcast(best)))
     light = text.traffic_light(F.col("overall"))
@@ -223,27 +301,55 @@ def ingestion_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.stats(files, incremental.unchanged(files, state, "p1"), files.where("file_hash is null"), fresh, incremental.vanished(state, files))
 
 
-def _words(spark: SparkSession) -> DataFrame:
-    rows = [("d", 1, w, float(10 * k), float(10 * k + 8), top, top + 10, size, bold) for k, (w, top, size, bold) in enumerate([
-        ("1", 10.0, 14.0, True), ("Scope", 11.5, 14.0, True), ("of", 30.0, 10.0, False), ("work", 31.9, 10.0, False), ("here", 33.8, 10.0, False),
-        ("1.1", 50.0, 12.0, True), ("Limits", 50.5, 12.0, True), ("body", 70.0, 10.0, False), ("text", 70.0, 10.0, False), ("2", 90.0, 14.0, True), ("Next", 90.0, 14.0, True), ("end", 110.0, 10.0, False),
-    ])]
-    return spark.createDataFrame(rows, "doc string, page int, text string, x0 double, x1 double, top double, bottom double, size double, bold boolean")
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents as if printed: twenty lines a page, tops that jitter within a line, every tenth line large and bold, every fifth less so."""
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    words = lines.select("doc", "no", F.posexplode(F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("k", "text"))
+    top = 20.0 * (F.col("no") % 20) + 0.75 * (F.col("k") % 3)
+    size = F.when(F.col("no") % 10 == 0, 14.0).when(F.col("no") % 10 == 5, 12.0).otherwise(10.0)
+    return words.select("doc", (F.floor(F.col("no") / 20) + 1).cast("int").alias("page"), "text", (10.0 * F.col("k")).alias("x0"), (10.0 * F.col("k") + 8).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), size.alias("size"), (size > 10).alias("bold"))
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth line of a document from the eighth, its words in rows of two: tables if they have three rows."""
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    w = F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    cells = text.bound(w, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 2).cast("int")), lambda g: F.slice(v, g * 2 + 1, F.lit(2))))
+    top = 20.0 * (F.col("no") % 20) - 1
+    rows = lines.where((F.col("no") % 10 == 7) & (F.size(w) > 0))
+    return rows.select("doc", (F.floor(F.col("no") / 20) + 1).cast("int").alias("page"), F.lit(-1.0).alias("x0"), top.alias("top"), F.lit(1e9).alias("x1"), (top + 12).alias("bottom"), cells.alias("cells"))
 
 
 def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.group_lines(_words(spark)).select("doc", F.col("line").cast("long").alias("line"), "text")
+    return layout.group_lines(_words(spark, sf_dir)).select("doc", "page", F.col("line").cast("long").alias("line"), "text", "size")
 
 
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = layout.classify_headings(layout.group_lines(_words(spark)))
-    return layout.section_paths(lines, ["page", "line"]).select("doc", F.col("line").cast("long").alias("line"), F.coalesce(F.col("level").cast("long"), F.lit(0)).alias("level"), "section_path")
+    lines = layout.classify_headings(layout.group_lines(_words(spark, sf_dir)))
+    return layout.section_paths(lines, ["page", "line"]).select("doc", "page", F.col("line").cast("long").alias("line"), F.coalesce(F.col("level").cast("long"), F.lit(0)).alias("level"), "section_path")
+
+
+def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tables(spark, sf_dir).select("doc", "page", "top", layout.looks_tabular(F.col("cells")).alias("tabular"), layout.table_text(F.col("cells")).alias("text"))
+
+
+def words_outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = layout.outside_tables(_words(spark, sf_dir), _tables(spark, sf_dir).where(layout.looks_tabular(F.col("cells"))))
+    return left.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source as a document and its documents as pages: the tables that few of its pages repeat."""
+    source = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "source")
+    t = _tables(spark, sf_dir).join(source, "doc").select(F.col("source").alias("doc"), F.col("doc").alias("page"), "top", layout.table_text(F.col("cells")).alias("text"))
+    return layout.without_repeats(t, share=0.01).select("doc", F.col("page").cast("long").alias("page"), "text")
 
 
 def section_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = layout.classify_headings(layout.group_lines(_words(spark)))
-    tables = spark.createDataFrame([("d", 1, 80.0, "a | b\nc | d")], "doc string, page int, top double, text string")
-    return layout.section_units(lines, tables).select("doc", "unit", "unit_type", "text", "section_path", "table_title")
+    """The whole way from words and tables to units: tables found, their words and repeated lines out, headings, sections."""
+    u = pages.page_units(_words(spark, sf_dir), _tables(spark, sf_dir))
+    loc = lambda k: F.coalesce(F.col("locator")[k], F.lit("")).alias(k)
+    return u.select("source_path", F.col("unit_ix").cast("long").alias("unit_ix"), "unit_type", "text", loc("section_path"), loc("page"), loc("table"), loc("table_title"))
 
 
 def heading_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,20 +376,21 @@ def parse_llm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def example_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as examples under a budget of 6,000 characters that all share equally."""
-    items = read(spark, sf_dir, "benchmark")
-    share = F.greatest(F.lit(200), F.floor(F.lit(6000) / F.col("n"))).cast("int")
-    n = items.agg(F.count(F.lit(1)).alias("n"))
-    return items.join(F.broadcast(n)).select("item_id", text.budgeted(F.col("text"), share).alias("rendered"))
+    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("key"), F.col("text").alias("requirement"), F.col("text").alias("test_cases"))
+    return static_context.example_blocks(items, "test_cases", 6000)
 
 
 def example_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three kinds of example parts keyed alike, united by full outer joins; the last path of a key wins."""
-    docs = read(spark, sf_dir, "documents").select(F.concat(F.lit("L"), (F.col("doc_id") % 97).cast("string")).alias("key"), F.col("doc_id").alias("path"), "lang")
-    def kind(lang: str, name: str) -> DataFrame:
-        return docs.where(F.col("lang") == lang).groupBy("key").agg(F.max("path").alias(name))
+    """Documents as example files of three kinds by language, keyed by their names up to the underscore; the last file of a key counts."""
+    kind = F.when(F.col("lang") == "en", "requirement").when(F.col("lang") == "de", "test_cases").when(F.col("lang") == "fr", "script")
+    name = F.concat(F.lit("l"), (F.col("doc_id") % 97).cast("string"), F.lit("_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
+    return static_context.keyed_examples(read(spark, sf_dir, "documents").select(kind.alias("kind"), name.alias("file"), F.col("doc_id").cast("string").alias("text")).where("kind is not null"))
+
 
-    joined = kind("en", "requirement").join(kind("de", "cases"), "key", "full").join(kind("fr", "script"), "key", "full")
-    return joined.select("key", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("requirement", "cases", "script")))
+def chunk_single_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("line"))
+    made = chunking.chunk_rows(rows, ["conv_id"], "turn", "line", 50, 1)
+    return made.select("conv_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk", "row_start", "row_end")
 
 
 def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +422,7 @@ def python_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     bm25_topk, bm25_filtered, term_statistics, dense_topk, dense_filtered, rrf_fuse, multi_pass_retrieve, context_assembly, dense_statistics,
     normalize_documents, normalize_code_pages, token_stats, identifier_extract, sentence_split, paragraph_split, hard_split_chunks, pack_chunks, line_chunks, chunk_rows, chunk_ids,
-    repeated_lines, heading_documents, line_groups, section_paths, section_units, row_serialize, grounding_score, existing_similarity, confidence_overall, mean_confidence, traffic_light,
+    repeated_lines, heading_documents, line_groups, section_paths, section_units, table_texts, words_outside_tables, repeated_tables, fuse_one_arm, display_rows, static_search, subdivisions, existing_filter, existing_in_group, uploads, normalize_units, labelled_text, chunk_single_rows, row_serialize, grounding_score, existing_similarity, confidence_overall, mean_confidence, traffic_light,
     incremental_skip, prune_paths, upsert_table, ingestion_stats, requirement_parse, parse_llm_json, example_render, example_join, chunk_display, distinct_sources, html_sections, python_units,
 )}
 
@@ -326,6 +433,19 @@ def _strip(x: str) -> str:
     return _STRIP.format(x)
 
 
+def _code(x: str) -> str:
+    x = rf"regexp_replace({x}, '[\x00-\x08\x0B-\x1F]', '', 'g')"
+    x = rf"regexp_replace({x}, '[ \t]+\n', chr(10), 'g')"
+    return rf"trim(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
+
+
+def _budgeted(x: str, limit: str) -> str:
+    """Text cut to a limit of over 0, as a column of a struct's fields t (stripped) and l."""
+    cut, nl = f"({x})[1:{limit}]", f"({limit} - strpos(reverse(({x})[1:{limit}]), chr(10)))"
+    lined = f"CASE WHEN strpos({cut}, chr(10)) > 0 AND {nl} > {limit} // 2 THEN ({x})[1:{nl}] ELSE {cut} END"
+    return rf"CASE WHEN length({x}) <= {limit} THEN {x} ELSE regexp_replace({lined}, '\s+$', '') || chr(10) || '[... example truncated - shape only, not a complete artefact]' END"
+
+
 def _normalized(x: str) -> str:
     x = rf"regexp_replace({x}, '[\x00-\x08\x0B-\x1F]', '', 'g')"
     x = rf"regexp_replace({x}, '([\w\p{{L}}\p{{N}}])-\n([\w\p{{L}}\p{{N}}])', '\1\2', 'g')"
@@ -366,16 +486,105 @@ state AS (SELECT source_path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE file_hash
 changed AS (SELECT f.* FROM files f WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.source_path = f.source_path AND s.file_hash = f.file_hash)),
 gone AS (SELECT DISTINCT source_path FROM state WHERE source_path NOT IN (SELECT source_path FROM files))"""
 _CLOSEST = """SELECT c.vec_id, e.vec_id AS closest, greatest(least(list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]), 1), 0) AS similarity
-  FROM embeddings c, embeddings e WHERE c.label = 0 AND e.label = 1 QUALIFY row_number() OVER (PARTITION BY c.vec_id ORDER BY similarity DESC, e.vec_id) = 1"""
+  FROM embeddings c, embeddings e WHERE {where} QUALIFY row_number() OVER (PARTITION BY c.vec_id ORDER BY similarity DESC, e.vec_id) = 1"""
 _STOP = "[" + ", ".join(f"'{w}'" for w in scoring.STOP_WORDS) + "]"
-_IDENT = r"list_distinct(list_transform(regexp_extract_all({}, '\b(?:[A-Za-z]{{2,6}}\d{{2,}}|\d{{3,}}|[a-z_]+_[a-z_]+)\b'), lambda t: lower(t)))"
+# an identifier is a whole word, and words are of any script's letters and digits
+_IDENT = r"list_transform(list_filter(string_split_regex({}, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{2,6}}\d{{2,}}|\d{{3,}}|[a-z_]+_[a-z_]+')), lambda t: lower(t))"
 _GROUND = rf"""
-known AS (SELECT list(DISTINCT t) AS t FROM (SELECT unnest({_KEYWORDS.format('text')}) AS t FROM benchmark)),
-ids AS (SELECT coalesce(list(DISTINCT t), []) AS i FROM (SELECT unnest({_IDENT.format('text')}) AS t FROM benchmark)),
-own AS (SELECT conv_id, turn, list_filter(list_distinct({_KEYWORDS.format('text')}), lambda t: NOT list_contains({_STOP}, t)) AS t, {_IDENT.format('text')} AS i FROM conversations WHERE role = 'assistant'),
-parts AS (SELECT conv_id, turn, len(own.t) AS nt, len(list_intersect(own.t, known.t)) AS mt, len(own.i) AS ni, len(list_intersect(own.i, ids.i)) AS mi FROM own, known, ids),
+vocab AS (SELECT DISTINCT unnest({_KEYWORDS.format('text')}) AS term FROM documents),
+ids AS (SELECT DISTINCT unnest({_IDENT.format('text')}) AS term FROM documents),
+own AS (SELECT conv_id, turn, list_filter(list_distinct({_KEYWORDS.format('text')}), lambda t: NOT list_contains({_STOP}, t)) AS t, list_distinct({_IDENT.format('text')}) AS i FROM conversations WHERE role = 'assistant'),
+mt AS (SELECT conv_id, turn, count(*) AS mt FROM (SELECT conv_id, turn, unnest(t) AS term FROM own) JOIN vocab USING (term) GROUP BY 1, 2),
+mi AS (SELECT conv_id, turn, count(*) AS mi FROM (SELECT conv_id, turn, unnest(i) AS term FROM own) JOIN ids USING (term) GROUP BY 1, 2),
+parts AS (SELECT conv_id, turn, len(t) AS nt, coalesce(mt, 0) AS mt, len(i) AS ni, coalesce(mi, 0) AS mi FROM own LEFT JOIN mt USING (conv_id, turn) LEFT JOIN mi USING (conv_id, turn)),
 grounded AS (SELECT conv_id, turn, CASE WHEN nt = 0 THEN 0 WHEN ni > 0 THEN greatest(least(0.35 * mt / nt + 0.65 * mi / ni, 1), 0) ELSE 0.8 * mt / nt END AS grounding FROM parts)"""
 
+_WHITE = r"[\x20\x09-\x0D]+"
+#: Lines as they are printed, those that tables take, and how they are headed.
+_PRINTED = rf"""
+raw AS (SELECT doc_id::VARCHAR AS doc, generate_subscripts(ls, 1) - 1 AS no, list_filter(string_split_regex(unnest(ls), '{_WHITE}'), lambda x: x <> '') AS ws FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+printed AS (SELECT doc, (no // 20 + 1)::INT AS page, no, ws, array_to_string(ws, ' ') AS text, 20.0 * (no % 20) AS top, CASE no % 10 WHEN 0 THEN 14.0 WHEN 5 THEN 12.0 ELSE 10.0 END::DOUBLE AS size,
+  no % 10 = 7 AS boxed, no % 10 = 7 AND len(ws) >= 6 AS tabled FROM raw WHERE len(ws) > 0)"""
+
+
+def _headed(lines: str) -> str:
+    """Of lines(doc, page, no, text, top, size): headed(.., level, title), as the layout rules have it."""
+    title = r"regexp_replace(text, '^[/\\|•·\s]+', '')"
+    return rf"""
+sizes AS (SELECT doc, round_even(size, 1) AS s, count(*) AS n, min({{'page': page, 'no': no}}) AS f FROM {lines} GROUP BY 1, 2),
+body AS (SELECT doc, s AS body FROM sizes QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) = 1),
+marked AS (SELECT l.*, {title} AS t, regexp_extract({title}, '^(\d+(?:\.\d+){{0,5}})\.?\s+\S', 1) AS num, size > 10 AS bold, body,
+  size > 10 AND size > body * 1.15 AND len(list_filter(string_split_regex({title}, '\s+'), lambda x: x <> '')) <= 12 AS large FROM {lines} l JOIN body USING (doc)),
+ranks AS (SELECT doc, size, least(dense_rank() OVER (PARTITION BY doc ORDER BY size DESC), 4) AS r FROM (SELECT DISTINCT doc, size FROM marked WHERE large)),
+headed AS (SELECT m.*, CASE WHEN regexp_matches(text, '\.{{4,}}') THEN NULL WHEN num <> '' AND (bold OR size > body * 1.05) THEN len(string_split(num, '.')) WHEN large THEN coalesce(r, 1) END AS level, {_strip('t')} AS title FROM marked m LEFT JOIN ranks USING (doc, size))"""
+
+
+def _pathed(items: str) -> str:
+    """Of items(doc, pos, level, title): pathed(.., path: the titles of the open headings)."""
+    heads = ", ".join(f"max(pos) FILTER (level = {k}) OVER w AS p{k}, arg_max(title, pos) FILTER (level = {k}) OVER w AS t{k}" for k in range(1, 7))
+    opened = ", ".join(f"CASE WHEN p{k} > greatest(0{''.join(f', coalesce(p{j}, 0)' for j in range(1, k))}) THEN t{k} END" for k in range(1, 7))
+    return f"""
+stacked AS (SELECT *, {heads} FROM {items} WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+pathed AS (SELECT *, list_filter([{opened}], lambda x: x IS NOT NULL) AS titles FROM stacked)"""
+
+
+_LINES = f"lines AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY no) - 1 AS line FROM printed)"
+_BOXES = """tabs AS (SELECT doc, page, no, top - 1 AS top, tabled, array_to_string(list_transform(range(0, (len(ws) + 1) // 2), lambda g: array_to_string(ws[g * 2 + 1 : g * 2 + 2], ' | ')), chr(10)) AS text FROM printed WHERE boxed)"""
+_UNITS = rf"""WITH {_PRINTED}, {_BOXES},
+free AS (SELECT *, regexp_replace({_strip('text')}, '\d+', '#', 'g') AS sig FROM printed WHERE NOT tabled),
+pages AS (SELECT doc, count(DISTINCT page) AS pages FROM free GROUP BY 1),
+often AS (SELECT doc, sig FROM free JOIN pages USING (doc) GROUP BY doc, sig, pages HAVING pages >= 3 AND count(DISTINCT page) >= greatest(2, round_even(pages * 0.5, 0))),
+kept AS (SELECT * FROM free ANTI JOIN often USING (doc, sig)),
+{_headed('kept')},
+real AS (SELECT *, regexp_replace({_strip('text')}, '\d+', '#', 'g') AS sig FROM tabs WHERE tabled),
+tpages AS (SELECT doc, count(DISTINCT page) AS pages FROM real GROUP BY 1),
+toften AS (SELECT doc, sig FROM real JOIN tpages USING (doc) GROUP BY doc, sig, pages HAVING count(DISTINCT page) >= greatest(2, round_even(pages * 0.5, 0))),
+items AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, top, kind, no) AS pos FROM (
+  SELECT doc, page, top, 0 AS kind, no, text, level, title FROM headed UNION ALL SELECT doc, page, top, 1, no, text, NULL, NULL FROM real ANTI JOIN toften USING (doc, sig))),
+{_pathed('items')},
+cut AS (SELECT *, sum((level IS NOT NULL OR kind = 1)::INT) OVER w AS part, coalesce(max(pos) FILTER (level IS NOT NULL) OVER w, 0) AS heading_at,
+  max(pos) FILTER (level IS NULL AND kind = 0) OVER w AS body_at, arg_max(text, pos) FILTER (level IS NULL AND kind = 0) OVER w AS body FROM pathed WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+made AS (SELECT doc, pos, 'table' AS unit_type, text, titles, page, row_number() OVER (PARTITION BY doc ORDER BY pos)::VARCHAR AS tab, CASE WHEN body_at > heading_at THEN body ELSE coalesce(titles[-1], '') END AS caption FROM cut WHERE kind = 1
+  UNION ALL SELECT doc, min(pos), 'section_text', string_agg(text, chr(10) ORDER BY pos), arg_min(titles, pos), arg_min(page, pos), '', '' FROM cut WHERE kind = 0 AND level IS NULL GROUP BY doc, part)
+SELECT doc AS source_path, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS unit_ix, unit_type, text, array_to_string(titles, ' > ') AS section_path, page::VARCHAR AS page, tab AS "table", caption AS table_title FROM made"""
+
+#: Greedy folds as recursions over the places of the pieces.
+_FOLD_ROWS = rf"""WITH RECURSIVE r AS (SELECT conv_id, turn, line, {_WORDS.format('line')} AS ws, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT conv_id, turn, concat_ws(': ', role, text) AS line FROM conversations)),
+f AS (SELECT conv_id, i, 0 AS c, CASE WHEN len(ws) > 300 THEN 0 ELSE 1 END AS rows, CASE WHEN len(ws) > 300 THEN 0 ELSE len(ws) END AS size, CASE WHEN len(ws) > 300 THEN (len(ws) + 299) // 300 ELSE 0 END AS after FROM r WHERE i = 1
+  UNION ALL SELECT conv_id, r.i, CASE WHEN len(ws) > 300 OR rows >= 4 OR (rows > 0 AND size + len(ws) > 300) THEN c + after + (rows > 0)::INT ELSE c + after END,
+    CASE WHEN len(ws) > 300 THEN 0 WHEN rows >= 4 OR (rows > 0 AND size + len(ws) > 300) THEN 1 ELSE rows + 1 END, CASE WHEN len(ws) > 300 THEN 0 WHEN rows >= 4 OR (rows > 0 AND size + len(ws) > 300) THEN len(ws) ELSE size + len(ws) END,
+    CASE WHEN len(ws) > 300 THEN (len(ws) + 299) // 300 ELSE 0 END FROM f JOIN r USING (conv_id) WHERE r.i = f.i + 1),
+j AS (SELECT * FROM f JOIN r USING (conv_id, i))
+SELECT conv_id, c::INT AS chunk_index, string_agg(line, chr(10) ORDER BY i) AS chunk, min(turn)::INT AS row_start, max(turn)::INT AS row_end FROM j WHERE len(ws) <= 300 GROUP BY 1, 2
+UNION ALL SELECT conv_id, (c + g)::INT, array_to_string(ws[g * 300 + 1 : g * 300 + 300], ' '), turn::INT, turn::INT FROM (SELECT *, unnest(range(0, after)) AS g FROM j WHERE len(ws) > 300)"""
+_FOLD_LINES = rf"""WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS.format('text')} AS ws, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, line, i, len({_WORDS.format('line')}) AS n, first_n FROM (SELECT doc_id, unnest(ls[2:]) AS line, generate_subscripts(ls[2:], 1) AS i, len({_WORDS.format('ls[1]')}) AS first_n FROM d WHERE len(ws) > 200)),
+f AS (SELECT doc_id, i, n AS size, 0 AS c FROM l WHERE i = 1
+  UNION ALL SELECT doc_id, l.i, CASE WHEN first_n + size + n > 200 THEN n ELSE size + n END, CASE WHEN first_n + size + n > 200 THEN c + 1 ELSE c END FROM f JOIN l USING (doc_id) WHERE l.i = f.i + 1)
+SELECT doc_id, c::INT AS chunk_index, any_value(ls[1]) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS chunk FROM f JOIN l USING (doc_id, i) JOIN d USING (doc_id) GROUP BY 1, 2
+UNION ALL SELECT doc_id, 0, CASE WHEN len(ws) > 200 THEN ls[1] ELSE text END FROM d WHERE len(ws) > 0 AND (len(ws) <= 200 OR len(ls) = 1)"""
+_FOLD_PIECES = rf"""WITH RECURSIVE para AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS a FROM (SELECT doc_id, {_PARAGRAPHS} AS p FROM documents)),
+sent AS (SELECT doc_id, a, generate_subscripts(s, 1) AS b, unnest(s) AS t FROM (SELECT doc_id, a, CASE WHEN len({_WORDS.format('t')}) > 200 THEN list_filter(string_split(regexp_replace({_strip('t')}, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') ELSE [t] END AS s FROM para)),
+p AS (SELECT doc_id, t, {_WORDS.format('t')} AS ws, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS i FROM sent),
+m AS (SELECT *, len(ws) AS n, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM p),
+q AS (SELECT m.*, coalesce((SELECT min(o.i) FROM m o WHERE o.doc_id = m.doc_id AND o.i BETWEEN m.i - 60 AND m.i AND m.upto - o.upto + o.n <= 50), m.i) AS back FROM m),
+f AS (SELECT doc_id, i, back, CASE WHEN n > 200 THEN NULL ELSE i END AS s, CASE WHEN n > 200 THEN 0 ELSE n END AS size, 0 AS c, CASE WHEN n > 200 THEN (n + 199) // 200 ELSE 0 END AS after, NULL::BIGINT AS es, NULL::INT AS ec, 0 AS mine FROM q WHERE i = 1
+  UNION ALL SELECT doc_id, q.i, q.back,
+    CASE WHEN n > 200 THEN NULL WHEN s IS NULL THEN q.i WHEN size + n > 200 THEN greatest(s, f.back) ELSE s END,
+    CASE WHEN n > 200 THEN 0 WHEN s IS NOT NULL AND size + n > 200 THEN upto - (SELECT o.upto - o.n FROM q o WHERE o.doc_id = f.doc_id AND o.i = greatest(f.s, f.back)) ELSE size + n END,
+    CASE WHEN s IS NOT NULL AND (n > 200 OR size + n > 200) THEN c + after + 1 ELSE c + after END, CASE WHEN n > 200 THEN (n + 199) // 200 ELSE 0 END,
+    CASE WHEN s IS NOT NULL AND (n > 200 OR size + n > 200) THEN s END, c + after, 0 FROM f JOIN q USING (doc_id) WHERE q.i = f.i + 1),
+ends AS (SELECT doc_id, ec AS c, es AS s, i - 1 AS e FROM f WHERE es IS NOT NULL UNION ALL SELECT doc_id, c, s, i FROM f WHERE s IS NOT NULL QUALIFY i = max(i) OVER (PARTITION BY doc_id))
+SELECT doc_id, c::INT AS chunk_index, string_agg(t, chr(10) || chr(10) ORDER BY i) AS chunk FROM ends JOIN q USING (doc_id) WHERE i BETWEEN s AND e GROUP BY 1, 2
+UNION ALL SELECT doc_id, (c + g)::INT, array_to_string(ws[g * 200 + 1 : g * 200 + 200], ' ') FROM (SELECT doc_id, c, ws, unnest(range(0, after)) AS g FROM f JOIN q USING (doc_id, i) WHERE n > 200)"""
+_REQUIRED = rf"""WITH d AS (SELECT doc_id, {_strip("CASE doc_id % 3 WHEN 0 THEN 'L2R' || doc_id || ' ' WHEN 1 THEN '15.1 Speed Limits' || chr(10) || '2. L2R' || doc_id || chr(10) ELSE '15 Speed Enforcement' || chr(10) END || text")} AS raw FROM documents),
+e AS (SELECT *, regexp_extract(raw, '^([A-Za-z]{{1,6}}\d[\w.-]*)\b', 1) AS head, regexp_extract(raw, '(?m)^\s*(?:\d+[.)]\s+)?([A-Za-z]{{1,6}}\d[\w.-]*)\s*$', 1) AS own,
+  regexp_extract_all(raw, '(?m)^\s*\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){{0,3}}\s*$') AS hs FROM d),
+h AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM e),
+a AS (SELECT doc_id, regexp_replace({_strip('h')}, '^\S+\s+', '') AS area FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(regexp_replace(regexp_extract({_strip('h')}, '^\S+'), '[^.]', '', 'g')), i) = 1),
+b AS (SELECT *, {_strip("raw[length(head) + 1 :]")} AS rest FROM e)
+SELECT doc_id, coalesce(nullif(head, ''), nullif(own, '')) AS requirement_id, area, length({_normalized("CASE WHEN head <> '' AND rest <> '' THEN rest ELSE raw END")}) AS query_chars FROM b LEFT JOIN a USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "bm25_topk": f"WITH {_TOKENS} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 10)",
     "bm25_filtered": f"WITH {_TOKENS} SELECT doc_id, round(score, 6) AS score FROM (SELECT s.* FROM scored s JOIN documents USING (doc_id) WHERE lang IN ('de', 'fr') ORDER BY score DESC, doc_id LIMIT 10)",
@@ -405,9 +614,9 @@ n AS (SELECT doc, length(t)::DOUBLE AS body_size, count(*) AS n, min({{'page': p
 SELECT doc, body_size FROM n QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, f) = 1""",
     "row_serialize": "SELECT p_partkey AS id, concat_ws(' | ', 'id: ' || p_partkey, 'Description: ' || nullif(trim(p_name), ''), 'Requirement: ' || nullif(trim(p_brand), ''), 'Steps: ' || p_size) AS text, p_brand AS unit_requirement_id, p_brand || '_' || p_partkey AS unit_test_case_id, p_size::VARCHAR AS unit_steps FROM part",
     "grounding_score": f"WITH {_GROUND} SELECT conv_id, turn, round(grounding, 6) AS grounding FROM grounded",
-    "existing_similarity": f"SELECT vec_id, closest, round(similarity, 6) AS similarity FROM ({_CLOSEST})",
+    "existing_similarity": f"SELECT vec_id, closest, round(similarity, 6) AS similarity FROM ({_CLOSEST.format(where='c.label = 0 AND e.label <> 0')})",
     "confidence_overall": f"""WITH {_GROUND}, {_DENSE.format(where='')}, best AS (SELECT greatest(least(avg(similarity), 1), 0) AS r FROM (SELECT similarity FROM dense ORDER BY similarity DESC, id LIMIT 3)),
-j AS (SELECT g.conv_id, turn, r, grounding, s.similarity AS s FROM grounded g LEFT JOIN ({_CLOSEST}) s ON s.vec_id = g.conv_id, best),
+j AS (SELECT g.conv_id, turn, r, grounding, s.similarity AS s FROM grounded g LEFT JOIN ({_CLOSEST.format(where='c.label = 0 AND e.label <> 0')}) s ON s.vec_id = g.conv_id, best),
 o AS (SELECT *, (0.3 * r + 0.3 * grounding + coalesce(0.4 * s, 0)) / (0.6 + CASE WHEN s IS NULL THEN 0 ELSE 0.4 END) AS overall FROM j)
 SELECT conv_id, turn, round_even(r, 3) AS retrieval, round_even(grounding, 3) AS grounding, round_even(coalesce(s, 0), 3) AS similarity, round_even(overall, 3) AS overall, overall < 0.55 AS needs_review,
 CASE WHEN round_even(overall, 3) >= 0.75 THEN 'clear' WHEN round_even(overall, 3) >= 0.5 THEN 'approach' ELSE 'stop' END AS light FROM o""",
@@ -417,9 +626,41 @@ CASE WHEN round_even(overall, 3) >= 0.75 THEN 'clear' WHEN round_even(overall, 3
     "prune_paths": f"WITH {_STATE} SELECT source_path FROM gone",
     "upsert_table": f"WITH {_STATE}, t AS (SELECT source_path, file_hash FROM state WHERE source_path NOT IN (SELECT source_path FROM changed) AND source_path NOT IN (SELECT source_path FROM gone) UNION ALL SELECT source_path, file_hash FROM changed) SELECT source_path, file_hash, sha256(source_path || '|' || file_hash) AS chunk_id FROM t",
     "ingestion_stats": f"WITH {_STATE} SELECT (SELECT count(*) FROM files) AS files_discovered, (SELECT count(*) FROM files) - (SELECT count(*) FROM changed) AS files_skipped, 0::BIGINT AS files_failed, (SELECT count(DISTINCT source_path) FROM changed) AS files_processed, (SELECT count(*) FROM changed) AS chunks_written, (SELECT count(*) FROM gone) AS files_pruned",
-    "line_groups": "SELECT * FROM (VALUES ('d', 0::BIGINT, '1 Scope'), ('d', 1, 'of work here'), ('d', 2, '1.1 Limits'), ('d', 3, 'body text'), ('d', 4, '2 Next'), ('d', 5, 'end')) v(doc, line, text)",
-    "section_paths": "SELECT * FROM (VALUES ('d', 0::BIGINT, 1::BIGINT, '1 Scope'), ('d', 1, 0, '1 Scope'), ('d', 2, 2, '1 Scope > 1.1 Limits'), ('d', 3, 0, '1 Scope > 1.1 Limits'), ('d', 4, 1, '2 Next'), ('d', 5, 0, '2 Next')) v(doc, line, level, section_path)",
-    "example_join": "WITH d AS (SELECT 'L' || doc_id % 97 AS key, doc_id, lang FROM documents), r AS (SELECT key, max(doc_id) AS requirement FROM d WHERE lang = 'en' GROUP BY 1), c AS (SELECT key, max(doc_id) AS cases FROM d WHERE lang = 'de' GROUP BY 1), s AS (SELECT key, max(doc_id) AS script FROM d WHERE lang = 'fr' GROUP BY 1) SELECT key, coalesce(requirement, -1) AS requirement, coalesce(cases, -1) AS cases, coalesce(script, -1) AS script FROM r FULL JOIN c USING (key) FULL JOIN s USING (key)",
+    "line_groups": f"WITH {_PRINTED}, {_LINES} SELECT doc, page, line, text, size FROM lines",
+    "section_paths": f"WITH {_PRINTED}, {_LINES}, {_headed('lines')}, items AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, line) AS pos FROM headed), {_pathed('items')} SELECT doc, page, line, coalesce(level, 0)::BIGINT AS level, array_to_string(titles, ' > ') AS section_path FROM pathed",
+    "section_units": _UNITS,
+    "table_texts": f"WITH {_PRINTED}, {_BOXES} SELECT doc, page, top::DOUBLE AS top, tabled AS tabular, text FROM tabs",
+    "words_outside_tables": f"WITH {_PRINTED} SELECT doc, page, sum(len(ws))::BIGINT AS n FROM printed WHERE NOT tabled GROUP BY 1, 2",
+    "repeated_tables": rf"""WITH {_PRINTED}, {_BOXES}, t AS (SELECT d.source AS doc, d.doc_id AS page, b.text, regexp_replace({_strip('b.text')}, '\d+', '#', 'g') AS sig FROM tabs b JOIN documents d ON d.doc_id::VARCHAR = b.doc),
+n AS (SELECT doc, count(DISTINCT page) AS pages FROM t GROUP BY 1), o AS (SELECT doc, sig FROM t JOIN n USING (doc) GROUP BY doc, sig, pages HAVING count(DISTINCT page) >= greatest(2, round_even(pages * 0.01, 0)))
+SELECT doc, page, text FROM t ANTI JOIN o USING (doc, sig)""",
+    "fuse_one_arm": f"WITH {_DENSE.format(where='')} SELECT row_number() OVER (ORDER BY similarity DESC, id) AS rank, id AS chunk, 'dense' AS matched_by FROM dense WHERE similarity >= 0 QUALIFY rank <= 8",
+    "display_rows": f"{_FUSED} SELECT chunk AS chunk_id, coalesce(source, '') AS source, coalesce(lang, '') AS document_type, round_even(CASE WHEN dr IS NOT NULL THEN dense.similarity END, 3) AS similarity, round_even(CASE WHEN kr IS NOT NULL THEN scored.score END, 2) AS bm25_score, concat_ws(',', CASE WHEN dr IS NOT NULL THEN 'dense' END, CASE WHEN kr IS NOT NULL THEN 'keyword' END) AS matched_by, text[1:600] AS excerpt FROM top LEFT JOIN dense ON dense.id = chunk LEFT JOIN scored ON scored.doc_id = chunk LEFT JOIN documents d ON d.doc_id = chunk",
+    "static_search": f"""WITH {_TOKENS}, t AS (SELECT s.*, CASE lang WHEN 'en' THEN 'python_apis' WHEN 'de' THEN 'track_data' END AS document_type, source, lang, text FROM scored s JOIN documents USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY document_type ORDER BY score DESC, doc_id) AS pos FROM t WHERE document_type IS NOT NULL QUALIFY pos <= 5),
+c AS (SELECT document_type, string_agg('[' || pos || '] ' || document_type || ' | ' || source || ' > ' || lang || chr(10) || {_strip('text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS context FROM r GROUP BY 1)
+SELECT document_type, sha256(context) AS context_sha256, length(context) AS chars FROM c""",
+    "subdivisions": "SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS subdivisions FROM documents WHERE lang = 'de' AND source <> ''",
+    "existing_filter": "SELECT doc_id FROM documents WHERE lang <> 'fr' AND (doc_id % 7 = 0 OR starts_with('L2R' || doc_id % 90 || '_X', 'L2R4'))",
+    "existing_in_group": f"SELECT vec_id, closest, round(similarity, 6) AS similarity FROM ({_CLOSEST.format(where='c.vec_id % 2 = 0 AND e.vec_id % 2 = 1 AND c.label = e.label')})",
+    "uploads": f"""WITH u AS (SELECT 'p' || page_id || ['.txt', '.MD', '.pdf', ''][page_id % 4 + 1] AS filename, {_strip('html')} AS t, page_id % 4 AS k, strlen(html) AS n FROM pages)
+SELECT filename, CASE WHEN k < 2 AND n <= 2097152 AND t <> '' THEN sha256(t) END AS text_sha256, CASE WHEN k = 2 THEN 'not plain text: .pdf' WHEN k = 3 THEN 'not plain text: no extension' WHEN n > 2097152 THEN 'larger than 2 MB' WHEN t = '' THEN 'empty' END AS error FROM u""",
+    "normalize_units": f"SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN {_code('text')} ELSE {_normalized('text')} END) AS sha256 FROM documents",
+    "normalize_code_pages": f"SELECT page_id, {_code('html')} AS normalized FROM pages",
+    "labelled_text": f"""SELECT doc_id, sha256(concat_ws(chr(10) || chr(10), CASE WHEN {_strip('text')} <> '' THEN 'Requirement:' || chr(10) || {_strip('text')} END, CASE WHEN doc_id % 2 = 0 AND {_strip('source')} <> '' THEN 'Folder:' || chr(10) || {_strip('source')} END)) AS blocks,
+sha256({_strip('text')}) AS unfenced, sha256('1. ' || source || chr(10) || '2. ' || lang) AS cases, 'cases_' || regexp_replace(source || ' / ' || doc_id, '[^A-Za-z0-9_.-]', '_', 'g') || '_20240102_030405.xlsx' AS file FROM documents""",
+    "identifier_extract": f"WITH i AS (SELECT doc_id, t, min(p) AS p FROM (SELECT doc_id, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM (SELECT doc_id, {_IDENT.format('text')} AS ids FROM documents)) GROUP BY 1, 2) SELECT doc_id, coalesce(j.s, '') AS identifiers FROM documents LEFT JOIN (SELECT doc_id, string_agg(t, ',' ORDER BY p) AS s FROM i GROUP BY 1) j USING (doc_id)",
+    "chunk_rows": _FOLD_ROWS,
+    "line_chunks": _FOLD_LINES,
+    "pack_chunks": _FOLD_PIECES,
+    "chunk_single_rows": f"WITH r AS (SELECT conv_id, turn, line, {_WORDS.format('line')} AS ws FROM (SELECT conv_id, turn, concat_ws(': ', role, text) AS line FROM conversations)), g AS (SELECT *, unnest(range(0, greatest((len(ws) + 49) // 50, 1))) AS g FROM r) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, g) - 1 AS chunk_index, CASE WHEN len(ws) > 50 THEN array_to_string(ws[g * 50 + 1 : g * 50 + 50], ' ') ELSE line END AS chunk, turn::INT AS row_start, turn::INT AS row_end FROM g",
+    "requirement_parse": _REQUIRED,
+    "chunk_display": """SELECT doc_id, text[1:600] AS excerpt, sha256('{"p0":' || doc_id || ',"p1":"' || lang || '"}') AS cache_key FROM documents""",
+    "example_render": f"WITH n AS (SELECT greatest(200, 6000 // count(*)) AS share FROM benchmark WHERE {_strip('text')} <> '') SELECT 'B' || item_id AS key, concat_ws(chr(10) || chr(10), '### Example: B' || item_id, 'Requirement:' || chr(10) || {_budgeted(_strip('text'), '(share // 4)')}, 'Reference test case(s):' || chr(10) || {_budgeted(_strip('text'), 'share')}) AS block FROM benchmark, n WHERE {_strip('text')} <> ''",
+    "html_sections": rf"""SELECT 'p/' || page_id || '.html' AS source_path, 0::INT AS unit_ix, 'Name | Text' || chr(10) || page_id || ' | ' || {_strip(r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g'), '[<>&]', ' ', 'g'), '[\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{3000}}]+', ' ', 'g')".replace('{{', '{').replace('}}', '}'))} AS text, 'table' AS unit_type FROM pages""",
+    "python_units": """SELECT 'c/' || c_custkey || '.py' AS source_path, i::INT AS unit_ix, CASE i WHEN 0 THEN 'doc' WHEN 1 THEN 'class A:' || chr(10) || '    \"\"\"of a\"\"\"' WHEN 2 THEN '    def m(self):' || chr(10) || '        return ' || c_custkey ELSE 'def f():' || chr(10) || '    return "' || c_name || '"' END AS text,
+['module_docstring', 'class', 'function', 'function'][i + 1] AS unit_type, [NULL, 'A', 'm', 'f'][i + 1] AS name FROM customer, range(0, 4) t(i)""",
+    "example_join": "WITH d AS (SELECT CASE lang WHEN 'en' THEN 'r' WHEN 'de' THEN 'c' WHEN 'fr' THEN 's' END AS kind, 'L' || doc_id % 97 AS key, lpad(doc_id::VARCHAR, 12, '0') AS file, doc_id::VARCHAR AS t FROM documents), k AS (SELECT key, arg_max(t, file) FILTER (kind = 'r') AS r, arg_max(t, file) FILTER (kind = 'c') AS c, arg_max(t, file) FILTER (kind = 's') AS s FROM d WHERE kind IS NOT NULL GROUP BY 1) SELECT key, coalesce(r, '') AS requirement, coalesce(c, '') AS test_cases, coalesce(s, '') AS script FROM k",
     "distinct_sources": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM documents GROUP BY 1",
     "parse_llm_json": r"SELECT doc_id, 1::BIGINT AS s_no, 'R' || doc_id AS requirement, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS description, 'Folder' AS folder, 'Default' AS optimization_technique, 'Negative' AS test_type, 'Boundary Value Analysis' AS test_technique, 'False' AS retired, 'Yes' AS scorable FROM documents WHERE trim(text) <> ''",
 }

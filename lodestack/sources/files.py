@@ -11,14 +11,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import requirement_id, strip
 from . import html_report, python_source, spreadsheet
 
 #: Columns of a unit; the struct fields that a reader doesn't have are null.
 UNIT = "source_path string, unit_ix int, text string, unit_type string, locator map<string,string>, extra map<string,string>, error string"
 READERS = {".xlsx": "spreadsheet", ".xlsm": "spreadsheet", ".py": "python", ".pyi": "python", ".txt": "text", ".html": "html", ".htm": "html"}
+# What may be uploaded, and how long it may be.
+UPLOADS, UPLOAD_BYTES = (".txt", ".md"), 2 << 20
 PYTHON_MARKERS = ("import ", "def ", "class ", "elif ", "self.")
 
 
+def parsed(text: str):
+    """What JSON text holds, or YAML where a parser is installed."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        import yaml  # optional
+
+        return yaml.safe_load(text)
+
+
 @dataclass(frozen=True)
 class Root:
     path: str
@@ -31,6 +44,8 @@ class Config:
     """Settings of an ingestion; a key that isn't one is an error."""
 
     sources: list[Root] = field(default_factory=list)
+    static_sources: list[Root] = field(default_factory=list)
+    examples_dir: str = ""
     base: str = ""
     chunk_max_tokens: int = 512
     chunk_overlap_tokens: int = 50
@@ -42,18 +57,13 @@ class Config:
     @classmethod
     def load(cls, text: str) -> Config:
         """From JSON text, or YAML where a parser is installed."""
-        try:
-            raw = json.loads(text)
-        except ValueError:
-            import yaml  # optional
-
-            raw = yaml.safe_load(text)
+        raw = parsed(text)
         unknown = set(raw) - {f.name for f in dataclasses.fields(cls)}
         if unknown:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         if not raw.get("sources"):
             raise ValueError("no sources are configured")
-        return cls(**raw | {"sources": [Root(**s) for s in raw["sources"]]})
+        return cls(**raw | {k: [Root(**s) for s in raw.get(k) or []] for k in ("sources", "static_sources")})
 
 
 def source_path(path: Column, root: Root, base: str) -> Column:
@@ -70,27 +80,42 @@ def document_type(path: Column, root: Root) -> Column:
     return F.when(F.lit(root.subfolders_as_type) & (F.size(parts) > 1), parts[0]).otherwise(F.lit(root.document_type))
 
 
-def discover(spark: SparkSession, config: Config) -> DataFrame:
+def discover(spark: SparkSession, config: Config, more: tuple[str, ...] = ()) -> DataFrame:
     """(source_path, source_file, document_type, suffix, file_hash, content) of every readable file below the roots.
 
-    Lock files (`~$`) and other suffixes are left out; a root that isn't there gives nothing.
+    more: suffixes to take beside the readers' own. Lock files (`~$`) and other suffixes are left out
+    before a file is opened; a root that isn't there gives nothing.
     """
-    out = None
+    wanted, out = (*READERS, *more), None
     for root in config.sources:
         p = spark._jvm.org.apache.hadoop.fs.Path(root.path)
         if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
             continue
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.path)
+        anycase = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ",".join(wanted))
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{anycase}}}").load(root.path)
         name = F.regexp_extract("path", r"([^/]+)$", 1)
         suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-        part = raw.select(source_path(F.col("path"), root, config.base).alias("source_path"), name.alias("source_file"), document_type(F.col("path"), root).alias("document_type"), suffix.alias("suffix"), F.sha2("content", 256).alias("file_hash"), "content")
-        part = part.where(F.col("suffix").isin(*READERS) & ~F.startswith("source_file", F.lit("~$")))
+        part = raw.where(suffix.isin(*wanted) & ~F.startswith(name, F.lit("~$")))
+        part = part.select(source_path(F.col("path"), root, config.base).alias("source_path"), name.alias("source_file"), document_type(F.col("path"), root).alias("document_type"), suffix.alias("suffix"), F.sha2("content", 256).alias("file_hash"), "content")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], "source_path string, source_file string, document_type string, suffix string, file_hash string, content binary")
     return out
 
 
+def uploaded(files: DataFrame) -> DataFrame:
+    """files(filename, content) -> (filename, requirement_text, requirement_id, error) of uploaded requirements.
+
+    Plain text of at most 2 MiB that isn't blank; bytes that aren't UTF-8 are replaced. What is refused has an error and no text.
+    """
+    text = strip(F.make_valid_utf8(F.col("content").cast("string")))
+    suffix = F.lower(F.regexp_extract("filename", r"(\.[^.]+)$", 1))
+    error = F.when(~suffix.isin(*UPLOADS), F.concat(F.lit("not plain text: "), F.coalesce(F.nullif(suffix, F.lit("")), F.lit("no extension"))))
+    error = error.when(F.octet_length("content") > UPLOAD_BYTES, F.lit("larger than 2 MB")).when(text == "", F.lit("empty"))
+    checked = files.select("filename", F.when(error.isNull(), text).alias("requirement_text"), error.alias("error"))
+    return checked.select("filename", "requirement_text", requirement_id(F.col("requirement_text")).alias("requirement_id"), "error")
+
+
 def looks_like_python(text: str) -> bool:
     if sum(m in text for m in PYTHON_MARKERS) < 2:
         return False

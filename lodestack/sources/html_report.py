@@ -1,8 +1,14 @@
-"""HTML reports: named anchors followed by tables, one unit a section."""
+"""HTML reports: named anchors followed by tables, one unit a section.
+
+A report is read into a tree of its tables, rows and cells, in which text, anchors and breaks are leaves;
+sections are then found by walking the tree.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 # Where a report's number and name stand.
@@ -10,88 +16,129 @@ BODY_ID = re.compile(r"subdivision\s+(\d{3,6})\b", re.I)
 TITLE_ID = re.compile(r"<title>[^<]*?\.?(\d{4,6})\.\d+", re.I)
 NAME = re.compile(r'Subdivision\s*"([^"]+)"')
 STEM_ID = re.compile(r"(\d{3,6})")
-LEAST_ROWS = 2
+LEAST_ROWS, ID_DIGITS = 2, 5
+
+#: What stands between the rows and the cells of a table within a cell, and for a line break.
+BETWEEN = {"row": "; ", "cell": " ", "break": "; "}
+LEVEL = {"table": "table", "tr": "row", "td": "cell", "th": "cell"}
+
+
+@dataclass
+class Leaf:
+    kind: str  # "text", "anchor" or "break"
+    value: str = ""
+
+
+@dataclass
+class Branch:
+    kind: str  # "report", "table", "row" or "cell"
+    parts: list[Leaf | Branch] = field(default_factory=list)
+    whole: bool = False  # whether its end was marked: what was left open doesn't count
+
+    def of(self, kind: str) -> Iterator[Branch]:
+        return (p for p in self.parts if p.kind == kind and p.whole)
 
+    def leaves(self) -> Iterator[Leaf]:
+        for p in self.parts:
+            if isinstance(p, Branch):
+                yield Leaf(p.kind)
+                yield from p.leaves()
+            else:
+                yield p
 
-class _Sections(HTMLParser):
-    """Keeps a path of open outer elements: the outermost table, its row, its cell. Inner tables are text of the cell."""
+
+class TreeReader(HTMLParser):
+    """Builds the tree; a row or a cell outside a table is none, and a new one ends what was open beside it."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.found: list[tuple[str, list[list[str]]]] = []
-        self.name: str | None = None
-        self.depth = 0
-        self.rows: list[list[str]] = []
-        self.row: list[str] | None = None
-        self.cell: list[str] | None = None
-
-    def _separate(self, by: str) -> None:
-        if self.cell is not None and "".join(self.cell).strip():
-            self.cell.append(by)
+        self.path = [Branch("report")]
+
+    def _within_table(self, kinds: tuple[str, ...]) -> int | None:
+        """Place in the path of the outermost open branch of these kinds in the innermost table."""
+        at = len(self.path)
+        found = None
+        while at > 1 and self.path[at - 1].kind != "table":
+            at -= 1
+            if self.path[at].kind in kinds:
+                found = at
+        return found
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        outer = self.depth == 1
-        match tag:
-            case "a":
-                self.name = dict(attrs).get("name") or self.name
-            case "table":
-                self.depth += 1
-                if self.depth == 1:
-                    self.rows = []
-            case "tr" if outer:
-                self.row = []
-            case "tr" if self.depth > 1:
-                self._separate("; ")
-            case "td" | "th" if outer and self.row is not None:
-                self.cell = []  # an unclosed cell before it is lost
-            case "td" | "th" if self.depth > 1:
-                self._separate(" ")
-            case "br" if self.cell is not None:
-                self.cell.append("; ")
+        if tag == "a":
+            self.path[-1].parts.append(Leaf("anchor", dict(attrs).get("name") or ""))
+        elif tag == "br":
+            self.path[-1].parts.append(Leaf("break"))
+        if (kind := LEVEL.get(tag)) is None or (kind != "table" and len(self.path) == 1):
+            return
+        if kind != "table" and (open_ := self._within_table(("row", "cell") if kind == "row" else ("cell",))) is not None:
+            del self.path[open_:]
+        branch = Branch(kind)
+        self.path[-1].parts.append(branch)
+        self.path.append(branch)
 
     def handle_endtag(self, tag: str) -> None:
-        outer = self.depth == 1
-        match tag:
-            case "td" | "th" if outer and self.cell is not None:
-                if self.row is not None:
-                    self.row.append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
-                self.cell = None
-            case "tr" if outer and self.row is not None:
-                if any(self.row):
-                    self.rows.append(self.row)
-                self.row = None
-            case "table":
-                if outer:
-                    if self.name and len(self.rows) >= LEAST_ROWS:
-                        self.found.append((self.name, self.rows))
-                    self.name, self.rows = None, []
-                self.depth = max(0, self.depth - 1)
+        kind = LEVEL.get(tag)
+        if kind == "table":
+            at = max((i for i, b in enumerate(self.path) if b.kind == "table"), default=None)
+        else:
+            at = self._within_table((kind,)) if kind else None
+        if at is not None:
+            self.path[at].whole = True
+            del self.path[at:]
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell.append(data)
-
-
-def padded(value: str) -> str:
-    digits = re.sub(r"\D", "", value)
-    return digits.zfill(5) if digits else value.strip()
+        self.path[-1].parts.append(Leaf("text", data))
+
+
+def cell_text(cell: Branch) -> str:
+    """All text of a cell on one line; tables within it are flattened, a separator standing only behind text."""
+    said = ""
+    for leaf in cell.leaves():
+        if leaf.kind == "text":
+            said += leaf.value
+        elif leaf.kind == "break" or (leaf.kind in BETWEEN and said.strip()):
+            said += BETWEEN[leaf.kind]
+    return " ".join(said.split())
+
+
+def sections(html: str) -> Iterator[tuple[str, list[list[str]]]]:
+    """(anchor, rows with a filled cell) of each outermost table that an anchor names and that has LEAST_ROWS of them."""
+    reader = TreeReader()
+    reader.feed(html)
+    reader.close()
+    anchor = ""
+    for part in reader.path[0].parts:
+        if part.kind == "anchor":
+            anchor = part.value or anchor
+        elif part.kind == "table":
+            anchor = next((x.value for x in reversed(list(part.leaves())) if x.kind == "anchor" and x.value), anchor)
+            rows = [r for r in ([cell_text(c) for c in row.of("cell")] for row in part.of("row")) if any(r)]
+            if part.whole:
+                if anchor and len(rows) >= LEAST_ROWS:
+                    yield anchor, rows
+                anchor = ""
+
+
+def subdivision_number(value: str) -> str:
+    """The value's digits, filled up with zeros; the trimmed value if it has none."""
+    return "".join(c for c in value if c.isdecimal()).zfill(ID_DIGITS) if any(map(str.isdecimal, value)) else value.strip()
 
 
 def report_id(html: str, stem: str) -> str:
-    hit = BODY_ID.search(html) or TITLE_ID.search(html) or STEM_ID.search(stem)
-    return padded(hit[1]) if hit else stem
+    """The number in the body, else in the title, else in the file's name, else that name."""
+    found = (pattern.search(where) for pattern, where in ((BODY_ID, html), (TITLE_ID, html), (STEM_ID, stem)))
+    return next((subdivision_number(m.group(1)) for m in found if m), stem)
 
 
 def units(html: str, stem: str) -> list[tuple]:
-    """(text, unit_type, locator, extra) of each named section with a table of two filled rows or more."""
-    parser = _Sections()
-    parser.feed(html)
-    number = report_id(html, stem)
-    name = hit[1].strip() if (hit := NAME.search(html)) else ""
-    label = f"{number} {name}".strip()
-    out = []
-    for k, (section, rows) in enumerate(parser.found, 1):
-        text = "\n".join(" | ".join(r) for r in rows if any(r))
-        if text.strip():
-            out.append((text, "table", {"section_path": f"{label} > {section}", "table_title": section, "table": k, "subdivision": number, "subdivision_name": name or None}, {}))
-    return out
+    """(text, unit_type, locator, extra) of each section."""
+    number, named = report_id(html, stem), NAME.search(html)
+    title = named.group(1).strip() if named else None
+    above = f"{number} {title or ''}".strip()
+
+    def unit(place: int, anchor: str, rows: list[list[str]]) -> tuple:
+        where = {"section_path": f"{above} > {anchor}", "table_title": anchor, "table": place, "subdivision": number}
+        return "\n".join(map(" | ".join, rows)), "table", where | ({"subdivision_name": title} if title else {}), {}
+
+    return [unit(k, *s) for k, s in enumerate(sections(html), start=1)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -19,6 +20,9 @@ ALIASES = {
     "expected_result": ("expected result", "expected_result", "expected", "result"),
     "sequence": ("s_no", "s.no", "sno", "sr no", "sl no", "seq", "id", "#"),
 }
+#: Number formats of the format's own list that show dates or times, and what tells such a format of a file's own.
+DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+DATE_CODES = re.compile(r"[ymdhs]", re.I)
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}  # fixed value: the format's name space
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -64,15 +68,39 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def dated_styles(z: zipfile.ZipFile) -> set[str]:
+    """Numbers of the cell styles that show a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    tree = ElementTree.fromstring(z.read("xl/styles.xml"))
+    plain = lambda code: re.sub(r'"[^"]*"|\\\\.|\[[^\]hms][^\]]*\]', "", code)  # noqa: E731  without quoted text, escapes and colours
+    own = {int(f.get("numFmtId")) for f in tree.iterfind("m:numFmts/m:numFmt", _NS) if DATE_CODES.search(plain(f.get("formatCode") or ""))}
+    return {str(i) for i, x in enumerate(tree.iterfind("m:cellXfs/m:xf", _NS)) if int(x.get("numFmtId") or 0) in own | DATE_FORMATS}
+
+
+def dated(serial: str, since_1904: bool) -> str:
+    """A serial number of days as date and time, or as a time of day below one."""
+    days = float(serial)
+    moment = timedelta(milliseconds=round(days % 1 * 86_400_000))
+    if 0 <= days < 1:
+        return str((datetime.min + moment).time())
+    whole = int(days // 1)
+    start = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 31 if whole < 60 else 30)  # the format has a 29 February 1900
+    return str(start + timedelta(whole) + moment)
+
+
 def sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
     """(title, rows of cell texts) of a workbook's sheets."""
     with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        dates, book = dated_styles(z), ElementTree.fromstring(z.read("xl/workbook.xml"))
+        kind = book.find("m:workbookPr", _NS)
+        since_1904 = kind is not None and kind.get("date1904") in ("1", "true")
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = []
-        for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS):
+        for s in book.find("m:sheets", _NS):
             target = links[s.get(_REL)].lstrip("/")
             tree = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
             rows = []
@@ -85,7 +113,7 @@ def sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
                     if c.get("t") == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
                     elif value is not None and value.text is not None:
-                        cells[at] = shared[int(value.text)] if c.get("t") == "s" else {"1": "True", "0": "False"}[value.text] if c.get("t") == "b" else value.text
+                        cells[at] = shared[int(value.text)] if c.get("t") == "s" else {"1": "True", "0": "False"}[value.text] if c.get("t") == "b" else dated(value.text, since_1904) if c.get("t", "n") == "n" and c.get("s") in dates else value.text
                 gap = int(row.get("r") or len(rows) + 1) - len(rows) - 1
                 rows += [[] for _ in range(gap)] + [cells]
             out.append((s.get("name"), rows))

@@ -27,7 +27,7 @@ def test_html_sections():
     html = '<title>UP.08880.803.opk</title>Subdivision "Spo kane"<a name="Blocks"></a><table><tr><td>Name</td><td>Leg</td></tr><tr><td> a\n b</td><td> <table><tr><td>x</td><td>y</td></tr><tr><td>z</td></tr></table></td></tr></table><table><tr><td>no</td></tr><tr><td>anchor</td></tr></table><a name="Short"><table><tr><td>1</td></tr></table><a name="U"><table><tr><td>lost<td>kept<br>too</td></tr><tr><td>r</td></tr></table>'
     got = html_report.units(html, "stem")
     assert [(t, loc["section_path"]) for t, _, loc, _ in got] == [("Name | Leg\na b | x y; z", "08880 Spo kane > Blocks"), ("kept; too\nr", "08880 Spo kane > U")]
-    assert html_report.report_id("", "track_00123x") == "00123" and html_report.report_id("subdivision 1234567", "none") == "none" and html_report.padded("123456") == "123456"
+    assert html_report.report_id("", "track_00123x") == "00123" and html_report.report_id("subdivision 1234567", "none") == "none" and html_report.subdivision_number("12 34x") == "01234" and html_report.subdivision_number(" x ") == "x"
 
 
 def test_spreadsheets(spark):
