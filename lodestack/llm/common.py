@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ WORD_BREAKS = r"[\x20\x09-\x0D]+"
 BUCKET_ROWS = 50_000
 
 _roots: dict[str, str] = {}
+_paths: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -52,7 +54,21 @@ def freed(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def mark() -> int:
+    """Where the list of folders made so far ends."""
+    return len(_paths)
+
+
+def dropped(spark: SparkSession, since: int, *names: str, but: int = 0) -> None:
+    """Delete the folders of these names that were made since a mark, but for the last `but` of them; nothing may read them any more."""
+    gone = [p for p in _paths[since:] if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] in names]
+    for path in gone[: len(gone) - but]:
+        _remove(spark, path)
+        _paths.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -100,18 +116,51 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, rows: int, how: str =
     return one.select(columns).unionByName(left.join(hot, key, "left_anti").join(right, key, how).select(columns))
 
 
+#: Edges that are joined to trees in one task.
+EDGES_TOGETHER = 250_000
+
+
+def _trees(edges: DataFrame, parts: int) -> DataFrame:
+    """Star edges (u, v), v the smallest node, of the components that edges(u, v) have within each of so many parts by u."""
+
+    def join(table: pa.Table) -> pa.Table:
+        up: dict = {}
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = up[x]
+            return x
+
+        for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        return pa.table({"u": pa.array(nodes, table.schema.field("u").type), "v": pa.array(map(root, nodes), table.schema.field("v").type)})
+
+    part = F.pmod(F.xxhash64("u"), F.lit(parts)).alias("part")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.schema)
+    return edges.select(part, "u", "v").groupBy("part").applyInArrow(lambda t: join(t), kinds)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges(u, v): (node, root) of every node, root the smallest reachable.
 
-    Alternating large-star and small-star steps, each two joins on aggregated minima, until the edges
-    no longer change; every step is written to the shared folder. Neighbour lists are never gathered, and
-    the edges of a hub stay where they are. Loops and repeated edges are allowed; nulls are not.
+    Parts of EDGES_TOGETHER edges become trees in one task each. Where that is more than one part,
+    alternating large-star and small-star steps follow, each two joins on aggregated minima, until the
+    edges no longer change; every step is written to the shared folder. Neighbour lists are never gathered,
+    and the edges of a hub stay where they are. Loops and repeated edges are allowed; nulls are not.
     """
     def size(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    began = mark()
     e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
-    was = size(e)
+    parts = -(-e.count() // EDGES_TOGETHER)
+    if parts:
+        e = written(_trees(e, parts), name)
+    was = size(e) if parts > 1 else (0,)
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -122,6 +171,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         e = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         now = size(e)
+        dropped(edges.sparkSession, began, name, but=1)
         if now == was:
             break
         was = now

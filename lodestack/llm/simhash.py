@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, freed, looked_up, written
+from .common import components, dropped, freed, looked_up, mark, written
 
 #: Rows of a bucket above which it is dealt anew by further bits.
 REFINE_ROWS = 16_384
@@ -32,13 +32,13 @@ SHIFT_RUN = 1_024
 #: Lanes that are compared together.
 LANES = 32_768
 #: Rounds in which each row is paired with its nearest alone, before all pairs between components are looked at.
-ROUNDS = 3
+ROUNDS = 2
 #: Near rows of other components up to which a row's pairs are listed; a row with more belongs to a crowd, whose sets meet in blocks.
 LISTED = 32
 #: Elements of sets that a block of a crowd holds.
 CROWD_ELEMENTS = 4_000_000
 #: Tables of an index that are dealt together, so that what is on disk doesn't grow with their number.
-TABLES = 16
+TABLES = 12
 #: Times the last round deals a large bucket anew, by STEPS choices of STEP_BITS bits each.
 LEVELS, STEPS, STEP_BITS = 6, 12, 6
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # fixed values: odd 64-bit mixing constants
@@ -358,7 +358,7 @@ def _split_runs(run: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
 def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, last: bool) -> tuple[list, list]:
     """(pairs, crowd) of near rows of equal run and differing labels; rows are fingerprints, digests and labels.
 
-    Unless last, each row has a pair with its nearest. In the last round a row is paired with all its near
+    Unless last, each row has a pair with its nearest, and no row that is near another is in none. In the last round a row is paired with all its near
     rows, up to LISTED of them; rows with more are a crowd, and crowd holds edges that join those near each
     other, so a near pair is listed from one side or both rows are in one crowd.
     """
@@ -371,10 +371,14 @@ def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, last
     if not last:
         out += _nearest_of(pairs, _distances(fps, pairs[:, 0], pairs[:, 1]), rank).tolist()
         for b, n in long:
+            least, by = np.full(n, 1 << 30), np.zeros(n, np.int64)  # of rows that don't ask, the nearest that has asked for them
             for at, near in _near_rows(fps[b : b + n], label[b : b + n], radius):
                 if len(near):
                     far = _distances(fps[b : b + n], np.full(len(near), at), near)
                     out.append((b + at, b + int(near[np.lexsort((rank[b + near], far))[0]])))
+                    nearer = near[far < least[near]]
+                    least[nearer], by[nearer] = far[far < least[near]], at
+            out += [(b + x, b + int(by[x])) for x in np.flatnonzero(least < 1 << 30).tolist()]
         return out, crowd
     many = np.bincount(pairs.ravel(), minlength=len(rows)) > LISTED
     both = many[pairs].all(axis=1)
@@ -580,22 +584,22 @@ def banded_components(nodes: DataFrame, index: Bands, width: int, verified: Call
     """(node, root) of components over the pairs of nodes(node: fingerprint and digest) that bands find and verified() keeps.
 
     Rounds first pair each row with its nearest of another component, then all that lie between the
-    components so found. verified(pairs(u, v)) gives those that hold; crowded(crowds(node, root)) gives edges
-    that connect what holds within crowds.
+    components so found; a round takes only the rows that had a pair in the one before. verified(pairs(u, v))
+    gives those that hold; crowded(crowds(node, root)) gives edges that connect what holds within crowds.
     """
     cut = lambda c: F.substring(c, 1, width + 8)
     labelled = nodes.select(F.concat("node", F.substring("node", width + 1, 8)).alias("fp"))
-    near = tried = edges = found = None
+    tried = edges = found = None
     for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
+        last, began = turn == ROUNDS, mark()
         pairs, large, any_large = _round(labelled, index, width, last)
         pairs = pairs.select(cut("u").alias("u"), cut("v").alias("v"), "crowd")
         pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "crowd").distinct(), "found")
+        if not last:  # a row in no pair has no near row of another component, and never will; what was in a large bucket may have been passed over
+            near = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+            near = written((near.unionByName(large.select(cut("fp").alias("node"))) if any_large else near).distinct(), "near")
         listed = pairs.where("not crowd").select("u", "v")
         listed = written(listed if tried is None else listed.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if near is None:  # whatever has a near row is in a pair of the first round or was in a large bucket
-            near = listed.select(F.col("u").alias("node")).unionByName(listed.select(F.col("v").alias("node")))
-            near = written((near.unionByName(large.select(cut("fp").alias("node"))) if any_large else near).distinct(), "near")
         tried = listed if tried is None else tried.unionByName(listed)
         new = written(verified(listed), "similar")
         if last and not (crowd := written(pairs.where("crowd").select("u", "v"), "crowd-edges")).isEmpty():
@@ -607,6 +611,7 @@ def banded_components(nodes: DataFrame, index: Bands, width: int, verified: Call
             label = F.when(F.col("root").isNotNull(), F.unhex(F.lpad(F.hex(F.xxhash64("root")), 16, "0")))
             labelled = near.join(found, "node", "left").select(F.concat("node", F.coalesce(label, F.substring("node", width + 1, 8))).alias("fp"))
             labelled = written(labelled, "labelled")
+            dropped(nodes.sparkSession, began, "searched", "large", "found")
     return found
 
 

@@ -155,3 +155,26 @@ def test_crowds_meet_in_blocks(spark, monkeypatch):
         edges = simhash.crowd_pairs(df.select("node", "root"), df.select("node", "hashes"), 0.8)
         got = {bytes(r["node"]): bytes(r["root"]) for r in components(edges).collect()}
         assert {n: got.get(n, n) for n in up} == up
+
+
+def test_components(spark, monkeypatch):
+    """Chains, hubs and loners, as trees in one task and by stars over many parts."""
+    from lodestack.llm import common
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(2500)] + [(5000 + rng.randrange(400), 5000 + rng.randrange(400)) for _ in range(300)] + [(9, 9), (7000, 7001), (7001, 7000)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in up}
+    for together in (250_000, 60):
+        monkeypatch.setattr(common, "EDGES_TOGETHER", together)
+        got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        assert got == {x: r for x, r in want.items() if x in got} and {x for x in want if want[x] != x} <= set(got)
