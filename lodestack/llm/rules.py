@@ -139,13 +139,14 @@ def standard_rules() -> list[Rule]:
     ]
 
 
-def calibrate(df: DataFrame, rules: list[Rule], lazily: Callable[[Callable[[Measures], Column]], Column], rows: int, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
+def calibrate(df: DataFrame, rules: list[Rule], lazily: Callable[[Callable[[Measures], Column]], Column], rows: int, sample_rows: int = SAMPLE_ROWS, prepared: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[dict]:
     """Each rule's measured cost and selectivity on a sample of df's rows, best first.
 
-    The sample is drawn where the rows are. lazily: from a condition over measures to a column of df. Costs
-    count to a power of two, so that the order doesn't change with what a clock can't tell.
+    The sample is drawn where the rows are, and then prepared. lazily: from a condition over measures to a
+    column of the prepared sample. Costs count to a power of two, so that the order doesn't change with
+    what a clock can't tell.
     """
-    sample = written(df if rows <= sample_rows else df.sample(sample_rows / rows, 17), "rule-sample")
+    sample = written(prepared(df if rows <= sample_rows else df.sample(sample_rows / rows, 17)), "rule-sample")
     n = max(1, sample.count())
     many = sample.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_TIMES))))
 
@@ -204,8 +205,8 @@ def apply_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMP
     stays empty; other columns pass through, but those named like the added ones are replaced.
     """
     made, rules = Measures.made(F.coalesce(F.col(text_col), F.lit(""))), standard_rules()
-    sampled = measured(docs.select(text_col), text_col)
-    order = [x["name"] for x in calibrate(sampled, rules, lambda body: body(made), docs.count(), sample_rows)]
+    found = calibrate(docs.select(text_col), rules, lambda body: body(made), docs.count(), sample_rows, lambda some: measured(some, text_col))
+    order = [x["name"] for x in found]
     df = measured(docs, text_col).withColumn("base_failed", base_failed(made))
     df = df.withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(made, rules, order)))
     return df.withColumn("kept", F.col("failed_rule").isNull())

@@ -161,8 +161,8 @@ def test_cascade_works_out_only_what_it_needs(spark):
 
 
 def test_sample_needs_no_exchange(spark, docs):
-    plan = rules.measured(docs.select("text")).sample(0.5, 17)._jdf.queryExecution().toString()
-    assert "SinglePartition" not in plan and "GlobalLimit" not in plan
+    plan = rules.measured(docs.select("text").sample(0.5, 17))._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "GlobalLimit" not in plan and plan.rindex("Sample") > plan.rindex("Project")  # sampled before anything is counted
     kept = docs.where(rules.first_failed(docs).isNull())
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rules.apply_rules(docs, sample_rows=3).where("kept").collect())
