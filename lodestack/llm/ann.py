@@ -23,8 +23,8 @@ from .common import looked_up, written
 
 #: Vectors on which centroids are fitted, at most.
 FIT_ROWS = 20_000
-#: Centroids, at most; below, half the square root of the rows.
-MOST_CELLS = 4_096
+#: Centroids, at most; below, so many that a cell has CELL_MEAN vectors on average.
+MOST_CELLS, CELL_MEAN = 4_096, 1_024
 #: Vectors of a cell that are held against a block of queries at once.
 CELL_ROWS = 16_384
 #: Queries of a cell that are held against a block of vectors at once.
@@ -35,6 +35,8 @@ BOUND = 2.5
 PROBE_QUERIES, PROBE_SHARE = 400, 0.97
 #: Bits that a component of a query is cut to, and queries estimated together.
 QUERY_BITS, TOGETHER = 4, 64
+#: Pairs of a query and a vector that are reranked at once.
+PAIRS = 100_000
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -135,32 +137,38 @@ class Codes:
         return estimate, width + 1e-6 * size[:, None] * (1 + self.length)
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of one query with rows of x, in double precision."""
-    return (x.astype(np.float64) * q).sum(axis=1)
+def exact(q: np.ndarray, x: np.ndarray, owner: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Inner products in double precision of the queries and vectors that owner and row pair."""
+    out = np.empty(len(owner))
+    for at in range(0, len(owner), PAIRS):
+        part = slice(at, at + PAIRS)
+        out[part] = (x[row[part]].astype(np.float64) * q[owner[part]]).sum(axis=1)
+    return out
 
 
 def search_cell(q: np.ndarray, xid: np.ndarray, x: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query's number, vector's number, score): of each query the k best in the cell; ties to the smaller id."""
-    owner, rows, scores = [], [], []
+    out, few = [], min(4 * k, len(x))
     for at in range(0, len(q), TOGETHER):
-        estimate, width = codes.bounds(q[at : at + TOGETHER])
-        width += estimate  # the upper bound
-        for j, (mean, upper) in enumerate(zip(estimate, width)):
-            query, few = q[at + j], min(4 * k, len(x))
-            first = np.argpartition(-mean, few - 1)[:few]
-            got = exact(query, x[first])
-            least = -np.inf if few < k else np.partition(got, few - k)[few - k]
-            more = upper >= least
-            more[first] = False
-            more = np.flatnonzero(more)
-            which = np.r_[first, more]
-            got = np.r_[got, exact(query, x[more])]
-            best = np.lexsort((xid[which], -got))[:k]
-            owner.append(np.full(len(best), at + j))
-            rows.append(which[best])
-            scores.append(got[best])
-    return np.concatenate(owner), np.concatenate(rows), np.concatenate(scores)
+        part = q[at : at + TOGETHER]
+        n = len(part)
+        mean, upper = codes.bounds(part)
+        upper += mean
+        first = np.argpartition(-mean, few - 1, axis=1)[:, :few]
+        owner = np.repeat(np.arange(n), few)
+        score = exact(part, x, owner, first.ravel())
+        least = np.partition(score.reshape(n, few), few - k, axis=1)[:, few - k] if few >= k else np.full(n, -np.inf)
+        more = upper >= least[:, None]
+        np.put_along_axis(more, first, False, axis=1)
+        late_owner, late = np.nonzero(more)
+        owner, row = np.r_[owner, late_owner], np.r_[first.ravel(), late]
+        score = np.r_[score, exact(part, x, late_owner, late)]
+        order = np.lexsort((xid[row], -score, owner))
+        owner = owner[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner)  # a row's place among its query's
+        best = order[place < k]
+        out.append((np.r_[owner[place < k]] + at, row[best], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def usable(df: DataFrame, vec_col: str) -> DataFrame:
@@ -199,7 +207,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | No
     rows = reps.count()
     taken = reps.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()  # bounded
     sample = taken.flatten().to_numpy().reshape(-1, dim).astype(np.float64)
-    centres = centroids(sample, max(1, min(MOST_CELLS, math.isqrt(rows) // 2)))
+    centres = centroids(sample, max(1, min(MOST_CELLS, rows // CELL_MEAN)))
     turn, n_probes = rotation(dim), min(probes or measured_probes(sample, centres, k), len(centres))
     element = vectors.schema[vec_col].dataType.simpleString()
 

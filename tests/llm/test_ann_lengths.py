@@ -16,6 +16,11 @@ def tables():
     return {"unclustered": unit, "clustered": clustered, "lengths": unit[:3000] * rng.lognormal(0, 0.5, 3000)[:, None], "dense": dense}
 
 
+@pytest.fixture(autouse=True)
+def small_cells(monkeypatch):
+    monkeypatch.setattr(ann, "CELL_MEAN", 100)
+
+
 @pytest.mark.parametrize("name", ["unclustered", "clustered", "lengths", "dense"])
 def test_recall(spark, name):
     x = tables()[name].astype(np.float32)
