@@ -23,6 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Smoothing: the weight, in occurrences, of a uniform word model, and the words that one is over.
 MASS, BASE_WORDS = 5.0, 1 << 20
@@ -79,10 +80,41 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in counts)
 
 
-def _looked_up(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted table, whether it is there)."""
-    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
-    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
+class Known:
+    """A sorted table of keys, with a map of their first bits by which most others are told at once."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 21):
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[keys >> self.shift] = True
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each key is in the table, places of those that are)."""
+        there = self.seen[keys >> self.shift]
+        maybe = np.flatnonzero(there)
+        at = np.searchsorted(self.keys, keys[maybe])
+        hit = self.keys[np.minimum(at, max(0, len(self.keys) - 1))] == keys[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
+        there[maybe[~hit]] = False
+        return there, at[hit]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], docs: int = GROUP_DOCS, tokens: int = GROUP_TOKENS) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, transitions of each, contexts of all, pairs of all) of groups of rows (text, ..) of bounded size; a longer text is a group of its own."""
+    rows, parts, size = [], [], 0
+
+    def made() -> tuple:
+        return rows, np.array([len(p[0]) for p in parts], np.int64), *(np.concatenate([p[k] for p in parts]) for k in range(2))
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            rows.append(row)
+            parts.append(transitions(row[0]))
+            size += len(parts[-1][0])
+            if len(rows) >= docs or size >= tokens:
+                yield made()
+                rows, parts, size = [], [], 0
+    if rows:
+        yield made()
 
 
 def losses(kind: int, counts: np.ndarray) -> np.ndarray:
@@ -94,26 +126,9 @@ def frequent(docs: DataFrame, rows: int) -> list[np.ndarray]:
     """Sorted keys of the contexts and of the pairs that are most frequent in a sample: FREQUENT of each at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
-        sums = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in held]
-
-        def add() -> None:
-            for k in range(2):
-                new = np.concatenate(held[k])
-                sums[k] = _summed(np.r_[sums[k][0], new], np.r_[sums[k][1], np.ones(len(new), np.int64)])
-                held[k].clear()
-
-        size = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for k, part in enumerate(transitions(text)):
-                    held[k].append(part)
-                size += len(held[1][-1])
-                if size >= GROUP_TOKENS:
-                    add()
-                    size = 0
-        if held[0]:
-            add()
+        sums = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        for _, _, *keys in grouped(batches):
+            sums = [_summed(np.r_[old, new], np.r_[n, np.ones(len(new), np.int64)]) for (old, n), new in zip(sums, keys)]
         for k, (keys, n) in enumerate(sums):
             top = np.argsort(-n, kind="stable")[:PUT_FORWARD]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), k, np.int32)), pa.array(keys[top].view(np.int64)), pa.array(n[top])], names=["kind", "key", "n"])
@@ -130,22 +145,18 @@ def frequent(docs: DataFrame, rows: int) -> list[np.ndarray]:
 
 def counted(docs: DataFrame, tables: list[np.ndarray]) -> tuple[int, list[np.ndarray]]:
     """(transitions, counts) over all documents: of each key of both tables, its occurrences in the background and in the target."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    shared = docs.sparkSession.sparkContext.broadcast([Known(t) for t in tables])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((2, len(t)), np.int64) for t in shared.value]
+        sums = [np.zeros((2, len(t.keys)), np.int64) for t in shared.value]
         total = 0
-        for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = transitions(text)
-                total += len(parts[0])
-                for table, part, out in zip(shared.value, parts, sums):
-                    at, there = _looked_up(part, table)
-                    if there.any():
-                        found, n = np.unique(at[there], return_counts=True)
-                        out[0, found] += n
-                        if target:
-                            out[1, found] += n
+        for rows, sizes, *parts in grouped(batches):
+            total += int(sizes.sum())
+            inside = np.repeat(np.array([bool(target) for _, target in rows]), sizes)
+            for table, part, out in zip(shared.value, parts, sums):
+                there, at = table.places(part)
+                out[0] += np.bincount(at, minlength=out.shape[1])
+                out[1] += np.bincount(at[inside[there]], minlength=out.shape[1])
         columns = [np.array([2]), np.array([0]), np.array([total]), np.array([0])]
         for k, out in enumerate(sums):
             some = np.flatnonzero(out[0])
@@ -175,23 +186,21 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str
     kind = docs.schema["id"].dataType.simpleString()
     tables = frequent(docs, docs.count())
     tokens, counts = counted(docs, tables)
-    known = [(t, np.stack([losses(k, c) for c in n], axis=1)) for k, (t, n) in enumerate(zip(tables, counts))]
+    known = [(Known(t), np.stack([losses(k, c) for c in n], axis=1)) for k, (t, n) in enumerate(zip(tables, counts))]
     shared = spark.sparkContext.broadcast(known)
-    buckets = max(16, tokens // BUCKET_TOKENS)
+    buckets, id_type = max(16, tokens // BUCKET_TOKENS), to_arrow_type(docs.schema["id"].dataType)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of documents: a row of what is known of each, and a row of keys for each bucket; contexts go to the odd ones."""
-        task, groups = TaskContext.get().partitionId(), 0
-
-        def send(ids: list, flags: list[bool], parts: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-            sizes = np.array([len(p[0]) for p in parts], np.int64)
-            owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
-            sums, where, keys, owners = np.zeros((len(ids), 2)), [], [], []
-            for k, (table, values) in enumerate(shared.value):
-                part = np.concatenate([p[k] for p in parts])
-                at, there = _looked_up(part, table)
+        task = TaskContext.get().partitionId()
+        for number, (rows, sizes, *parts) in enumerate(grouped(batches)):
+            ids = [i for _, i, _ in rows]
+            owner = np.repeat(np.arange(len(rows), dtype=np.uint16), sizes)
+            sums, where, keys, owners = np.zeros((len(rows), 2)), [], [], []
+            for k, ((table, values), part) in enumerate(zip(shared.value, parts)):
+                there, at = table.places(part)
                 for m in range(2):
-                    sums[:, m] += np.bincount(owner[there], values[at[there], m], len(ids)) if there.any() else 0
+                    sums[:, m] += np.bincount(owner[there], values[at, m], len(rows)) if len(at) else 0
                 keys.append(part[~there])
                 owners.append(owner[~there])
                 where.append((keys[-1] >> np.uint64(32)) % np.uint64(buckets) * np.uint64(2) + np.uint64(1 - k))
@@ -199,30 +208,15 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str
             order = np.argsort(b, kind="stable")
             found, starts = np.unique(b[order], return_index=True)
             cut = lambda x: [p.tobytes() for p in np.split(x[order], starts[1:])] if len(x) else []
-            group, n = f"{task}-{groups}", len(found)
-            bits = np.packbits(np.array(flags, bool)).tobytes()
+            group, n = f"{task}-{number}", len(found)
+            bits = np.packbits(np.array([bool(flag) for *_, flag in rows])).tobytes()
             head = -1 - zlib.crc32(group.encode()) % (2 * buckets)
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array([head, *found.astype(np.int64).tolist()], pa.int64()), pa.array([group] * (n + 1)), pa.array([ids] + [None] * n, pa.list_(id_type)), pa.array([sums.tobytes(), *cut(keys)], pa.binary()), pa.array([sizes.tobytes(), *cut(owners)], pa.binary()), pa.array([bits] * (n + 1), pa.binary())],
                 names=["bucket", "grp", "ids", "a", "b", "flags"],
             )
 
-        ids, flags, parts, size = [], [], [], 0
-        for batch in batches:
-            for i, text, flag in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids.append(i)
-                flags.append(flag)
-                parts.append(transitions(text))
-                size += len(parts[-1][0])
-                if len(ids) >= GROUP_DOCS or size >= GROUP_TOKENS:
-                    yield send(ids, flags, parts, batch.column(0).type)
-                    groups += 1
-                    ids, flags, parts, size = [], [], [], 0
-            last = batch.column(0).type
-        if ids:
-            yield send(ids, flags, parts, last)
-
-    dealt = docs.mapInArrow(deal, f"bucket long, grp string, ids array<{kind}>, a binary, b binary, flags binary")
+    dealt = docs.select("text", "id", "target").mapInArrow(deal, f"bucket long, grp string, ids array<{kind}>, a binary, b binary, flags binary")
 
     def meet(table: pa.Table) -> pa.Table:
         """A bucket's keys are counted, and each group that sent some gets its documents' sums; what is known passes through."""
