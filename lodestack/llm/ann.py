@@ -1,12 +1,14 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
 Vectors are dealt to the cells of an inverted index (centroids fitted on a bounded sample). A vector's
-offset from its centroid is rotated at random and kept as its signs, packed, with two correction
-scalars: the offset's length and its inner product with its own code. Codes are made once, beside the
-vector. A query, rotated and cut to four bits a component, meets the packed codes of the cells it looks
-into by AND and popcount; that estimates its inner products without bias and with an error bound, and
-only vectors whose upper bound reaches the k-th best exact score seen are reranked in double precision.
-How many cells a query looks into is measured on the sample. Equal vectors are searched, and found, once.
+offset from its centroid is turned at random into a space of CODE_LENGTH times as many dimensions and
+kept there as its signs, packed, with two correction scalars: the offset's length and its inner product
+with its own code. Codes are made once, beside the vector. A query, turned alike and cut to a few bits a
+component, meets the packed codes of the cells it looks into by AND and popcount; that estimates its
+inner products without bias and with an error bound. Its first cells give the k-th best exact score so
+far; of the others only those can matter that may hold a larger inner product, and in them only vectors
+whose upper bound reaches that score are reranked in double precision. How many cells a query looks into
+is measured on the sample. Equal vectors are searched, and found, once.
 """
 
 from __future__ import annotations
@@ -33,14 +35,17 @@ QUERY_ROWS = 8_192
 BOUND = 2.5
 #: Queries of the sample on which probes are measured, and the share of their neighbours that must lie in the cells probed.
 PROBE_QUERIES, PROBE_SHARE = 400, 0.97
-#: Bits that a component of a query is cut to, and queries estimated together.
-QUERY_BITS, TOGETHER = 4, 64
+#: Bits of a code for each dimension, bits that a component of a query is cut to, and queries estimated together.
+CODE_LENGTH, QUERY_BITS, TOGETHER = 4, 3, 64
+#: Cells that give a query its first scores.
+FIRST_CELLS = 2
 #: Pairs of a query and a vector that are reranked at once.
 PAIRS = 100_000
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+    """A random turn of dim dimensions into CODE_LENGTH times as many, which keeps inner products."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((CODE_LENGTH * dim, dim)))
     return q * np.sign(np.diag(r))
 
 
@@ -67,10 +72,11 @@ def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
-def ranked_cells(q: np.ndarray, c: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """All rows of c for each of q, by the largest inner product their vectors can have, q.c + |q| reach."""
+def ranked_cells(q: np.ndarray, c: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all rows of c for each of q, by the largest inner product their vectors can have, q.c + |q| reach; these bounds)."""
     bound = q @ c.T + np.sqrt((q * q).sum(axis=1))[:, None] * reach
-    return np.argsort(-bound, axis=1, kind="stable")
+    order = np.argsort(-bound, axis=1, kind="stable")
+    return order, np.take_along_axis(bound, order, axis=1)
 
 
 def measured_probes(sample: np.ndarray, c: np.ndarray, k: int) -> int:
@@ -86,7 +92,7 @@ def measured_probes(sample: np.ndarray, c: np.ndarray, k: int) -> int:
     asked = np.random.default_rng(3).permutation(len(sample))[:PROBE_QUERIES]
     place, k = np.empty(len(c), int), min(k, len(sample) - 1)
     places = []
-    for i, order in zip(asked, ranked_cells(sample[asked], c, reach)):
+    for i, order in zip(asked, ranked_cells(sample[asked], c, reach)[0]):
         scores = sample @ sample[i]
         scores[i] = -np.inf
         place[order] = np.arange(len(c))
@@ -99,10 +105,10 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     offset = x - centre
     length = np.sqrt((offset * offset).sum(axis=1))
     turned = (offset @ turn.T) / np.maximum(length, 1e-300)[:, None]
-    own = np.abs(turned).sum(axis=1) / math.sqrt(x.shape[1])
+    own = np.abs(turned).sum(axis=1) / math.sqrt(len(turn))
     own[length == 0] = 1.0
-    padded = np.zeros((len(x), -(-x.shape[1] // 64) * 64), bool)
-    padded[:, : x.shape[1]] = turned > 0
+    padded = np.zeros((len(x), -(-len(turn) // 64) * 64), bool)
+    padded[:, : len(turn)] = turned > 0
     return np.packbits(padded, axis=1, bitorder="little"), length, own
 
 
@@ -112,9 +118,9 @@ class Codes:
     def __init__(self, bits: np.ndarray, length: np.ndarray, own: np.ndarray, centre: np.ndarray, turn: np.ndarray):
         self.words = np.ascontiguousarray(np.ascontiguousarray(bits).view("<u8").T)
         self.ones = np.bitwise_count(self.words).sum(axis=0, dtype=np.int64)
-        self.dim, self.centre, self.turn = len(centre), centre, turn
+        self.size, self.centre, self.turn = len(turn), centre, turn
         self.length, self.scale = length, length / np.maximum(own, 1e-9)
-        self.spread = self.scale * np.sqrt(np.maximum(1 - own**2, 0) / max(1, self.dim - 1))
+        self.spread = self.scale * np.sqrt(np.maximum(1 - own**2, 0) / max(1, self.size - 1))
 
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(estimates of <q, x>, half widths of their bounds), queries x vectors."""
@@ -123,15 +129,20 @@ class Codes:
         step = np.maximum((turned.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-300)
         cut = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
         padded = np.zeros((len(q), len(self.words) * 64), np.uint8)
-        padded[:, : self.dim] = cut
-        inside = np.zeros((len(q), self.words.shape[1]), np.int32)  # sums of the cut components where the code has a one
+        padded[:, : self.size] = cut
+        shape = len(q), self.words.shape[1]
+        inside = np.zeros(shape, np.int32)  # sums of the cut components where the code has a one
+        both, ones, sums = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint32)
         for j in range(QUERY_BITS):
             plane = np.packbits(padded >> j & 1, axis=1, bitorder="little").view("<u8")
+            sums.fill(0)
             for w in range(len(self.words)):
-                inside += np.bitwise_count(self.words[w] & plane[:, w, None]).astype(np.int32) << j
+                np.bitwise_and(self.words[w], plane[:, w, None], out=both)
+                np.bitwise_count(both, out=ones)
+                sums += ones
+            inside += sums.astype(np.int32) << j
         size = np.sqrt((q * q).sum(axis=1))
-        sums = low[:, None] * self.ones + step[:, None] * inside
-        raw = (2 * sums - (low * self.dim + step * cut.sum(axis=1))[:, None]) / math.sqrt(self.dim)
+        raw = (2 * low[:, None] * self.ones + (2 * step)[:, None] * inside - (low * self.size + step * cut.sum(axis=1))[:, None]) / math.sqrt(self.size)
         estimate = raw * self.scale + (q @ self.centre)[:, None]
         width = BOUND * (size[:, None] * self.spread + (step / math.sqrt(12))[:, None] * self.scale)
         return estimate, width + 1e-6 * size[:, None] * (1 + self.length)
@@ -146,28 +157,31 @@ def exact(q: np.ndarray, x: np.ndarray, owner: np.ndarray, row: np.ndarray) -> n
     return out
 
 
-def search_cell(q: np.ndarray, xid: np.ndarray, x: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's number, vector's number, score): of each query the k best in the cell; ties to the smaller id."""
-    out, few = [], min(4 * k, len(x))
+def search_cell(q: np.ndarray, floor: np.ndarray, xid: np.ndarray, x: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's number, vector's number, score): of each query the k best in the cell that reach its floor; ties to the smaller id."""
+    out, few = [], min(k, len(x))
     for at in range(0, len(q), TOGETHER):
-        part = q[at : at + TOGETHER]
+        part, least = q[at : at + TOGETHER], floor[at : at + TOGETHER]
         n = len(part)
         mean, upper = codes.bounds(part)
         upper += mean
         first = np.argpartition(-mean, few - 1, axis=1)[:, :few]
         owner = np.repeat(np.arange(n), few)
         score = exact(part, x, owner, first.ravel())
-        least = np.partition(score.reshape(n, few), few - k, axis=1)[:, few - k] if few >= k else np.full(n, -np.inf)
+        if few == k:  # the least of any k scores is one that the k best reach
+            least = np.maximum(least, score.reshape(n, k).min(axis=1))
         more = upper >= least[:, None]
         np.put_along_axis(more, first, False, axis=1)
         late_owner, late = np.nonzero(more)
         owner, row = np.r_[owner, late_owner], np.r_[first.ravel(), late]
         score = np.r_[score, exact(part, x, late_owner, late)]
+        reached = score >= least[owner]
+        owner, row, score = owner[reached], row[reached], score[reached]
         order = np.lexsort((xid[row], -score, owner))
         owner = owner[order]
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)  # a row's place among its query's
         best = order[place < k]
-        out.append((np.r_[owner[place < k]] + at, row[best], score[best]))
+        out.append((owner[place < k] + at, row[best], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -233,20 +247,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | No
         for batch in batches:
             for at in range(0, batch.num_rows, 1_024):
                 part = batch.slice(at, 1_024)
-                cells = ranked_cells(matrix(part.column(1)).astype(np.float64), centres, reach)[:, :n_probes]
+                cells, bounds = (r[:, :n_probes] for r in ranked_cells(matrix(part.column(1)).astype(np.float64), centres, reach))
                 where = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(cells.ravel().astype(np.int32))], names=["lead", "v", "cell"])
+                place = np.tile(np.arange(cells.shape[1], dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(where), part.column(1).take(where), pa.array(cells.ravel().astype(np.int32)), pa.array(place), pa.array(bounds.ravel())], names=["lead", "v", "cell", "place", "bound"])
 
     lead = asked.join(leads.select(F.col("lead").alias("id")), "id").select(F.col("id").alias("lead"), "v")
-    sought = written(lead.mapInArrow(seek, f"lead {kind}, v {element}, cell int"), "probes")
-    # a cell is held in parts, and so are the queries that look into it: no part grows with the data
+    sought = written(lead.mapInArrow(seek, f"lead {kind}, v {element}, cell int, place int, bound double"), "probes")
     parts = spark.createDataFrame([(r["cell"], r["parts"]) for r in stats], "cell int, parts int")
-    blocks = sought.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
-    grid = F.broadcast(parts.join(blocks, "cell"))  # a row a cell
-    part, block = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.pmod(F.xxhash64("lead", F.lit(1)), "blocks").cast("int")
-    held = held.join(grid, "cell").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sought = sought.join(grid, "cell").withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    names = ["lead", "id", "ids", "score"]
+    names, by, order = ["lead", "id", "ids", "score"], ["cell", "part", "block"], Window.partitionBy("lead").orderBy(F.desc("score"), "id")
 
     def meet(key: tuple, x: pa.Table, q: pa.Table) -> pa.Table:
         kinds = [x.schema.field("id").type, x.schema.field("id").type, x.schema.field("ids").type, pa.float64()]
@@ -256,13 +265,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int | No
         one = lambda t, c: t.column(c).chunk(0)
         bits = np.frombuffer(b"".join(one(x, "bits").to_pylist()), np.uint8).reshape(x.num_rows, -1)
         codes = Codes(bits, one(x, "length").to_numpy(), one(x, "own").to_numpy(), centres[key[0].as_py()], turn)
-        owner, row, score = search_cell(matrix(one(q, "v")).astype(np.float64), one(x, "id").to_numpy(), matrix(one(x, "v")), codes, k + 1)
+        owner, row, score = search_cell(matrix(one(q, "v")).astype(np.float64), one(q, "floor").to_numpy(), one(x, "id").to_numpy(), matrix(one(x, "v")), codes, k + 1)
         return pa.Table.from_arrays([one(q, "lead").take(pa.array(owner)), one(x, "id").take(pa.array(row)), one(x, "ids").take(pa.array(row)), pa.array(score)], names=names)
 
-    by = ["cell", "part", "block"]
-    found = held.select(*by, "id", "v", "ids", "bits", "length", "own").groupBy(*by).cogroup(sought.select(*by, "lead", "v").groupBy(*by)).applyInArrow(meet, f"lead {kind}, id {kind}, ids array<{kind}>, score double")
-    order = Window.partitionBy("lead").orderBy(F.desc("score"), "id")
-    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)  # limited in each part first
+    def looked(wanted: DataFrame, name: str) -> DataFrame:
+        """Of each query of wanted(lead, v, cell, floor) the k + 1 best that its cells give."""
+        # a cell is held in parts, and so are the queries that look into it: no part grows with the data
+        blocks = wanted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
+        grid = F.broadcast(parts.join(blocks, "cell"))  # a row a cell
+        part, block = F.pmod(F.xxhash64("id"), "parts").cast("int"), F.pmod(F.xxhash64("lead", F.lit(1)), "blocks").cast("int")
+        mine = held.join(grid, "cell").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        theirs = wanted.join(grid, "cell").withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = mine.select(*by, "id", "v", "ids", "bits", "length", "own").groupBy(*by).cogroup(theirs.select(*by, "lead", "v", "floor").groupBy(*by))
+        found = met.applyInArrow(meet, f"lead {kind}, id {kind}, ids array<{kind}>, score double")
+        return written(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"), name)  # limited in each part first
+
+    soon = looked(sought.where(F.col("place") < FIRST_CELLS).withColumn("floor", F.lit(float("-inf"))), "soon")
+    floors = soon.groupBy("lead").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    later = sought.where(F.col("place") >= FIRST_CELLS).join(floors, "lead", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    best = soon.unionByName(looked(later.where(F.col("bound") * (1 + F.signum("bound") * 1e-9) >= F.col("floor")), "later"))
+    best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     pairs = F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("below"), i.alias("vec_id")))))
     best = written(best.groupBy("lead").agg(F.slice(F.sort_array(pairs), 1, k + 1).alias("all")), "found")
     who = looked_up(written(asked.select("id", "h", "g").join(leads, ["h", "g"]).select("id", "lead"), "askers"), best, "lead", rows)

@@ -67,5 +67,6 @@ def test_estimates_are_within_their_bounds():
     rng = np.random.default_rng(7)
     x, q = rng.standard_normal((2000, 70)), rng.standard_normal((50, 70))
     turn, centre = ann.rotation(70), x.mean(axis=0)
+    assert np.allclose(turn.T @ turn, np.eye(70))
     estimate, width = ann.Codes(*ann.encode(x, centre, turn), centre, turn).bounds(q)
     assert np.mean(np.abs(estimate - q @ x.T) <= width) > 0.97 and abs(np.mean(estimate - q @ x.T)) < 0.1
