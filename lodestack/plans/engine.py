@@ -132,7 +132,7 @@ def chunks_of(units: DataFrame, discovered: DataFrame, config: files.Config) ->
 
     out = of_rows.select(columns).unionByName(of_others.select(columns)).join(discovered.select("source_path", "source_file", "document_type", "file_hash"), "source_path")
     loc, more = (lambda k: F.col("locator")[k]), (lambda k: F.col("extra")[k])
-    is_code = F.col("unit_type").isin("function", "class", "module_docstring", "raw_python")
+    is_code = F.lower("source_file").rlike(r"\.pyi?$")
     return out.select(
         text.chunk_id(F.col("source_path"), F.col("unit_key"), F.col("chunk_index"), F.col("chunk")).alias("chunk_id"), "source_path", "source_file", "document_type",
         F.col("unit_type").alias("content_type"), "chunk_index", "total_chunks_in_unit", "file_hash", F.lit(config.embedding_model).alias("embedding_model"), F.current_timestamp().alias("ingested_at"),

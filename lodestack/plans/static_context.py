@@ -70,10 +70,10 @@ def scan_examples(spark: SparkSession, folder: str, config: files.Config) -> Dat
     from .engine import normalized
 
     parts = None
-    for kind, (below, suffix) in EXAMPLE_PARTS.items():
+    for kind, (below, suffix) in EXAMPLE_PARTS.items() if folder else ():
         path = f"{folder.rstrip('/')}/{below}".rstrip("/")
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not folder or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
             continue
         raw = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
         name = F.regexp_extract("path", r"([^/]+)$", 1)

@@ -80,6 +80,11 @@ def document_type(path: Column, root: Root) -> Column:
     return F.when(F.lit(root.subfolders_as_type) & (F.size(parts) > 1), parts[0]).otherwise(F.lit(root.document_type))
 
 
+def glob_of(suffixes: tuple[str, ...]) -> str:
+    """A path filter for files of these suffixes in any case, so that others aren't opened."""
+    return "*{" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ",".join(suffixes)) + "}"
+
+
 def discover(spark: SparkSession, config: Config, more: tuple[str, ...] = ()) -> DataFrame:
     """(source_path, source_file, document_type, suffix, file_hash, content) of every readable file below the roots.
 
@@ -91,8 +96,7 @@ def discover(spark: SparkSession, config: Config, more: tuple[str, ...] = ()) ->
         p = spark._jvm.org.apache.hadoop.fs.Path(root.path)
         if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
             continue
-        anycase = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ",".join(wanted))
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{anycase}}}").load(root.path)
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob_of(wanted)).load(root.path)
         name = F.regexp_extract("path", r"([^/]+)$", 1)
         suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
         part = raw.where(suffix.isin(*wanted) & ~F.startswith(name, F.lit("~$")))
