@@ -116,6 +116,15 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, rows: int, how: str =
     return one.select(columns).unionByName(left.join(hot, key, "left_anti").join(right, key, how).select(columns))
 
 
+#: Keys that are sent to all tasks rather than met by a shuffle, at most.
+BROADCAST_KEYS = 500_000
+
+
+def picked(left: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows of left whose key is among keys, a written table, or (left_anti) isn't; few keys spare left the shuffle."""
+    return left.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
 #: Edges that are joined to trees in one task.
 EDGES_TOGETHER = 250_000
 

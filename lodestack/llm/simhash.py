@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, freed, looked_up, mark, written
+from .common import components, dropped, freed, looked_up, mark, picked, written
 
 #: Rows of a bucket above which it is dealt anew by further bits.
 REFINE_ROWS = 16_384
@@ -704,7 +704,7 @@ def similar_documents(docs: DataFrame, shingle: int, words: int, radius: int, ag
         ends = written(ends, "ends")
         if not ends.isEmpty():
             texts = shingle_sets(docs, shingle, words, id_col, text_col, True).drop(id_col)
-            held.append(written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sets"))
+            held.append(written(picked(texts, ends, "node").dropDuplicates(["node"]), "sets"))
             freed(docs.sparkSession)
         return reduce(DataFrame.unionByName, held) if held else None
 
