@@ -138,7 +138,10 @@ class Bands:
 
     @classmethod
     def plan(cls, bits: int, radius: int, rows: int, agree: float, miss: float = 0.005) -> Bands:
-        """Buckets of 64 on average; as many tables as a pair agreeing in a share `agree` of bits needs."""
+        """Buckets of 64 on average; as many tables as a pair agreeing in just a share `agree` of bits needs.
+
+        Pairs of one similarity differ in how many bits agree, so more of them are missed than `miss`: see README.
+        """
         width = max(4, math.ceil(math.log2(max(rows, 2))) - 6)
         return cls(bits, radius, width, max(1, math.ceil(math.log(miss) / math.log1p(-(agree**width)))))
 
@@ -634,8 +637,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
 
     component_id is the smallest id reachable over links of at most `radius` differing bits, the row's
     own included; null ids count as larger than all others. agree: None takes the exact index; else the
-    share of bits in which the least similar pair that matters agrees, and bands find it with a miss under
-    0.005. Null and empty texts have the fingerprint zero and are linked like any other; rows with the
+    share of bits in which the least similar pair that matters agrees on average, and bands find it but for
+    a few in a hundred. Null and empty texts have the fingerprint zero and are linked like any other; rows with the
     same id or text each give a row; an empty table gives none; other columns are ignored.
     """
     fps = written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
