@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +137,7 @@ def styles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [style(t) for t in batch.column(1).to_pylist()]
+            rows = [style(t.as_py()) for t in batch.column(1)]
             values = pa.array(rows, pa.list_(pa.float64())) if model is None else pa.array(model.score(np.array(rows).reshape(-1, len(STYLE))))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=[id_col, name])
 
@@ -166,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: F.Column, rows: int = FIT_RO
 def _styles_of_samples(picked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [style(t) for t in batch.column(0).to_pylist()]
+            rows = [style(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["style", "p", "u"])
 
     return picked.select("text", "p", "u").mapInArrow(run, "style array<double>, p boolean, u boolean")
@@ -175,9 +174,9 @@ def _styles_of_samples(picked: DataFrame) -> DataFrame:
 def scorer(model: Model):
     """An Arrow-batched function of a text column that gives its score, for filtering rows where they stand."""
 
-    @F.pandas_udf("double")
-    def scored(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([style(t) for t in text]).reshape(-1, len(STYLE))))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.array([style(t.as_py()) for t in text]).reshape(-1, len(STYLE))))
 
     return scored
 

@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t, shingle), words) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(shingle_hashes(t.as_py(), shingle), words) for t in batch.column(1)]  # one text at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=[id_col, "fp"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, fp binary")
@@ -662,8 +662,8 @@ def shingle_sets(docs: DataFrame, shingle: int, words: int, id_col: str, text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets, size, at = [], [], 0, 0
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                h = np.unique(shingle_hashes(text, shingle))
+            for k, text in enumerate(batch.column(1)):
+                h = np.unique(shingle_hashes(text.as_py(), shingle))  # one text at a time
                 nodes.append(fingerprint(h, words) + xxhash.xxh64_digest(h.tobytes()))
                 if not with_set:
                     continue
