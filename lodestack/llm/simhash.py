@@ -28,7 +28,7 @@ from .common import components, dropped, freed, looked_up, mark, picked, written
 #: Rows of a bucket above which it is dealt anew by further bits.
 REFINE_ROWS = 16_384
 #: Runs up to this length are compared by shifts, longer ones by growing components.
-SHIFT_RUN = 1_024
+SHIFT_RUN = 128
 #: Lanes that are compared together.
 LANES = 32_768
 #: Rounds in which each row is paired with its nearest alone, before all pairs between components are looked at.
@@ -388,12 +388,21 @@ def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, last
     out += pairs[~both].tolist()
     crowd += _forest(pairs[both].tolist())
     for b, n in long:
-        found = dict(_near_rows(fps[b : b + n], label[b : b + n], radius))
-        asked_by = np.bincount(np.concatenate([*found.values(), np.zeros(0, np.int64)]), minlength=n)  # rows of the commonest label don't ask themselves
-        many = {at for at in range(n) if (len(found[at]) if at in found else asked_by[at]) > LISTED}
-        for at, near in found.items():
-            out += [(b + at, b + x) for x in near.tolist() if not (at in many and x in many)]
-        crowd += [(b + x, b + y) for x, y in _forest([(at, x) for at, near in found.items() if at in many for x in near.tolist() if x in many])]
+        # near rows are gone through twice rather than held: of a dense run they are the square of its rows
+        asks, n_near = np.zeros(n, bool), np.zeros(n, np.int64)
+        asked_by = np.zeros(n, np.int64)  # rows of the commonest label don't ask themselves
+        for at, near in _near_rows(fps[b : b + n], label[b : b + n], radius):
+            asks[at], n_near[at] = True, len(near)
+            asked_by[near] += 1
+        many = np.where(asks, n_near, asked_by) > LISTED
+        group = np.arange(n)
+        for at, near in _near_rows(fps[b : b + n], label[b : b + n], radius):
+            inside = near[many[near]] if many[at] else near[:0]
+            out += [(b + at, b + x) for x in (near[~many[near]] if many[at] else near).tolist()]
+            if len(inside):
+                met = np.setdiff1d(group[inside], group[at])
+                crowd += [(b + at, b + x) for x in met.tolist()]  # a group is named by one of its rows
+                group[np.isin(group, met)] = group[at]
     return out, crowd
 
 
