@@ -20,7 +20,7 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, dropped, freed, looked_up, mark, picked, written
@@ -33,14 +33,12 @@ SHIFT_RUN = 128
 LANES = 32_768
 #: Rounds in which each row is paired with its nearest alone, before all pairs between components are looked at.
 ROUNDS = 2
-#: Near rows of other components up to which a row's pairs are listed; a row with more belongs to a crowd, whose sets meet in blocks.
-LISTED = 32
+#: Near pairs for each row of a run up to which these are listed; the rows of a run with more belong to crowds, whose sets meet in blocks.
+LISTED = 1
 #: Elements of sets that a block of a crowd holds.
 CROWD_ELEMENTS = 4_000_000
 #: Tables of an index that are dealt together, so that what is on disk doesn't grow with their number.
 TABLES = 12
-#: Times the last round deals a large bucket anew, by STEPS choices of STEP_BITS bits each.
-LEVELS, STEPS, STEP_BITS = 6, 12, 6
 _MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # fixed values: odd 64-bit mixing constants
 
 
@@ -361,9 +359,9 @@ def _split_runs(run: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
 def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, last: bool) -> tuple[list, list]:
     """(pairs, crowd) of near rows of equal run and differing labels; rows are fingerprints, digests and labels.
 
-    Unless last, each row has a pair with its nearest, and no row that is near another is in none. In the last round a row is paired with all its near
-    rows, up to LISTED of them; rows with more are a crowd, and crowd holds edges that join those near each
-    other, so a near pair is listed from one side or both rows are in one crowd.
+    Unless last, each row has a pair with its nearest, and no row that is near another is in none. In the last round a short run's
+    near pairs are listed if there are no more than LISTED for each of its rows. Else, and of long runs, crowd holds edges of a forest, so
+    that the rows of a near pair are in one crowd; nothing is left out, and what is given grows with the rows, not with the pairs.
     """
     fps, label = rows[:, :width], np.ascontiguousarray(rows[:, -8:]).view(np.uint64)[:, 0]
     rank = np.ascontiguousarray(rows[:, width : width + 8]).view(np.uint64)[:, 0]
@@ -383,26 +381,17 @@ def _candidates(rows: np.ndarray, run: np.ndarray, radius: int, width: int, last
                     least[nearer], by[nearer] = far[far < least[near]], at
             out += [(b + x, b + int(by[x])) for x in np.flatnonzero(least < 1 << 30).tolist()]
         return out, crowd
-    many = np.bincount(pairs.ravel(), minlength=len(rows)) > LISTED
-    both = many[pairs].all(axis=1)
-    out += pairs[~both].tolist()
-    crowd += _forest(pairs[both].tolist())
+    _, which = np.unique(run, return_inverse=True)
+    dense = (np.bincount(which[pairs[:, 0]], minlength=len(rows)) > LISTED * np.bincount(which, minlength=len(rows)))[which[pairs[:, 0]]]
+    out += pairs[~dense].tolist()
+    crowd += _forest(pairs[dense].tolist())
     for b, n in long:
-        # near rows are gone through twice rather than held: of a dense run they are the square of its rows
-        asks, n_near = np.zeros(n, bool), np.zeros(n, np.int64)
-        asked_by = np.zeros(n, np.int64)  # rows of the commonest label don't ask themselves
-        for at, near in _near_rows(fps[b : b + n], label[b : b + n], radius):
-            asks[at], n_near[at] = True, len(near)
-            asked_by[near] += 1
-        many = np.where(asks, n_near, asked_by) > LISTED
-        group = np.arange(n)
-        for at, near in _near_rows(fps[b : b + n], label[b : b + n], radius):
-            inside = near[many[near]] if many[at] else near[:0]
-            out += [(b + at, b + x) for x in (near[~many[near]] if many[at] else near).tolist()]
-            if len(inside):
-                met = np.setdiff1d(group[inside], group[at])
-                crowd += [(b + at, b + x) for x in met.tolist()]  # a group is named by one of its rows
-                group[np.isin(group, met)] = group[at]
+        root = np.arange(n)
+        for x, r in _forest(_grown(fps[b : b + n], radius)):
+            root[x] = r
+        mixed = np.zeros(n, bool)
+        mixed[root[label[b : b + n] != label[b + root]]] = True  # what is near only rows of its own label has nothing to be held against
+        crowd += [(b + x, b + int(root[x])) for x in np.flatnonzero(mixed[root] & (root != np.arange(n))).tolist()]
     return out, crowd
 
 
@@ -453,8 +442,8 @@ def _edge_batches(fps: np.ndarray, pairs: list, **more: pa.Scalar) -> Iterator[p
 FOUND = "u binary, v binary, crowd boolean, path int, key long, fp binary"
 
 
-def _searched(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
-    """What pairs_of finds in buckets (path, key): rows (u, v, crowd); of a bucket of over REFINE_ROWS rows nothing but these: (path, key, fp)."""
+def _searched(dealt: DataFrame, pairs_of: Callable, most: int | None) -> DataFrame:
+    """What pairs_of finds in buckets (path, key): rows (u, v, crowd); of a bucket of over `most` rows nothing but these: (path, key, fp)."""
     none = pa.scalar(None, pa.int32()), pa.scalar(None, pa.int64()), pa.scalar(None, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +451,7 @@ def _searched(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
         for fps, runs, path, key in _runs(batches):
             begins = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
             sizes = np.diff(np.r_[begins, len(runs)])
-            large = np.repeat(sizes > REFINE_ROWS, sizes)
+            large = np.repeat(sizes > (most or len(runs)), sizes)
             for at in np.array_split(np.flatnonzero(large), -(-int(large.sum()) // 65_536) or 1):
                 if len(at):
                     gone = [pa.nulls(len(at), t) for t in (pa.binary(), pa.binary(), pa.bool_())]
@@ -475,21 +464,6 @@ def _searched(dealt: DataFrame, pairs_of: Callable) -> DataFrame:
     return dealt.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, FOUND)
 
 
-def _redealt(dealt: DataFrame, bits: int, level: int) -> DataFrame:
-    """Rows (path, key, fp) for each of STEPS choices of further bits; the new key takes in the old path and key."""
-    chosen = [np.random.default_rng([level, c]).permutation(bits)[:STEP_BITS].tolist() for c in range(STEPS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = _matrix(batch.column(2))[:, : bits // 8]
-            old = batch.column(1).to_numpy().view(np.uint64) ^ (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(_MIX[2]))
-            for c, positions in enumerate(chosen):
-                new = (_keys(fps, positions, c) ^ old) * np.uint64(_MIX[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), c, np.int32)), pa.array((new ^ new >> np.uint64(32)).view(np.int64)), batch.column(2)], names=["path", "key", "fp"])
-
-    return dealt.select("path", "key", "fp").mapInArrow(run, "path int, key long, fp binary")
-
-
 def links(distinct: DataFrame, index: Blocks, pairs_of: Callable | None = None) -> DataFrame:
     """Edges (u, v) that connect just what the exact index finds within the radius, at most one a row and table.
 
@@ -516,78 +490,85 @@ def _round(labelled: DataFrame, index: Bands, width: int, last: bool) -> tuple[D
     """(found(u, v, crowd), rows(fp) of large buckets, whether there are any) of labelled(fp: fingerprint, digest, label).
 
     Large buckets, of over REFINE_ROWS rows, are told by the tasks that come upon them. In an early round
-    they are taken in parts: a row's nearest in a part is near enough. In the last, rows of a large
-    bucket's commonest label are dealt to parts, in each of which all others are held against them:
-    all pairs of differing labels, whatever the size of that label. Only a bucket in which over
-    REFINE_ROWS rows have other labels is dealt anew by further bits, by enough choices to miss one in 300
-    of the pairs that agree in 0.85 of their bits; after LEVELS of these its parts are taken as they come.
+    they are taken in parts: a row's nearest in a part is near enough. In the last, any two parts meet but those
+    of a large bucket's commonest label: all pairs of differing labels, whatever the size of the bucket.
     """
     pairs_of = partial(_candidates, radius=index.radius, width=width, last=last)
     by, found = ["path", "key"], []
 
-    def searched(dealt: DataFrame) -> DataFrame:
-        out = written(_searched(dealt, pairs_of), "searched")
+    def searched(dealt: DataFrame, most: int | None) -> DataFrame:
+        out = written(_searched(dealt, pairs_of, most), "searched")
         freed(labelled.sparkSession)
         found.append(out.where("u is not null").select("u", "v", "crowd"))
         return out.where("fp is not null").select(*by, "fp")
 
     roots = index.roots()
-    left = [searched(_dealt(labelled, index, roots[at : at + TABLES], None)) for at in range(0, len(roots), TABLES)]
+    left = [searched(_dealt(labelled, index, roots[at : at + TABLES], None), REFINE_ROWS) for at in range(0, len(roots), TABLES)]
     crowded = reduce(DataFrame.unionByName, left)
-    any_left, hot = not crowded.isEmpty(), crowded
-    for level in range(LEVELS if any_left else 0):
-        label = F.substring("fp", width + 9, 8)
-        sizes = hot.groupBy(*by, label.alias("label")).count().groupBy(*by).agg(F.sum("count").alias("n"), F.max_by("label", "count").alias("top"), F.max("count").alias("most"))
-        sizes = written(sizes, "large")
-        rows = hot.join(sizes, by)
-        final = level + 1 == LEVELS
-        whole = F.lit(True) if not last or final else F.col("n") - F.col("most") <= REFINE_ROWS
-        many = F.col("n") if not last or final else F.col("most")
-        parts = F.ceil(2 * many / REFINE_ROWS)
-        own = F.array(F.pmod(F.xxhash64("fp"), parts))
-        everywhere = F.lit(last and not final) & (label != F.col("top"))
-        split = rows.where(whole).withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
-        # a part holds at most half of REFINE_ROWS, and as many again of other labels
-        searched(split.select("path", F.xxhash64("key", "part").alias("key"), "fp"))
-        if not last or final or sizes.where(~whole).isEmpty():
-            break
-        left = searched(_redealt(rows.where(~whole), index.bits, level))
-        if left.isEmpty():
-            break
-        hot = left
+    any_left = not crowded.isEmpty()
+    if any_left:
+        if last:
+            rows = _met(crowded.withColumn("label", F.substring("fp", width + 9, 8)), by, F.lit(1), REFINE_ROWS // 2, "fp")
+            parted = rows.select("path", F.xxhash64("key", "i", "j").alias("key"), "fp")
+        else:
+            sizes = written(crowded.groupBy(*by).count(), "large")
+            part = F.pmod(F.xxhash64("fp"), F.ceil(2 * F.col("count") / REFINE_ROWS))
+            parted = crowded.join(sizes, by).select("path", F.xxhash64("key", part).alias("key"), "fp")
+        searched(parted, None)
     return reduce(DataFrame.unionByName, found), crowded.select("fp"), any_left
 
 
+def _met(rows: DataFrame, by: list[str], weight: Column, most: int, spread: str) -> DataFrame:
+    """rows(.., label) of each group, dealt to parts so that any two rows of differing labels meet in some pair (i, j) of parts.
+
+    Parts have about `most` of the weight. Those of a group's commonest label, the last, don't meet each other; so a group of one large
+    label and few others grows with its rows. part: the row's own; inside: of the pairs with part i, the one in which its rows meet each other.
+    """
+    sizes = rows.groupBy(*by, "label").agg(F.sum(weight).alias("n")).groupBy(*by)
+    sizes = sizes.agg(F.max_by("label", "n").alias("top"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("others"))
+    sizes = sizes.where("others > 0").withColumn("a", F.ceil(F.col("others") / most)).withColumn("b", F.ceil(F.col("most") / most))
+    top, at = F.col("label") == F.col("top"), F.xxhash64(spread)
+    placed = rows.join(written(sizes, "large"), by).withColumn("part", F.when(top, F.col("a") + F.pmod(at, "b")).otherwise(F.pmod(at, "a")))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(top, F.col("a")).otherwise(F.col("a") + F.col("b")) - 1))).where("part <> other")
+    met = met.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("inside", F.col("j") == F.col("a"))
+    return met.drop("top", "most", "others", "a", "b", "other")
+
+
 def crowd_pairs(crowds: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Edges (u, v) that connect those rows of a crowd whose sets have a Jaccard similarity of `least` or more.
 
-    crowds(node, root), sets(node, hashes). All pairs of a crowd are looked at, in blocks of CROWD_ELEMENTS
-    elements of sets of which two meet in a task; a task gives a forest, never its pairs.
+    crowds(node, root[, label]), sets(node, hashes); rows of one label are connected already. All pairs of a crowd's
+    labels are looked at, in blocks of CROWD_ELEMENTS elements of sets of which two meet in a task; a task gives a forest, never its pairs.
     """
-    rows = crowds.join(sets, "node")
-    blocks = rows.groupBy("root").agg(F.ceil(F.sum(F.size("hashes") + 1) / CROWD_ELEMENTS).alias("blocks"))
-    placed = rows.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "hashes")
+    rows = (crowds if "label" in crowds.columns else crowds.withColumn("label", F.col("node"))).join(sets, "node")
+    met = _met(rows, ["root"], F.size("hashes") + 1, CROWD_ELEMENTS, "node").select("root", "i", "j", "part", "inside", "node", "label", "hashes")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        nodes, sets_ = table.column("node").to_pylist(), table.column("hashes").chunk(0)
+        table = table.sort_by("part").combine_chunks()
+        nodes, sets_ = table.column("node"), table.column("hashes").chunk(0)
         sizes = sets_.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         _, ids = np.unique(sets_.flatten().to_numpy(), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         flag, filled = np.zeros(int(ids.max(initial=-1)) + 1, bool), np.flatnonzero(sizes)
-        one = np.array(table.column("block").to_pylist()) == table.column("i")[0].as_py()
-        pairs = []
-        for a in filled[one[filled]].tolist():
+        group = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        n_own = int((table.column("part").to_numpy() == table.column("i")[0].as_py()).sum())
+        first = 0 if table.column("inside")[0].as_py() else n_own
+        asked = filled[filled >= first]
+        edges = []
+        for a in filled[filled < n_own].tolist():
+            wanted = (group[asked] != group[a]) & (np.minimum(sizes[asked], sizes[a]) >= least * np.maximum(sizes[asked], sizes[a]))
+            if not wanted.any():
+                continue
             mine = ids[starts[a] : starts[a] + sizes[a]]
             flag[mine] = True
-            both = np.add.reduceat(flag[ids], starts[filled], dtype=np.int64)
+            both = np.add.reduceat(flag[ids[starts[asked[0]] :]], starts[asked] - starts[asked[0]], dtype=np.int64)
             flag[mine] = False
-            alike = filled[both / (sizes[a] + sizes[filled] - both) >= least]
-            pairs += [(a, b) for b in alike.tolist() if b != a]
-        edges = _forest(pairs)
-        return pa.table({"u": pa.array([nodes[a] for a, _ in edges], pa.binary()), "v": pa.array([nodes[b] for _, b in edges], pa.binary())})
+            alike = asked[wanted & (both / (sizes[a] + sizes[asked] - both) >= least)]
+            linked, at = np.unique(group[alike], return_index=True)
+            edges += [(a, b) for b in alike[at].tolist()]
+            group[np.isin(group, linked)] = group[a]
+        u, v = np.array(edges, np.int64).reshape(-1, 2).T
+        return pa.table({"u": nodes.take(pa.array(u)), "v": nodes.take(pa.array(v))})
 
     return met.groupBy("root", "i", "j").applyInArrow(compare, "u binary, v binary")
 
@@ -597,7 +578,8 @@ def banded_components(nodes: DataFrame, index: Bands, width: int, verified: Call
 
     Rounds first pair each row with its nearest of another component, then all that lie between the
     components so found; a round takes only the rows that had a pair in the one before. verified(pairs(u, v))
-    gives those that hold; crowded(crowds(node, root)) gives edges that connect what holds within crowds.
+    gives those that hold; crowded(crowds(node, root, label)) gives edges that connect what holds within crowds, where
+    rows of one label are connected already.
     """
     cut = lambda c: F.substring(c, 1, width + 8)
     labelled = nodes.select(F.concat("node", F.substring("node", width + 1, 8)).alias("fp"))
@@ -615,7 +597,9 @@ def banded_components(nodes: DataFrame, index: Bands, width: int, verified: Call
         tried = listed if tried is None else tried.unionByName(listed)
         new = written(verified(listed), "similar")
         if last and not (crowd := written(pairs.where("crowd").select("u", "v"), "crowd-edges")).isEmpty():
-            new = new.unionByName(written(crowded(components(crowd)), "crowd-links"))
+            known = components(crowd)
+            known = known.join(found.withColumnRenamed("root", "label"), "node", "left") if found is not None else known.withColumn("label", F.col("node"))
+            new = new.unionByName(written(crowded(known.withColumn("label", F.coalesce("label", "node"))), "crowd-links"))
         edges = new if edges is None else edges.unionByName(new)
         found = components(edges)
         freed(nodes.sparkSession)
