@@ -35,6 +35,8 @@ GROUP_CHARS = 2_000_000
 TOGETHER = 64
 #: Entries a worker keeps of each table, twice where old ones are kept too; so memory is bounded.
 TABLE_ENTRIES = 300_000
+#: The same for single words, and the characters of texts whose words are found together.
+WORD_ENTRIES, WORDS_GROUP_CHARS = 100_000, 1_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -357,14 +359,137 @@ class Kept:
         yield from self.values(group)
 
 
-_made: dict[tuple[str, str], Kept] = {}
+#: What a character is to the split into words; the last are left to the library's own tables.
+SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 
 
-def packed_ids(path: str) -> Kept:
-    """chunk -> its ids as little-endian unsigned 32-bit numbers."""
+def character_kinds() -> np.ndarray:
+    """The kind of each character under 2 to the power 17; that of the last one stands for all above, too."""
+    every = "".join(map(chr, range(1 << 17)))
+    kinds = np.full(1 << 17, OTHER, np.uint8)
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    kinds[[k for k, c in enumerate(every) if unicodedata.category(c) in ("Cn", "Cs")]] = UNSURE
+    return kinds
+
+
+class PackedTexts:
+    """Texts -> their ids as little-endian unsigned 32-bit numbers.
+
+    The words of a group of texts are found and told apart in arrays, and only distinct ones of some
+    groups are looked up. Texts with special tokens or characters of an unsure kind go chunk by chunk.
+    The table of words in use becomes the old one when full, so memory is bounded.
+    """
+
+    def __init__(self, bpe: WordBPE, entries: int = WORD_ENTRIES, group: int = WORDS_GROUP_CHARS, together: int = 8):
+        self.bpe, self.entries, self.group, self.together, self.chunked, self.kinds = bpe, entries, group, together, Kept(bpe), character_kinds()
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of_texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Each text's ids; a null text has none."""
+        found, group, size = [], [], 0
+        for text in texts:
+            group.append(text or "")
+            size += len(text or "")
+            if size >= self.group:
+                found.append(self.words(group))
+                group, size = [], 0
+                if len(found) == self.together:
+                    yield from self.ids(found)
+                    found = []
+        yield from self.ids([*found, self.words(group)])
+
+    def words(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, dict[int, bytes]]:
+        """The words of all texts, how many there are up to each text's end, and the ids of those that go chunk by chunk."""
+        special = self.bpe.split_added
+        apart = {k for k, t in enumerate(texts) if special and "<|" in t and special.search(t)}
+        # letter by letter, as the library does: no rule for a sigma at a word's end
+        plain = ["" if k in apart else (t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ")).lower() for k, t in enumerate(texts)]
+        while True:
+            ends = np.cumsum([len(t) + 1 for t in plain], dtype=np.int64)
+            text = "\n".join([*plain, "\n\n"])
+            symbols = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            kinds = np.take(self.kinds, symbols, mode="clip")
+            unsure = np.flatnonzero(kinds == UNSURE)
+            if not len(unsure):
+                break
+            for k in np.unique(np.searchsorted(ends, unsure, "right")).tolist():
+                apart.add(k)
+                plain[k] = ""
+        starts = self.word_starts(symbols, kinds)
+        rest = sorted(apart)
+        ids = {k: b"".join(parts) for k, parts in zip(rest, self.chunked.values([chunks(texts[k]) for k in rest]))}
+        return self.words_at(text, symbols, kinds, starts).dictionary_encode(), np.searchsorted(starts, ends), ids
+
+    def ids(self, found: list[tuple]) -> Iterator[bytes]:
+        every = pa.concat_arrays([words.dictionary for words, _, _ in found]).dictionary_encode()
+        ids, codes, at = self.of_words(every.dictionary.to_pylist()), every.indices.to_numpy(), 0
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        for words, bounds, apart in found:
+            code = codes[at : at + len(words.dictionary)][words.indices.to_numpy()]
+            at += len(words.dictionary)
+            n = sizes[code]
+            till = np.concatenate([[0], np.cumsum(n)])
+            flat = pool[np.repeat(first[code] - till[:-1], n) + np.arange(till[-1])].tobytes()
+            ends = (4 * till[bounds]).tolist()
+            for k, (a, b) in enumerate(zip([0, *ends], ends)):
+                yield apart[k] if k in apart else flat[a:b]
+
+    @staticmethod
+    def word_starts(symbols: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Where the words begin: runs of letters or of others, single numbers, and an apostrophe with the letters of a short form. Two line ends come last."""
+        begins = np.empty(len(kinds), bool)
+        begins[0] = True
+        begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == NUMBER)
+        mark = np.flatnonzero((symbols == ord("'")) & begins)
+        one, two = symbols[mark + 1], symbols[mark + 1] << 8 | symbols[mark + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        both = np.isin(two, [ord(a) << 8 | ord(b) for a, b in ("re", "ve", "ll")]) & (symbols[mark + 2] < 256)
+        begins[mark[short | both] + 1] = False
+        begins[mark[short] + 2] = True
+        begins[mark[both] + 3] = True
+        return np.flatnonzero(begins & (kinds != SPACE))
+
+    @staticmethod
+    def words_at(text: str, symbols: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+        data, solid = np.frombuffer(text.encode(), np.uint8), kinds != SPACE
+        if len(data) == len(symbols):
+            width = solid
+        else:
+            width = (1 + (symbols >= 0x80).view(np.uint8) + (symbols >= 0x800) + (symbols >= 0x10000)).astype(np.uint8)
+            solid, width = np.repeat(solid, width), width * solid
+        before = np.cumsum(width, dtype=np.int32)
+        offsets = np.append(before[starts] - width[starts], before[-1]).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
+
+    def of_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        out = list(map(self.new.get, words))
+        gaps = [k for k, v in enumerate(out) if v is None]
+        if gaps:
+            missing = {words[k]: self.old.get(words[k]) for k in gaps}
+            fresh = [w for w, v in missing.items() if v is None]
+            if fresh:
+                missing.update(zip(fresh, self.bpe.automaton.encode_words(fresh, 256 if self.bpe.end else 0)))
+            for k in gaps:
+                out[k] = missing[words[k]]
+            if len(self.new) + len(missing) > self.entries:
+                self.old, self.new = self.new, {}
+            self.new.update((w, v) for w, v in missing.items() if len(w) <= 64)
+        return out
+
+
+_made: dict[tuple[str, str], Kept | PackedTexts] = {}
+
+
+def packed_ids(path: str) -> PackedTexts:
+    """One for each worker process and file."""
     key = (path, "packed")
     if key not in _made:
-        _made[key] = Kept(tokenizer(path))
+        _made[key] = PackedTexts(tokenizer(path))
     return _made[key]
 
 

@@ -47,8 +47,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
         kept = bpe.packed_ids(path)
         for batch in batches:
             rows, which, whole = [], [], []
-            for k, parts in enumerate(kept.of_texts(batch.column(1).to_pylist())):
-                data = b"".join(parts) + end
+            for k, ids in enumerate(kept.of_texts(batch.column(1).to_pylist())):
+                data = ids + end
                 n, at = len(data) // 4, 0
                 for length in cut_lengths(n, capacity):
                     part = data[4 * at : 4 * (at + length)]

@@ -35,6 +35,23 @@ def test_special_tokens_and_long_words():
         assert bpe.tokenizer(PATH).decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_packed_texts_encode_a_word_once(monkeypatch):
+    """Chunks that differ by what stands beside their words cost no encoding, in whatever group they are."""
+    rng, encoded = random.Random(2), []
+    words = ["".join(rng.choice("aeinthsr") for _ in range(rng.randint(4, 9))) for _ in range(200)]
+    texts = [" ".join(rng.choice(words) + rng.choice(".,!?;:") * rng.randint(0, 40) for _ in range(300)) for _ in range(40)]
+    texts[3:3] = [None, "", " \n", "it's 'sab x'll ''s !'t 'S 12½", "Ab <|endoftext|> 's", "日本 É\u0301 ΣΑΣ İ\x1cq", "\U00020000 a", "\ufdd0\U0001f600x 's"]
+    made = bpe.tokenizer(PATH).automaton
+    encode = made.encode_words
+    monkeypatch.setattr(made, "encode_words", lambda w, final: encoded.extend(w) or encode(w, final))
+    monkeypatch.setattr(bpe, "_made", {})
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 5_000)
+    packed = bpe.packed_ids(PATH)
+    packed.group = 5_000
+    assert [list(np.frombuffer(b"".join(x) if isinstance(x, list) else x, "<u4")) for x in packed.of_texts(texts)] == list(map(library, texts))
+    assert max(Counter(w for w in encoded if w.decode() in words).values()) == 1
+
+
 def test_automaton_is_merging_by_rank():
     rng = random.Random(1)
     for _ in range(30):
