@@ -17,7 +17,8 @@ import re
 import string
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -387,8 +388,8 @@ class PackedTexts:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def of_texts(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids; a null text has none."""
+    def of_texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Each text's ids; a null text has none. Texts are taken a group at a time."""
         found, group, size = [], [], 0
         for text in texts:
             group.append(text or "")
@@ -478,7 +479,7 @@ class PackedTexts:
                 out[k] = missing[words[k]]
             if len(self.new) + len(missing) > self.entries:
                 self.old, self.new = self.new, {}
-            self.new.update((w, v) for w, v in missing.items() if len(w) <= 64)
+            self.new.update(islice(((w, v) for w, v in missing.items() if len(w) <= 64), self.entries))
         return out
 
 

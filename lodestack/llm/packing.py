@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
         kept = bpe.packed_ids(path)
         for batch in batches:
             rows, which, whole = [], [], []
-            for k, ids in enumerate(kept.of_texts(batch.column(1).to_pylist())):
+            for k, ids in enumerate(kept.of_texts(t.as_py() for t in batch.column(1))):
                 data = ids + end
                 n, at = len(data) // 4, 0
                 for length in cut_lengths(n, capacity):

@@ -52,6 +52,16 @@ def test_packed_texts_encode_a_word_once(monkeypatch):
     assert max(Counter(w for w in encoded if w.decode() in words).values()) == 1
 
 
+def test_packing_workers_hold_few_words(monkeypatch):
+    """A worker goes on living in the pipeline's other stages, so what it keeps of texts is small."""
+    monkeypatch.setattr(bpe, "_made", {})
+    packed = bpe.packed_ids(PATH)
+    texts = [" ".join("".join("abcdefghij"[int(d)] for d in str(n)) for n in range(k, k + 1_000)) for k in range(10**6, 10**6 + 450_000, 1_000)]
+    got = [b"".join(x) if isinstance(x, list) else x for x in packed.of_texts(texts)]
+    assert all(list(np.frombuffer(got[k], "<u4")) == library(texts[k]) for k in (0, 222, 449))
+    assert len(packed.new) + len(packed.old) <= 200_000
+
+
 def test_automaton_is_merging_by_rank():
     rng = random.Random(1)
     for _ in range(30):
