@@ -402,6 +402,10 @@ class PackedTexts:
                     found = []
         yield from self.ids([*found, self.words(group)])
 
+    def forget(self) -> None:
+        """Drop what is kept of texts."""
+        self.new, self.old, self.chunked = {}, {}, Kept(self.bpe)
+
     def words(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, dict[int, bytes]]:
         """The words of all texts, how many there are up to each text's end, and the ids of those that go chunk by chunk."""
         special = self.bpe.split_added

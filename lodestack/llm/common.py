@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -53,6 +54,14 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Give memory that this process has freed back to the machine; a worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     _paths.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
     return _paths[-1]

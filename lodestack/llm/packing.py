@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import numbered, written
+from .common import numbered, trimmed, written
 
 #: Classes whose pieces are cut to a share of the capacity; shorter rests stay whole.
 CUT_CLASSES = 64
@@ -43,27 +43,31 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], dtype="<u4").tobytes()
 
+    def cut(kept: bpe.PackedTexts, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, which, whole = [], [], []
+        for k, ids in enumerate(kept.of_texts(t.as_py() for t in batch.column(1))):
+            data = ids + end
+            n, at = len(data) // 4, 0
+            for length in cut_lengths(n, capacity):
+                part = data[4 * at : 4 * (at + length)]
+                rows.append((at, length, zlib.crc32(part), n))
+                which.append(k)
+                if with_ids:
+                    whole.append(np.frombuffer(part, "<u4").tolist())
+                at += length
+        cols = zip(*rows) if rows else [()] * 4
+        arrays = [batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)]
+        names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
+        if with_ids:
+            arrays.append(pa.array(whole, pa.list_(pa.int64())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = bpe.packed_ids(path)
-        for batch in batches:
-            rows, which, whole = [], [], []
-            for k, ids in enumerate(kept.of_texts(t.as_py() for t in batch.column(1))):
-                data = ids + end
-                n, at = len(data) // 4, 0
-                for length in cut_lengths(n, capacity):
-                    part = data[4 * at : 4 * (at + length)]
-                    rows.append((at, length, zlib.crc32(part), n))
-                    which.append(k)
-                    if with_ids:
-                        whole.append(np.frombuffer(part, "<u4").tolist())
-                    at += length
-            cols = zip(*rows) if rows else [()] * 4
-            arrays = [batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)]
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                arrays.append(pa.array(whole, pa.list_(pa.int64())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        yield from (cut(kept, batch) for batch in batches)
+        kept.forget()  # the worker lives on, idle or in other stages
+        trimmed()
 
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -62,6 +63,19 @@ def test_packing_workers_hold_few_words(monkeypatch):
     assert len(packed.new) + len(packed.old) <= 200_000
 
 
+def test_packing_leaves_no_words_behind(spark, docs):
+    """What workers keep of texts goes when a task ends."""
+    packing.pieces(docs.repartition(4), PATH, 4096, 2).collect()
+
+    def kept(batches):
+        list(batches)
+        made = bpe._made.get((PATH, "packed"))
+        yield pa.RecordBatch.from_pydict({"n": [-1 if made is None else len(made.new) + len(made.old)]})
+
+    found = [r["n"] for r in spark.range(64).repartition(64).mapInArrow(kept, "n long").collect()]
+    assert max(found) == 0
+
+
 def test_automaton_is_merging_by_rank():
     rng = random.Random(1)
     for _ in range(30):
