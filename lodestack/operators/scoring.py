@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp, identifiers, keywords, round_half_even, strip
-from .search import cosine
 
 # Words that don't count as grounding.
 STOP_WORDS = (
@@ -67,37 +69,134 @@ def existing_for(chunks: DataFrame, requirement: str | None) -> DataFrame:
     return chunks.where((F.col("content_type") == "test_case") & (F.lit(wanted == "") | (own == "") | F.startswith(own, F.lit(wanted))))
 
 
-#: Bytes of case vectors that are sent to all tasks at once.
+#: Bytes of vectors that a block holds of either side, as doubles.
 BLOCK_BYTES = 32 << 20
+#: Products of a block that are looked at together, and buckets that values of `by` are dealt into.
+BLOCK_PRODUCTS, BY_BUCKETS = 1 << 22, 64
 
 
 def closest(cases: DataFrame, existing: DataFrame, key: str, vec: str, existing_key: str, existing_vec: str, by: str | None = None) -> DataFrame:
     """(key, closest, similarity) of each case over all existing ones; the smaller id of equals; no row without existing ones.
 
-    by: a column of both whose value narrows a case to the existing records that have it, by an equi-join.
-    Without, a stated set of cases meets all records in blocks: as many cases as BLOCK_BYTES holds are
-    broadcast at a time, and their pairs stream through a map-side maximum, so only a row a case and task
-    is shuffled. Cases are counted for that; keys repeat as they like.
+    by: a column of both whose value narrows a case to the existing records that have it.
+    Both sides are dealt into blocks of about BLOCK_BYTES, and each block of cases meets each of records in a
+    task of its own, by matrix products; what these leave within their error of the best is worked out as
+    cosine() does it. A row a case and block is shuffled. Cases and records are counted for that; keys repeat as they like.
     """
-    own = [by] if by else []
-    e = existing.select(*own, F.col(existing_key).alias("e_id"), F.col(existing_vec).alias("e_vec"))
-    c = cases.select(*own, key, F.col(vec).alias("c_vec"))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        sim = clamp(cosine(F.col("c_vec"), F.col("e_vec")))
-        most = pairs.select(key, "e_id", sim.alias("similarity")).groupBy(key).agg(F.max(F.struct("similarity", (-F.col("e_id")).alias("below"))).alias("b"))
-        return most.select(key, (-F.col("b.below")).alias("closest"), F.col("b.similarity").alias("similarity"))
-
-    if by:
-        return best(c.join(e, by))
-    size = c.agg(F.coalesce(F.sum(F.size("c_vec") * 8 + 64), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    out = None
-    for k in range(blocks):
-        block = c if blocks == 1 else c.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
-        part = best(e.join(F.broadcast(block)))  # about BLOCK_BYTES
-        out = part if out is None else out.unionByName(part)
-    return out
+    value = F.col(by) if by else F.lit(0)
+    c = cases.select(value.alias("v"), F.col(key).alias("id"), F.col(vec).alias("vec"))
+    e = existing.select(value.alias("v"), F.col(existing_key).alias("id"), F.col(existing_vec).alias("vec"))
+    held = F.coalesce(F.sum((F.greatest(F.size("vec"), F.lit(0)) * 8 + 64).cast("long")), F.lit(0))
+    c_bytes, e_bytes = c.agg(held).first()[0], e.agg(held).first()[0]
+    least = min(cases.sparkSession.sparkContext.defaultParallelism, e_bytes >> 19)  # tasks, but none for half a megabyte
+    c_blocks, e_blocks = max(1, -(-c_bytes // BLOCK_BYTES)), max(1, least, -(-e_bytes // BLOCK_BYTES))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        bucket = F.pmod(F.xxhash64("v"), F.lit(BY_BUCKETS)).alias("b")
+        return df.where("v is not null").select(bucket, F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>")).alias(other), "v", "id", "vec")
+
+    at = ["b", "cb", "eb"]
+    met = dealt(c, "cb", c_blocks, "eb", e_blocks).groupBy(*at).cogroup(dealt(e, "eb", e_blocks, "cb", c_blocks).groupBy(*at))
+    kinds = f"id {c.schema['id'].dataType.simpleString()}, e_id {e.schema['id'].dataType.simpleString()}, similarity double"
+    pairs = met.applyInArrow(closest_in_block, kinds)
+    most = pairs.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("e_id")).alias("below"))).alias("b"))
+    return most.select(F.col("id").alias(key), (-F.col("b.below")).alias("closest"), F.col("b.similarity").alias("similarity"))
+
+
+def closest_in_block(cases: pa.Table, records: pa.Table) -> pa.Table:
+    """(id, e_id, similarity) of each case of (v, id, vec) with its closest record of its v.
+
+    No similarity is below 0, so the record of the smallest id stands for all that aren't above 0: vectors that
+    are null, zero, of other lengths or hold nulls among them.
+    """
+    (c_of, c_v), (e_of, e_v) = _rows_by(cases["v"]), _rows_by(records["v"])
+    at, ids, similarity = [], [], []
+    for v in c_v.keys() & e_v.keys():
+        own, other = c_of[c_v[v]], e_of[e_v[v]]
+        other_ids = records["id"].take(pa.array(other)).to_numpy()
+        best, best_id = np.zeros(len(own)), np.full(len(own), other_ids.min())
+        c_vectors, e_vectors = _by_length(cases["vec"].take(pa.array(own))), _by_length(records["vec"].take(pa.array(other)))
+        for n in c_vectors.keys() & e_vectors.keys():
+            _take_best(*c_vectors[n], e_vectors[n][1], other_ids[e_vectors[n][0]], best, best_id)
+        at.append(own)
+        ids.append(best_id)
+        similarity.append(best)
+    kinds = [cases["id"].type, records["id"].type, pa.float64()]
+    if not at:
+        return pa.table([pa.array([], k) for k in kinds], names=["id", "e_id", "similarity"])
+    found = [cases["id"].take(pa.array(np.concatenate(at))), pa.array(np.concatenate(ids), kinds[1]), pa.array(np.concatenate(similarity))]
+    return pa.table(found, names=["id", "e_id", "similarity"])
+
+
+def _rows_by(values: pa.ChunkedArray) -> tuple[list[np.ndarray], dict]:
+    """(rows of each value, {value: its place there})."""
+    coded = values.combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))
+    return np.split(order, ends[:-1]), {v: k for k, v in enumerate(coded.dictionary.to_pylist())}
+
+
+def _by_length(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (rows, their vectors as doubles)} of those that are neither null, empty nor hold a null."""
+    col = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    sizes = np.maximum(pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    flat = col.flatten()
+    numbers = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+    usable = sizes > 0
+    if flat.null_count:
+        usable &= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[flat.is_null().to_numpy(zero_copy_only=False)], minlength=len(sizes)) == 0
+    return {int(n): (rows := np.flatnonzero(usable & (sizes == n)), numbers[starts[rows][:, None] + np.arange(n)]) for n in np.unique(sizes[usable])}
+
+
+def _take_best(rows: np.ndarray, c: np.ndarray, e: np.ndarray, e_ids: np.ndarray, best: np.ndarray, best_id: np.ndarray) -> None:
+    """Put each case's highest similarity, clamped, and the smallest id that has it into best and best_id; equal vectors are met once."""
+    order = np.argsort(e_ids, kind="stable")
+    e, first = np.unique(e[order] + 0.0, axis=0, return_index=True)  # no -0.0; the first is of the smallest id
+    ids = e_ids[order][first]
+    c, inverse = np.unique(c + 0.0, axis=0, return_inverse=True)
+    with np.errstate(all="ignore"):
+        (c_norm, c_unit), (e_norm, e_unit) = _units(c), _units(e)
+        error = (c.shape[1] + 16) * 1e-15
+        step = max(1, BLOCK_PRODUCTS // len(e))
+        top, top_id = np.zeros(len(c)), np.full(len(c), e_ids.min())
+        for begin in range(0, len(c), step):
+            near = c_unit[begin : begin + step] @ e_unit.T
+            least = np.maximum(np.minimum(np.fmax.reduce(near, axis=1), 1.0) - error, -error)
+            ci, ei = np.nonzero(~(near < least[:, None]))  # what isn't a number is worked out too
+            for k in range(0, len(ci), part := max(1, BLOCK_PRODUCTS // c.shape[1])):
+                x, y = ci[k : k + part] + begin, ei[k : k + part]
+                made = _cosines(c, c_norm, e, e_norm, x, y)
+                order = np.lexsort((ids[y], -made, x))
+                order = order[np.diff(x[order], prepend=-1) != 0]
+                x, made, found = x[order], made[order], ids[y[order]]
+                better = (made > top[x]) | ((made == top[x]) & (found < top_id[x]))
+                top[x[better]], top_id[x[better]] = made[better], found[better]
+    top, top_id = top[inverse.reshape(-1)], top_id[inverse.reshape(-1)]
+    better = (top > best[rows]) | ((top == best[rows]) & (top_id < best_id[rows]))
+    best[rows[better]], best_id[rows[better]] = top[better], top_id[better]
+
+
+def _units(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(norms, summed in order; unit vectors): zero for zero, no numbers where squares leave the range of doubles."""
+    squares = np.zeros(len(v))
+    for k in range(v.shape[1]):
+        squares += v[:, k] * v[:, k]
+    norm = np.sqrt(squares)
+    unit = v / np.where(norm == 0, 1.0, norm)[:, None]
+    unit[~np.isfinite(squares) | ((squares < 1e-280) & v.any(axis=1))] = np.nan
+    return norm, unit
+
+
+def _cosines(c: np.ndarray, c_norm: np.ndarray, e: np.ndarray, e_norm: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """clamp(cosine()) of pairs of rows, to the last bit."""
+    dot, size = np.zeros(len(x)), c_norm[x] * e_norm[y]
+    for k in range(c.shape[1]):
+        dot += c[x, k] * e[y, k]
+    made = np.where(size == 0, 0.0, dot / size)
+    return np.where(np.isnan(made), 1.0, np.clip(made, 0.0, 1.0))
 
 
 def combine(axes: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
