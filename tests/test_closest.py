@@ -52,3 +52,7 @@ def joined_pairs(spark, name):
 
 def test_no_pair_is_a_row_in_confidence_overall(spark):
     assert not joined_pairs(spark, "confidence_overall")
+
+
+def test_no_pair_is_a_row_in_existing_similarity(spark):
+    assert not joined_pairs(spark, "existing_similarity")
