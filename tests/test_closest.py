@@ -56,3 +56,7 @@ def test_no_pair_is_a_row_in_confidence_overall(spark):
 
 def test_no_pair_is_a_row_in_existing_similarity(spark):
     assert not joined_pairs(spark, "existing_similarity")
+
+
+def test_no_pair_is_a_row_in_existing_in_group(spark):
+    assert not joined_pairs(spark, "existing_in_group")
