@@ -53,15 +53,15 @@ def read_pages(files: DataFrame, reader: PageReader) -> tuple[DataFrame, DataFra
 
 
 def page_units(words: DataFrame, tables: DataFrame, heading_ratio: float = layout.HEADING_RATIO, table_share: float = layout.REPEAT_SHARE) -> DataFrame:
-    """Units (source_path, unit_ix, text, unit_type, locator, extra, error) of words(WORDS) and tables(TABLES).
+    """Units (source_path, unit_ix, text, unit_type, locator, extra, error) of words(WORDS), or pages of words, and tables(TABLES).
 
     Tables that don't look like one go; words within a table are its own; lines and tables that most
     pages repeat go; headings cut the rest into sections.
     """
     real = tables.where(layout.looks_tabular(F.col("cells"))).withColumn("text", layout.table_text(F.col("cells")))
-    lines = layout.group_lines(layout.outside_tables(words, real)).where(strip(F.col("text")) != "")
-    lines = layout.without_repeats(lines, share=layout.REPEAT_SHARE, least_pages=3)
-    kept = layout.without_repeats(real, share=table_share)
+    lines = layout.group_lines(layout.outside_tables(layout.paged(words), real)).where(strip(F.col("text")) != "")
+    lines = layout.without_repeats_within(lines, share=layout.REPEAT_SHARE, least_pages=3)
+    kept = layout.without_repeats_within(real, share=table_share)
     units = layout.section_units(layout.classify_headings(lines, heading_ratio), kept)
     pairs = {"page": F.col("page").cast("string"), "section_path": F.nullif(F.col("section_path"), F.lit("")), "table": F.col("table").cast("string"), "table_title": F.nullif(F.col("table_title"), F.lit(""))}
     entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items())), lambda e: e["value"].isNotNull())
