@@ -53,3 +53,8 @@ def test_pages_give_what_words_give(spark):
     headed, body = layout.classify_headings(lines), {r["doc"]: r["body_size"] for r in layout.body_size(lines).collect()}
     assert {(r["doc"], r["body_size"]) for r in headed.collect()} == set(body.items())
     assert rows(pages.page_units(words, tables)) == rows(pages.page_units(held, tables))
+
+
+def test_section_paths_shuffles_texts_once(spark):
+    found = shuffles(catalog.section_paths(spark, SF))
+    assert len(found) == 1 and "REPARTITION_BY_COL" in found[0]
