@@ -58,3 +58,8 @@ def test_pages_give_what_words_give(spark):
 def test_section_paths_shuffles_texts_once(spark):
     found = shuffles(catalog.section_paths(spark, SF))
     assert len(found) == 1 and "REPARTITION_BY_COL" in found[0]
+
+
+def test_words_outside_tables_sorts_no_words(spark):
+    plan = catalog.words_outside_tables(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert " Sort " not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
