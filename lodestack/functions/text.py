@@ -24,8 +24,10 @@ REQUIREMENT_ID = r"(?U:([A-Za-z]{1,6}\d[\w.-]*))"
 AREA_HEADING = r"(?md)^\s*\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){0,3}\s*$"
 CODE_TYPES = ("function", "class", "raw_python")
 #: Characters that compatibility composition changes neither alone nor beside each other: ASCII, Latin-1 but for its
-#: compatibility characters, and common punctuation. None combines with a character before it.
-COMPOSED = r"[^\x00-\x7F\u00A1-\u00A7\u00A9\u00AB\u00AC\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u2022\u20AC]"
+#: compatibility characters, and common punctuation. None combines with a character before it. Found is a text with
+#: another one: runs of ASCII and of the rest are passed over, as a search for a character outside asks all ranges of each.
+_ASCII, _KEPT = r"[\x00-\x7F]", r"[\u00A1-\u00A7\u00A9\u00AB\u00AC\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u00FF\u2013\u2014\u2018\u2019\u201C\u201D\u2022\u20AC]"
+COMPOSED = rf"(?s)\A{_ASCII}*+(?:{_KEPT}++{_ASCII}*+)*+."
 TRUNCATION_MARK = "\n[... example truncated - shape only, not a complete artefact]"
 
 
