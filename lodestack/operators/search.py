@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keywords, round_half_even, strip
+from ..functions.text import bound, keywords, round_half_even, strip
 
 # Fixed values of the ranking formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,7 +16,7 @@ CONTEXT_SEPARATOR = "\n\n---\n\n"
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """tokens(id, t: the row's keywords, len) and stats(term, df, n, avgdl, idf).
+    """tokens(id, t: the row's keywords, len), stats(term, df, n, avgdl, idf) and counted(term, df, rows, tokens), which these are of.
 
     Statistics are of the whole collection and the dear part, so keep them (persisted or written) for
     several queries; a query then reads the rows once and counts only the terms it asks for, within them.
@@ -24,27 +24,41 @@ class KeywordIndex:
 
     tokens: DataFrame
     stats: DataFrame
+    counted: DataFrame
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str, text_col: str) -> KeywordIndex:
-        """Over the whole collection. Each row's terms are made distinct within it, and only (term, df) is shuffled."""
+        """Over the whole collection. Each row's terms are made distinct within it, and only (term, df, rows, tokens) is shuffled.
+
+        Rows are taken apart once: a row and its length are counted with its first term, or with null for want of one.
+        Generators are outer, as an inner one has its array worked out once more to leave out empty ones.
+        """
         tokens = docs.select(F.col(id_col).alias("id"), F.coalesce(keywords(F.col(text_col)), F.array().cast("array<string>")).alias("t"))
         tokens = tokens.withColumn("len", F.size("t"))
-        whole = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-        df = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        raw = df.join(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+        terms = tokens.select(bound(F.col("t"), lambda t: F.struct(F.size(t).alias("len"), F.array_distinct(t).alias("terms"))).alias("x")).select("x.len", F.posexplode_outer("x.terms").alias("pos", "term"))
+        first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+        counted = terms.groupBy("term").agg(F.count("term").alias("df"), F.count_if(first).alias("rows"), F.sum(F.when(first, F.col("len")).otherwise(0)).alias("tokens"))
+        whole = counted.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.try_divide(F.sum("tokens"), F.sum("rows")).alias("avgdl"))
+        raw = counted.where("df > 0").select("term", "df").join(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
         mean = raw.agg(F.avg("raw").alias("mean"))
         stats = raw.join(F.broadcast(mean)).select("term", "df", "n", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        return cls(tokens, stats)
+        return cls(tokens, stats, counted)
 
     def kept(self) -> KeywordIndex:
-        """The index with its statistics held in the executors, and made anew where one is lost."""
-        return KeywordIndex(self.tokens, self.stats.persist())
-
-    def postings(self, asked: Column) -> DataFrame:
-        """(id, len, term, tf) of the terms in the array `asked` that a row has, counted within the row."""
-        own = F.filter(F.transform(asked, lambda a: F.struct(a.alias("term"), F.size(F.filter("t", lambda x: x == a)).alias("tf"))), lambda p: p["tf"] > 0)
-        return self.tokens.where(F.arrays_overlap("t", asked)).select("id", "len", F.explode(own).alias("p")).select("id", "len", "p.*")
+        """The index with its counts and statistics held in the executors, and made anew where one is lost."""
+        self.counted.persist()  # before the statistics, which then read it
+        self.stats.persist()
+        return self
+
+    def postings(self, asked: list[str]) -> DataFrame:
+        """(id, len, term, tf) of the terms `asked` that a row has, counted within the row, which is taken apart once."""
+        times = lambda t, a: F.size(F.filter(t, lambda x: x == F.lit(a)))
+        counts = lambda t: F.filter(F.array(*(F.struct(F.lit(a).alias("term"), times(t, a).alias("tf")) for a in asked)), lambda p: p["tf"] > 0)
+        if not asked:
+            return self.tokens.where("false").select("id", "len", F.lit("").alias("term"), F.lit(0).alias("tf"))
+        own = lambda t: bound(F.filter(t, lambda x: x.isin(asked)), counts)
+        found = self.tokens.select("id", bound(F.col("t"), lambda t: F.struct(F.size(t).alias("len"), own(t).alias("p"))).alias("x"))
+        return found.select("id", "x.len", F.explode_outer("x.p").alias("p")).where("p.tf > 0").select("id", "len", "p.*")
 
     def scores(self, query: str) -> DataFrame:
         """(id, score) of rows scoring above 0; query tokens count as often as they occur.
@@ -52,10 +66,11 @@ class KeywordIndex:
         Scores are rounded to nine digits, so that rows that tie do so in whatever order their terms were summed.
         """
         spark, terms = self.tokens.sparkSession, keywords(F.lit(query))
+        distinct = spark.range(1).select(terms.alias("t")).first()["t"]  # literals: a query that is no literal is taken apart for every row
         asked = spark.range(1).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
         weights = self.stats.join(F.broadcast(asked), "term")
         part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-        return self.postings(F.array_distinct(terms)).join(F.broadcast(weights), "term").groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")  # weights: a row a query term
+        return self.postings(list(dict.fromkeys(distinct or []))).join(F.broadcast(weights), "term").groupBy("id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")  # weights: a row a query term
 
     def search(self, query: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """The k best, ties to the smaller id; allowed(id): the filter is put on after scoring, as the statistics are global."""
