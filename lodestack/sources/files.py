@@ -164,4 +164,6 @@ def extract(files: DataFrame) -> DataFrame:
                     rows.append((path, 0, None, None, {}, {}, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("source_path", "suffix", "content").mapInPandas(run, UNIT)
+    # small files lie in few partitions, but take long to read: they are dealt out first, by a number, or else they would be put together again
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("source_path", "suffix", "content").repartition(parts, "source_path").mapInPandas(run, UNIT)
