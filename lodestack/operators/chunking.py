@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import bound, strip, words
 
 _BLANK_LINE = re.compile(r"\n\s*\n")
+#: Characters of texts whose chunks a Python worker holds before it gives them out.
+CHARS_AT_ONCE = 1 << 21
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -129,7 +131,13 @@ def exploded(df: DataFrame, key: str, text: str, make: Callable[[str], list[str]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, i, c) for k, t in zip(batch[key], batch[text]) for i, c in enumerate(make(t or ""))]
+            rows, size = [], 0
+            for k, t in zip(batch[key], batch[text]):
+                rows += [(k, i, c) for i, c in enumerate(make(t or ""))]
+                size += len(t or "")
+                if size > CHARS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk"])
+                    rows, size = [], 0
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk"])
 
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, chunk_index int, chunk string")
